@@ -21,6 +21,7 @@ from loomframe.llm._shared import NOT_SPACE, materialize, words
 WINDOW = 8
 SOFT_RULES = ("symbols", "dup_lines", "word_length")
 RULES = ("base", *SOFT_RULES)
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def _window_hashes(w: Column, n: Column) -> Column:
@@ -92,13 +93,15 @@ def rule_features(docs: DataFrame, text_col: str = "text", host_col: str = "sour
         "n_dup_lines",
         F.col("_repeat").alias("n_repeat_words"),
     )
-    return d.select(
-        "*",
-        ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
-        (10 * F.col("n_symbols") > F.col("n_words")).alias("symbols_failed"),
+    n = F.col("n_words")
+    failed = [
+        ((n < 20) | (100 * F.col("n_repeat_words") > 30 * n)).alias("base_failed"),
+        (10 * F.col("n_symbols") > n).alias("symbols_failed"),
         (100 * F.col("n_dup_lines") > 30 * F.col("n_lines")).alias("dup_lines_failed"),
-        ((F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))).alias("word_length_failed"),
-    )
+        ((F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)).alias("word_length_failed"),
+    ]
+    # a generator, through which no later filter is pushed: one would compute the steps above many times
+    return d.select("row", "host", F.inline(F.array(F.struct(*COUNTS, *failed))))
 
 
 def host_verdicts(features: DataFrame, strict_rate: float = 0.5) -> DataFrame:

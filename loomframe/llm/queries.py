@@ -7,20 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import decontaminate, host_rules, mixing, sharding, simhash
+from loomframe.llm import decontaminate, host_rules, html_crf, mixing, quality, secrets, sharding, simhash, token_spans, zip_warc
 from loomframe.llm._shared import read_table
 
 
+def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_crf.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = zip_warc.round_trip(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = host_rules.host_quality(docs, carry=["doc_id"], store_features=True)
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.shard_rows(docs, shards=24, carry=["doc_id"])
@@ -38,13 +54,33 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_spans.section_tokens(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs, carry=["doc_id"]).select("row.doc_id", "source", "n_tokens", "block", "epoch")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op4_host_rules, op6_feistel_shards, op7_simhash, op9_mixing)
+    f.__name__: f
+    for f in (
+        op1_html_crf,
+        op2_decontaminate,
+        op3_zip_warc,
+        op4_host_rules,
+        op5_pairwise_quality,
+        op6_feistel_shards,
+        op7_simhash,
+        op8_section_tokens,
+        op9_mixing,
+        op10_secrets,
+    )
 }
 
 #: DuckDB's \s is wider than the contract's white space, so classes are spelled out.
