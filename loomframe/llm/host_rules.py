@@ -24,21 +24,19 @@ RULES = ("base", *SOFT_RULES)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
-def _window_hashes(w: Column, n: Column) -> Column:
-    """(hash, position) of each window, sorted."""
-    return F.array_sort(
-        F.when(
-            n >= WINDOW,
-            F.transform(
-                F.sequence(F.lit(1), n - (WINDOW - 1)),
-                lambda i: F.struct(F.xxhash64(F.slice(w, i, WINDOW)).alias("h"), i.alias("i")),
-            ),
-        )
-    )
+def _pair_hashes(h: Column, width: int) -> Column:
+    """Hashes of runs of twice ``width`` words from those of ``width``; the last ones reach beyond the end."""
+    return F.zip_with(h, F.slice(h, F.lit(width + 1), F.greatest(F.size(h) - width, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+
+
+def _sorted_if_repeated(h: Column) -> Column:
+    """(hash, start) of the windows, sorted; null if no hash occurs twice, as in most texts."""
+    s = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(h)) < F.size(h), s)
 
 
-def _repeated_starts(s: Column) -> Column:
-    """Sorted starts of the windows whose hash has an equal neighbour; null if none."""
+def _equal_neighbours(s: Column) -> Column:
+    """Sorted starts of the windows whose hash occurs twice or more."""
     pairs = F.zip_with(
         s, F.slice(s, F.lit(2), F.size(s)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))
     )
@@ -80,8 +78,13 @@ def rule_features(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     )
     kept = ["row", "host", "n_symbols", "word_chars", "n_lines", "n_dup_lines", "_n"]
     # one select for each step: a column that the next step uses more than once is computed once
-    d = d.select(*kept, _window_hashes(F.col("_w"), F.col("_n")).alias("_s"))
-    d = d.select(*kept, _repeated_starts(F.col("_s")).alias("_r"))
+    h, width = F.col("_w"), 1
+    while width < WINDOW:
+        d = d.select(*kept, _pair_hashes(h, width).alias("_h"))
+        h, width = F.col("_h"), 2 * width
+    d = d.select(*kept, F.slice("_h", F.lit(1), F.greatest(F.col("_n") - (WINDOW - 1), F.lit(0))).alias("_h"))
+    d = d.select(*kept, _sorted_if_repeated(F.col("_h")).alias("_s"))
+    d = d.select(*kept, _equal_neighbours(F.col("_s")).alias("_r"))
     d = d.select(*kept, _covered(F.col("_r")).alias("_repeat"))
     d = d.select(
         "row",
