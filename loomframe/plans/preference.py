@@ -12,7 +12,7 @@ from loomframe.plans.tables import table
 
 KEYS = ("l_orderkey", "l_partkey", "l_linenumber")
 LOGPS_SQL = """(SELECT l_orderkey, l_partkey, l_linenumber, -l_tax - 0.01 AS pc, -l_discount - 0.02 AS pr, -l_quantity / 100.0 AS rc, -l_tax * 2 - 0.05 AS rr,
-  l_extendedprice / 10000.0 AS reward, l_quantity / 50.0 AS value, l_shipdate FROM lineitem)"""
+  l_extendedprice / 10007.0 AS reward, l_quantity / 49.0 AS value, l_shipdate FROM lineitem)"""
 
 
 def logps(spark: SparkSession, d: str) -> DataFrame:
@@ -22,8 +22,8 @@ def logps(spark: SparkSession, d: str) -> DataFrame:
         (-F.col("l_discount") - 0.02).alias("pr"),
         (-F.col("l_quantity") / 100.0).alias("rc"),
         (-F.col("l_tax") * 2 - 0.05).alias("rr"),
-        (F.col("l_extendedprice") / 10000.0).alias("reward"),
-        (F.col("l_quantity") / 50.0).alias("value"),
+        (F.col("l_extendedprice") / 10007.0).alias("reward"),
+        (F.col("l_quantity") / 49.0).alias("value"),
         "l_shipdate",
     )
 
