@@ -6,7 +6,8 @@ covered by the codewords of a linear code (the anchors; covering radius R): a fi
 home with the one nearest anchor of its block and is sent to every anchor within R plus the
 block's share of the threshold. At each anchor the residents are compared with all arrivals over
 all 64 bits. No link is lost: a resident is within R of its anchor, its partner therefore within R
-plus the share.
+plus the share. An anchor with many rows is dealt out as a grid of cells, residents by arrivals, so
+a task holds a bounded number of rows however many fingerprints an anchor has.
 
 Equal fingerprints are merged first, so groups of equal copies of any size are one row. Anchors
 give a spanning forest of their links, not all pairs; an alternating large-star small-star
@@ -36,6 +37,8 @@ SEED = 42
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: Generator polynomial of the binary Golay code of length 23 (a fixed value).
 GOLAY = 0b101011100011
+#: Rows on each side of a cell of an anchor.
+CELL_ROWS = 1 << 14
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -168,7 +171,7 @@ def spread(fp: np.ndarray, kind: str, threshold: int, blocks: int = 2) -> tuple[
 
 
 def forest(fp: np.ndarray, home: np.ndarray, threshold: int, step: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, smaller one) that span the links of the residents of one anchor."""
+    """Links (fingerprint, smaller one) that span the links of the residents of one cell."""
     order = np.argsort(fp, kind="stable")
     fp, home = fp[order], home[order]
     u, residents = fp.view(np.uint64), np.flatnonzero(home)
@@ -204,7 +207,28 @@ def forest(fp: np.ndarray, home: np.ndarray, threshold: int, step: int = 1 << 22
     return fp[child], fp[parent[child]]
 
 
-def anchor_links(nodes: DataFrame, threshold: int = 3, kind: str = "golay", parts: int | None = None) -> DataFrame:
+def cells(near: DataFrame, cell_rows: int) -> DataFrame:
+    """Rows (``key``, ``fp``, ``home``): each anchor's residents and arrivals in a grid of cells.
+
+    Every resident meets every arrival of its anchor in one cell of about ``cell_rows`` rows a side.
+    The counts by anchor are bounded by the code's anchors (at most 2 ** 19), so they are broadcast.
+    """
+    sizes = near.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("m"))
+    sizes = sizes.filter(F.col("n") > cell_rows).select("anchor", *[F.ceil(F.col(c) / cell_rows).alias(k) for c, k in (("m", "_r"), ("n", "_a"))])
+    one = F.lit(1).cast("long")
+    d = near.join(F.broadcast(sizes), "anchor", "left").withColumns({"_r": F.greatest(F.coalesce("_r", one), one), "_a": F.coalesce("_a", one)})
+    at = F.pmod(F.xxhash64("fp"), F.col("_r"))
+    col = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("_a"))
+    zero = F.lit(0).cast("long")
+    as_resident = F.transform(F.sequence(zero, F.col("_a") - 1), lambda j: F.struct((at * F.col("_a") + j).alias("cell"), F.lit(True).alias("home")))
+    as_arrival = F.transform(F.sequence(zero, F.col("_r") - 1), lambda i: F.struct((i * F.col("_a") + col).alias("cell"), F.lit(False).alias("home")))
+    # where an anchor has one cell, a resident's row is its own arrival
+    places = F.when(~F.col("home"), as_arrival).when(F.col("_a") == 1, as_resident).otherwise(F.concat(as_resident, as_arrival))
+    d = d.select("anchor", "fp", F.explode(places).alias("p"))
+    return d.select((F.shiftleft("anchor", 40) + F.col("p.cell")).alias("key"), "fp", F.col("p.home").alias("home"))
+
+
+def anchor_links(nodes: DataFrame, threshold: int = 3, kind: str = "golay", parts: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (``u``, ``v``), v < u, that connect all ``fp`` of nodes within the threshold."""
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,10 +239,10 @@ def anchor_links(nodes: DataFrame, threshold: int = 3, kind: str = "golay", part
                 yield pd.DataFrame({"anchor": anchor, "fp": f, "home": home})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def links(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pd.DataFrame:
-            cuts = np.flatnonzero(np.diff(anchor)) + 1
+        def links(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pd.DataFrame:
+            cuts = np.flatnonzero(np.diff(key)) + 1
             us, vs = [], []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(anchor)], strict=True):
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
                 if b - a > 1 and home[a:b].any():
                     u, v = forest(fp[a:b], home[a:b], threshold)
                     if len(u):
@@ -231,8 +255,8 @@ def anchor_links(nodes: DataFrame, threshold: int = 3, kind: str = "golay", part
         for batch in batches:
             if not len(batch):
                 continue
-            now = tuple(batch[c].to_numpy() for c in ("anchor", "fp", "home"))
-            last = np.searchsorted(now[0], now[0][-1])  # rows are sorted by anchor
+            now = tuple(batch[c].to_numpy() for c in ("key", "fp", "home"))
+            last = np.searchsorted(now[0], now[0][-1])  # rows are sorted by key
             if now[0][0] == now[0][-1] and held and held[-1][0][0] == now[0][0]:
                 held.append(now)
                 continue
@@ -246,7 +270,7 @@ def anchor_links(nodes: DataFrame, threshold: int = 3, kind: str = "golay", part
 
     n = parts or int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = nodes.select("fp").mapInPandas(replicate, "anchor long, fp long, home boolean")
-    near = near.repartition(n, "anchor").sortWithinPartitions("anchor")
+    near = cells(materialize(near, "anchors"), cell_rows).repartition(n, "key").sortWithinPartitions("key")
     return near.mapInPandas(compare, "u long, v long").distinct()
 
 

@@ -91,6 +91,28 @@ def test_anchors_lose_no_link(kind):
         assert homes & {x for x, y in zip(anchor, f, strict=True) if y == fp[1]}
 
 
+def test_crowded_anchor_is_split(spark):
+    r = random.Random(12)
+    near = {0b1011}
+    while len(near) < 400:
+        x = r.choice(sorted(near)) ^ (1 << r.randrange(64))
+        near.add(x)
+    far = {r.getrandbits(64) for _ in range(50)}
+    fps = sorted(np.array(sorted(near | far), np.uint64).view(np.int64).tolist())
+    nodes = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for rows in (16, 1 << 14):
+        root = {x.u: x.root for x in simhash.components(simhash.anchor_links(nodes, cell_rows=rows)).collect()}
+        got = [root.get(x, x) for x in fps]
+        want = brute_components([x & (2**64 - 1) for x in fps])
+        assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+    crowd = spark.createDataFrame([(7, x, x < 60) for x in range(100)], "anchor long, fp long, home boolean")
+    cells = {}
+    for x in simhash.cells(crowd, 16).collect():
+        cells.setdefault(x.key, []).append((x.fp, x.home))
+    met = {(a, b) for c in cells.values() for a, h in c if h for b, _ in c}
+    assert met >= {(a, b) for a in range(60) for b in range(100)} and max(map(len, cells.values())) < 60
+
+
 def test_forest_connects():
     r = np.random.default_rng(2)
     fp = np.unique(r.integers(0, 1 << 12, 300)).astype(np.int64)
