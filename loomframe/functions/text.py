@@ -133,6 +133,11 @@ def header_prompt(instruction: Column, response: Column) -> Column:
     return F.concat(F.lit("### Instruction:\n"), instruction, F.lit("\n\n### Response:\n"), response)
 
 
+def without_prompt(text: Column, prompt: Column) -> Column:
+    """What follows a prompt that the text begins with."""
+    return F.substring(text, F.length(prompt) + 1, F.length(text))
+
+
 def common_prefix_length(a: Column, b: Column) -> Column:
     """Length of the longest common prefix."""
     n = F.least(F.length(a), F.length(b))

@@ -81,3 +81,9 @@ def zip_rows(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(b, key)
 
 
+def decode(df: DataFrame, keys: list[str], ids: str, vocabulary: DataFrame) -> DataFrame:
+    """``decoded``: the words (``id``, ``word``) of each row's token numbers, in order."""
+    at = df.select(*keys, F.posexplode(ids).alias("pos", "id")).join(vocabulary, "id")
+    words = at.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
+    text = F.array_join(F.transform("w", lambda x: x["word"]), " ")
+    return df.select(*keys).join(words, keys, "left").select(*keys, F.coalesce(text, F.lit("")).alias("decoded"))

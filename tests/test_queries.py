@@ -72,3 +72,41 @@ def test_parse_edges(spark):
     assert [tuple(r) for r in got] == [("b", 0.0), ("", 0.0), ("", 0.0)]
     ok = spark.createDataFrame([("docker-compose up",), ("docker stop $(x)",), ("docker ls & x",), ("",)], "c string").select(X.is_safe(F.col("c"), "docker")).collect()
     assert [r[0] for r in ok] == [True, False, True, False]
+
+
+def test_container_corpus_size(spark):
+    assert queries()["gen_container_corpus"](spark, SF).count() == 574
+    assert queries()["gen_tool_corpus"](spark, SF).count() == 1500
+
+
+def test_streams_of_moments_and_recent_rows(spark, tmp_path):
+    from loomframe.streaming.recent import keep_recent, recent_rows, running_moments
+
+    df = spark.createDataFrame([("a", float(x), x) for x in range(9)] + [("b", 2.0, 1)], "k string, v double, t int")
+    for k in range(3):
+        df.filter(f"t % 3 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = running_moments(read(), "k", "v").writeStream.format("memory").queryName("moments").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert bag(map(tuple, spark.table("moments").collect())) == bag(map(tuple, running_moments(df, "k", "v").collect()))
+    log = str(tmp_path / "log")
+    q = read().writeStream.foreachBatch(keep_recent(log, "k", ["t"], 4)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = max(tmp_path.glob("log/version=*"), key=lambda x: int(x.name.split("=")[1]))
+    assert bag(map(tuple, spark.read.parquet(str(last)).collect())) == bag(map(tuple, recent_rows(df, "k", ["t"], 4).collect()))
+
+
+def test_translator_and_history(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loomframe.translate import History, Translator
+
+    model = lambda p: F.concat(F.lit("COMMAND: tool ls "), F.regexp_extract(p, "show (\\S+)", 1), F.lit("\nCONFIDENCE: 0.9\nEXPLANATION: lists"))
+    df = spark.createDataFrame([(1, "  Show   A "), (2, "show $x"), (3, None)], "i int, said string")
+    got = {r.i: r for r in Translator("tool", model).translate(df, "said").collect()}
+    assert got[1].command == "tool ls a" and got[1].success and got[1].preview == "Command: tool ls a\nExplanation: lists"
+    assert not got[2].safe and got[2].preview == "No command found" and got[3].command == ""
+    log = History(str(tmp_path / "history"))
+    assert log.success_rate(spark) == 0.0
+    log.save(spark.createDataFrame([("a", "tool a", True, True), ("b", "tool b", True, False), ("c", "tool c", False, True)], "nl string, command string, executed boolean, successful boolean"))
+    assert log.success_rate(spark) == 0.5
