@@ -145,8 +145,8 @@ def host_quality(
 ) -> DataFrame:
     """Features of each document with ``strict`` (its host's verdict) and ``kept``.
 
-    ``row`` holds the carried columns. ``store_features`` writes the features once instead of
-    computing them for the hosts and again for the documents; use it when few columns are carried.
+    ``row`` holds the carried columns. ``store_features`` writes the rows and features once instead
+    of computing the features for the hosts and again for the documents.
     """
     features = rule_features(docs, text_col, host_col, carry)
     if store_features:
