@@ -20,7 +20,7 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -117,14 +117,17 @@ def block_code(kind: str, share: int) -> tuple[list[Component], int]:
     """Components of a block's code and the reach R + share.
 
     golay: 23 bits, R 3, 4,096 anchors. wide: 32 bits as Golay, a Hamming code of 7 bits (R 1) and
-    two free bits (R 0), R 4, 262,144 anchors.
+    two free bits (R 0), R 4, 262,144 anchors. hamming: 16 bits as a Hamming code of 15 bits and a
+    free bit, R 1, 4,096 anchors. free: 16 free bits, R 0, 65,536 anchors.
     """
-    radius = {"golay": 3, "wide": 4}[kind]
+    checks, radius = {
+        "golay": ([_golay_checks()], 3),
+        "wide": ([_golay_checks(), list(range(1, 8)), [0, 0]], 4),
+        "hamming": ([list(range(1, 16)), [0]], 1),
+        "free": ([[0] * 16], 0),
+    }[kind]
     reach = radius + share
-    parts = [Component(_golay_checks(), reach)]
-    if kind == "wide":
-        parts += [Component(list(range(1, 8)), reach), Component([0, 0], reach)]
-    return parts, reach
+    return [Component(c, reach) for c in checks], reach
 
 
 def anchors_of(x: np.ndarray, kind: str, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,14 +156,14 @@ def anchors_of(x: np.ndarray, kind: str, share: int) -> tuple[np.ndarray, np.nda
     return rows, x[rows] ^ err, weight
 
 
-def spread(fp: np.ndarray, kind: str, threshold: int, blocks: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, fingerprint, at home) rows of the fingerprints, for all blocks."""
-    share = threshold // blocks
+def spread(fp: np.ndarray, kind: str, threshold: int, blocks: int = 2, share: int | None = None, lanes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, fingerprint, at home) rows of the fingerprints, for all blocks of their ``lanes`` words."""
+    share = threshold // blocks if share is None else share
     bits = sum(p.n for p in block_code(kind, share)[0])
-    u = fp.view(np.uint64)
+    u, per = fp.view(np.uint64).reshape(len(fp), -1), blocks // lanes
     out = []
     for b in range(blocks):
-        x = ((u >> np.uint64(b * (64 // blocks))) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        x = ((u[:, b // per] >> np.uint64(b % per * (64 // per))) & np.uint64((1 << bits) - 1)).astype(np.int64)
         rows, anchor, weight = anchors_of(x, kind, share)
         order = np.lexsort((anchor, weight, rows))
         rows, anchor = rows[order], anchor[order]
@@ -207,8 +210,8 @@ def forest(fp: np.ndarray, home: np.ndarray, threshold: int, step: int = 1 << 22
     return fp[child], fp[parent[child]]
 
 
-def cells(near: DataFrame, cell_rows: int) -> DataFrame:
-    """Rows (``key``, ``fp``, ``home``): each anchor's residents and arrivals in a grid of cells.
+def cells(near: DataFrame, cell_rows: int, names: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """Rows (``key``, the fingerprint's columns, ``home``): each anchor's residents and arrivals in a grid of cells.
 
     Every resident meets every arrival of its anchor in one cell of about ``cell_rows`` rows a side.
     The counts by anchor are bounded by the code's anchors (at most 2 ** 19), so they are broadcast.
@@ -217,45 +220,64 @@ def cells(near: DataFrame, cell_rows: int) -> DataFrame:
     sizes = sizes.filter(F.col("n") > cell_rows).select("anchor", *[F.ceil(F.col(c) / cell_rows).alias(k) for c, k in (("m", "_r"), ("n", "_a"))])
     one = F.lit(1).cast("long")
     d = near.join(F.broadcast(sizes), "anchor", "left").withColumns({"_r": F.greatest(F.coalesce("_r", one), one), "_a": F.coalesce("_a", one)})
-    at = F.pmod(F.xxhash64("fp"), F.col("_r"))
-    col = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("_a"))
+    at = F.pmod(F.xxhash64(*names), F.col("_r"))
+    col = F.pmod(F.xxhash64(*names, F.lit(1)), F.col("_a"))
     zero = F.lit(0).cast("long")
     as_resident = F.transform(F.sequence(zero, F.col("_a") - 1), lambda j: F.struct((at * F.col("_a") + j).alias("cell"), F.lit(True).alias("home")))
     as_arrival = F.transform(F.sequence(zero, F.col("_r") - 1), lambda i: F.struct((i * F.col("_a") + col).alias("cell"), F.lit(False).alias("home")))
     # where an anchor has one cell, a resident's row is its own arrival
     places = F.when(~F.col("home"), as_arrival).when(F.col("_a") == 1, as_resident).otherwise(F.concat(as_resident, as_arrival))
-    d = d.select("anchor", "fp", F.explode(places).alias("p"))
-    return d.select((F.shiftleft("anchor", 40) + F.col("p.cell")).alias("key"), "fp", F.col("p.home").alias("home"))
+    d = d.select("anchor", *names, F.explode(places).alias("p"))
+    return d.select((F.shiftleft("anchor", 40) + F.col("p.cell")).alias("key"), *names, F.col("p.home").alias("home"))
 
 
-def anchor_links(nodes: DataFrame, threshold: int = 3, kind: str = "golay", parts: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Links (``u``, ``v``), v < u, that connect all ``fp`` of nodes within the threshold."""
+def anchor_links(
+    nodes: DataFrame,
+    threshold: int = 3,
+    kind: str = "golay",
+    parts: int | None = None,
+    cell_rows: int = CELL_ROWS,
+    names: tuple[str, ...] = ("fp",),
+    blocks: int = 2,
+    share: int | None = None,
+    lanes: int = 1,
+    join: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]] = forest,
+) -> DataFrame:
+    """Links (``u``, ``v``) that connect all nodes within the threshold.
+
+    ``names``: the columns that name a node; the first ``lanes`` are its fingerprint. One column gives
+    links of longs, more give links of structs. ``join`` gives the links of one cell.
+    """
+    width = len(names)
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = b["fp"].to_numpy(np.int64)
+            fp = np.ascontiguousarray(b[list(names)].to_numpy(np.int64))
+            fp = fp[:, 0] if width == 1 else fp
             for k in range(0, len(fp), 4096):
-                anchor, f, home = spread(fp[k : k + 4096], kind, threshold)
-                yield pd.DataFrame({"anchor": anchor, "fp": f, "home": home})
+                anchor, f, home = spread(fp[k : k + 4096], kind, threshold, blocks, share, lanes)
+                f = f.reshape(len(f), width)
+                yield pd.DataFrame({"anchor": anchor, **{c: f[:, i] for i, c in enumerate(names)}, "home": home})
+
+    ends = [f"{e}{i}" for e in "uv" for i in range(width)]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def links(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pd.DataFrame:
             cuts = np.flatnonzero(np.diff(key)) + 1
-            us, vs = [], []
+            found = [np.zeros((0, 2 * width), np.int64)]
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
                 if b - a > 1 and home[a:b].any():
-                    u, v = forest(fp[a:b], home[a:b], threshold)
+                    u, v = join(fp[a:b], home[a:b], threshold)
                     if len(u):
-                        us.append(u)
-                        vs.append(v)
-            empty = [np.zeros(0, np.int64)]
-            return pd.DataFrame({"u": np.concatenate(us or empty), "v": np.concatenate(vs or empty)})
+                        found.append(np.column_stack([u, v]))
+            return pd.DataFrame(np.concatenate(found), columns=ends)
 
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not len(batch):
                 continue
-            now = tuple(batch[c].to_numpy() for c in ("key", "fp", "home"))
+            fp = np.ascontiguousarray(batch[list(names)].to_numpy(np.int64))
+            now = (batch["key"].to_numpy(), fp[:, 0] if width == 1 else fp, batch["home"].to_numpy())
             last = np.searchsorted(now[0], now[0][-1])  # rows are sorted by key
             if now[0][0] == now[0][-1] and held and held[-1][0][0] == now[0][0]:
                 held.append(now)
@@ -269,9 +291,12 @@ def anchor_links(nodes: DataFrame, threshold: int = 3, kind: str = "golay", part
             yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     n = parts or int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = nodes.select("fp").mapInPandas(replicate, "anchor long, fp long, home boolean")
-    near = cells(materialize(near, "anchors"), cell_rows).repartition(n, "key").sortWithinPartitions("key")
-    return near.mapInPandas(compare, "u long, v long").distinct()
+    near = nodes.select(*names).mapInPandas(replicate, ", ".join(f"{c} long" for c in ("anchor", *names)) + ", home boolean")
+    near = cells(materialize(near, "anchors"), cell_rows, names).repartition(n, "key").sortWithinPartitions("key")
+    out = near.mapInPandas(compare, ", ".join(f"{c} long" for c in ends)).distinct()
+    if width == 1:
+        return out.select(F.col("u0").alias("u"), F.col("v0").alias("v"))
+    return out.select(*[F.struct(*[F.col(f"{e}{i}").alias(c) for i, c in enumerate(names)]).alias(e) for e in "uv"])
 
 
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
@@ -324,13 +349,13 @@ def simhash_groups(
     return fps.join(label, "fp", "left").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document of each group.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouping: Callable[..., DataFrame] = simhash_groups, **how) -> DataFrame:
+    """docs with one document of each group; ``grouping`` gives ``id`` and ``component`` of each row.
 
     Of a group that with the smallest id stays. Rows that repeat an id and a text are one document.
     An id that stands for several texts stays if one of them stays. A row without id stays.
     """
-    groups = materialize(simhash_groups(docs, id_col, text_col, **how), "groups")
+    groups = materialize(grouping(docs, id_col, text_col, **how).select("id", "component"), "groups")
     ids = groups.filter(F.col("id").isNotNull()).groupBy("id").agg(
         F.max((F.col("id") == F.col("component")).cast("int")).alias("stays"), F.count(F.lit(1)).alias("n")
     )
