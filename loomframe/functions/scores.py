@@ -107,3 +107,16 @@ def jensen_shannon(p: Column, q: Column, beta: float = 0.5) -> Column:
         return F.aggregate(F.zip_with(a, mix, lambda x, m: F.exp(x) * (x - m)), F.lit(0.0), lambda t, x: t + x)
 
     return beta * kl(q) + (1 - beta) * kl(p)
+
+
+def policy_weight(logps: list[Column], squares: list[Column], masks: list[Column]) -> Column:
+    """exp of the summed masked means of log-probability less the log of the expected probability, 1 at most.
+
+    One array each for chosen and rejected: log-probabilities, logsumexp of twice the log-probabilities, masks.
+    """
+    total = F.lit(0.0)
+    for p, s, m in zip(logps, squares, masks, strict=True):
+        kept = F.zip_with(F.zip_with(p, s, lambda a, b: a - b), m, lambda x, on: F.when(on != 0, x).otherwise(0.0))
+        count = F.size(F.filter(m, lambda on: on != 0))
+        total = total + F.aggregate(kept, F.lit(0.0), lambda t, x: t + x) / F.greatest(count, F.lit(1))
+    return F.least(F.exp(total), F.lit(1.0))

@@ -86,3 +86,20 @@ def selected_logprob(logits: Column, index: Column) -> Column:
     from loomframe.functions.scores import logsumexp
 
     return F.get(logits, index) - logsumexp(logits)
+
+
+def split_at_prompt(full: Column, prompt: Column) -> Column:
+    """Struct ``prompt``, ``answer``: the full array cut behind the prompt, one token earlier if joining changed its last."""
+    n = F.size(prompt)
+    at = F.when(F.slice(full, F.lit(1), n) == prompt, n).otherwise(F.greatest(n - 1, F.lit(0)))
+    return F.struct(F.slice(full, F.lit(1), at).alias("prompt"), F.slice(full, at + 1, F.greatest(F.size(full) - at, F.lit(0))).alias("answer"))
+
+
+def fit_pair(prompt: Column, answer: Column, limit: int, prompt_limit: int, keep: str = "keep_end") -> Column:
+    """Struct ``prompt``, ``answer`` within the limit: a pair that is too long loses prompt first, then answer."""
+    if keep not in ("keep_end", "keep_start"):
+        raise ValueError("keep is keep_end or keep_start")
+    cut = keep_last(prompt, prompt_limit) if keep == "keep_end" else keep_first(prompt, prompt_limit)
+    p = F.when(F.size(prompt) + F.size(answer) > limit, cut).otherwise(prompt)
+    a = F.when(F.size(p) + F.size(answer) > limit, keep_first(answer, limit - prompt_limit)).otherwise(answer)
+    return F.struct(p.alias("prompt"), a.alias("answer"))

@@ -5,7 +5,9 @@ import math
 import duckdb
 import pytest
 
+from loomframe.operators import hooks
 from loomframe.plans.registry import oracles, queries
+from loomframe.sources.config import CorpusConfig
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -110,3 +112,18 @@ def test_translator_and_history(spark, tmp_path):
     assert log.success_rate(spark) == 0.0
     log.save(spark.createDataFrame([("a", "tool a", True, True), ("b", "tool b", True, False), ("c", "tool c", False, True)], "nl string, command string, executed boolean, successful boolean"))
     assert log.success_rate(spark) == 0.5
+
+
+def test_config_round_trip(tmp_path):
+    path = str(tmp_path / "config.json")
+    CorpusConfig(tool="x", n_examples=7).save(path)
+    assert CorpusConfig.load(path) == CorpusConfig(tool="x", n_examples=7)
+    (tmp_path / "config.json").write_text('{"tool": "y", "other": 1}')
+    with pytest.raises(ValueError, match="other"):
+        CorpusConfig.load(path)
+
+
+def test_format_must_give_an_array(spark):
+    df = spark.createDataFrame([(1, "a")], "i int, t string")
+    with pytest.raises(ValueError, match="array"):
+        hooks.formatted(df, lambda x: x.t, ["i"])
