@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -123,12 +125,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def markov_spans(text: str, base: list[tuple[int, int, int]], model: Markov, threshold: float) -> list[tuple[int, int, int]]:
     """Runs of key characters that look random; runs that meet a base span are left to it."""
     out = []
+    starts = [x for x, _, _ in base]
+    # furthest end of the spans up to each
+    ends = list(accumulate((y for _, _, y in base), max))
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         s = m[0]
         if s.isalpha() and (s.islower() or s.isupper()) or s.isdigit():
             continue
-        if any(x < b and a < y for x, _, y in base):
+        before = bisect_left(starts, b)
+        if before and ends[before - 1] > a:
             continue
         if model.score(s) > threshold:
             out.append((a, 3, b))

@@ -300,3 +300,18 @@ def test_secrets(spark, empty):
     assert got[0].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and got[0].spans == base + f",markov:{at}:{at + 24}"
     assert all(x.spans == "" and x.base_sha256 == hashlib.sha256(b"").hexdigest() for x in got[1:])
     assert secrets.scan(empty).count() == 0
+
+
+def test_secret_spans_leave_base_alone():
+    r = random.Random(12)
+    model, threshold = secrets.default_model()
+    for _ in range(60):
+        parts = [secrets.random_sample(r), secrets.ordinary_sample(r), "token = " + secrets.random_sample(r), "0a1b2c3d" * 4, "plain words", "AKIA" + "Q7" * 9]
+        text = " ".join(r.choices(parts, k=12))
+        base = secrets.base_spans(text)
+        want = []
+        for m in secrets.CANDIDATE.finditer(text):
+            plain = m[0].isalpha() and (m[0].islower() or m[0].isupper()) or m[0].isdigit()
+            if not plain and not any(x < m.end() and m.start() < y for x, _, y in base) and model.score(m[0]) > threshold:
+                want.append((m.start(), 3, m.end()))
+        assert secrets.markov_spans(text, base, model, threshold) == want
