@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The words of the benchmark's items give seeds (n-grams). The corpus is read once to count the
-documents that hold each seed; of every few neighbouring seeds of an item the rarest stays, so a
-copy with an unbroken run of a few words always meets a seed, however often an item has leaked.
-The corpus is read again: where a seed of an item is found, the item is aligned with the words
-around it, and the best local alignment's score over that of the whole item is the result.
+The words of the benchmark's items give seeds (n-grams), and all of them serve, so a copy with an
+unbroken run of ``n`` words always meets a seed, however often an item has leaked. Where a seed of
+an item is found, the item is aligned with the words around it, and the best local alignment's
+score over that of the whole item is the result. A place that holds too few of the item's words to
+reach the threshold is passed over before the alignment; none that could reach it is.
 
 The benchmark is taken in blocks of bounded size, each against all documents; only a block's
 seeds are sent to the executors.
@@ -43,7 +43,12 @@ class Seeds:
         self.coded = [np.array([self.vocab[w] for w in t], np.int64) for _, t in items]
         hashes = [self.hashes(x) for x in self.coded]
         self.keys = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]))
-        self.of_item = [np.searchsorted(self.keys, h) for h in hashes]
+        #: (item, place in it) of each seed
+        self.places: list[list[tuple[int, int]]] = [[] for _ in self.keys]
+        for item, h in enumerate(hashes):
+            for place, seed in enumerate(np.searchsorted(self.keys, h).tolist()):
+                self.places[seed].append((item, place))
+        self.counts = [np.unique(x, return_counts=True) for x in self.coded]
 
     def hashes(self, x: np.ndarray) -> np.ndarray:
         """A hash for each n-gram of word numbers."""
@@ -70,19 +75,11 @@ class Seeds:
         hit = self.keys[k] == h[at]
         return at[hit], k[hit]
 
-    def rarest(self, frequency: np.ndarray, run: int) -> None:
-        """Keep of every ``run`` neighbouring seeds of an item the rarest."""
-        self.places: dict[int, list[tuple[int, int]]] = {}
-        for item, seeds in enumerate(self.of_item):
-            chosen = set()
-            for a in range(max(1, len(seeds) - run + 1)):
-                f = frequency[seeds[a : a + run]]
-                if len(f):
-                    chosen.add(a + int(np.argmin(f)))
-            for a in sorted(chosen):
-                self.places.setdefault(int(seeds[a]), []).append((item, a))
-        self.rare = np.zeros(len(self.keys), bool)
-        self.rare[list(self.places)] = True
+    def shared(self, item: int, x: np.ndarray) -> int:
+        """How many words of an item coded words hold, repeats as often as in both."""
+        words, counts = self.counts[item]
+        k = np.minimum(np.searchsorted(words, x), len(words) - 1)
+        return int(np.minimum(np.bincount(k[words[k] == x], minlength=len(words)), counts).sum())
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -106,27 +103,29 @@ def matches(seeds: Seeds, text: str | None, threshold: float) -> list[tuple[int,
     """(item number, score, seeds, end word) of the items that a text holds."""
     x = seeds.encode(tokens(text))
     at, seed = seeds.find(x)
-    keep = seeds.rare[seed] if len(seed) else np.zeros(0, bool)
     found: dict[int, list[int]] = {}
-    for p, s in zip(at[keep].tolist(), seed[keep].tolist(), strict=True):
+    for p, s in zip(at.tolist(), seed.tolist(), strict=True):
         for item, place in seeds.places[s]:
             found.setdefault(item, []).append(p - place)
     out = []
     for item, begins in sorted(found.items()):
         code = seeds.coded[item]
-        slack = len(code) // 2 + 4
+        # an alignment that reaches half of the item's score has fewer foreign words between its own than this
+        slack = len(code)
         begins.sort()
         best, end, first = 0, 0, begins[0]
         for k, b in enumerate(begins):
             if k + 1 < len(begins) and begins[k + 1] - b <= slack:
                 continue
             a, z = max(0, first - slack), min(len(x), b + len(code) + slack)
-            score, stop = align(code, x[a:z])
-            if score > best:
-                best, end = score, a + stop
+            # a score is at most that of the shared words
+            if seeds.shared(item, x[a:z]) >= threshold * len(code):
+                score, stop = align(code, x[a:z])
+                if score > best:
+                    best, end = score, a + stop
             if k + 1 < len(begins):
                 first = begins[k + 1]
-        if best >= threshold * MATCH * len(code):
+        if best and best >= threshold * MATCH * len(code):
             out.append((item, best / (MATCH * len(code)), len(begins), end))
     return out
 
@@ -156,7 +155,6 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     n: int = 4,
-    run: int = 3,
     threshold: float = 0.55,
     min_item_words: int = 8,
     block_words: int = 500_000,
@@ -169,23 +167,6 @@ def contamination(
     out = None
     for block in item_blocks(items, item_col, item_text_col, min_item_words, block_words):
         seeds = Seeds(block, n)
-        sent = spark.sparkContext.broadcast(seeds)
-
-        def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            s = sent.value
-            total = np.zeros(len(s.keys), np.int64)
-            for b in batches:
-                for text in b["text"]:
-                    found = np.unique(s.find(s.encode(tokens(text)))[1])
-                    total[found] += 1
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"seed": at, "n": total[at]})
-
-        counted = table.select("text").mapInPandas(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        frequency = np.zeros(len(seeds.keys), np.int64)
-        got = counted.toPandas()  # at most a row for each seed of the block
-        frequency[got["seed"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-        seeds.rarest(frequency, run)
         ready = spark.sparkContext.broadcast(seeds)
 
         def score(batches: Iterator[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:

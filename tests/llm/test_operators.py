@@ -181,6 +181,31 @@ def test_decontaminate(spark, empty):
     assert decontaminate.contamination(d, b.limit(0)).count() == 0 and decontaminate.drop_contaminated(empty, b).count() == 0
 
 
+@pytest.mark.parametrize("every", [5, 6])
+@pytest.mark.parametrize("verbatim", [0, 3])
+def test_decontaminate_finds_scattered_edits(spark, every, verbatim):
+    """Copies whose longest run is 4 or 5 words, leaked once or also word for word, against full alignment."""
+    r = random.Random(every)
+    items = [[f"i{k}x{j}" for j in range(r.randint(15, 59))] for k in range(40)]
+    rows = []
+    for k, item in enumerate(items):
+        copy = [f"c{r.randrange(10**6)}" if j % every == every - 1 else w for j, w in enumerate(item)]
+        rows.append((k, " ".join([prose(r, 30), *copy, prose(r, 30)])))
+        rows += [(100 * k + 1000 + v, " ".join([prose(r, 9), *item])) for v in range(verbatim)]
+    number = {w: n for n, w in enumerate({w for _, t in rows for w in t.split()} | {w for i in items for w in i})}
+    coded = [np.array([number[w] for w in i]) for i in items]
+    want = {}
+    for d, t in rows:
+        x = np.array([number[w] for w in t.split()])
+        for k, c in enumerate(coded):
+            if (score := decontaminate.align(c, x)[0] / (2 * len(c))) >= 0.55:
+                want[d, k] = score
+    assert {(k, k) for k in range(40)} <= set(want)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id): x.score for x in decontaminate.contamination(d, b).collect()} == want
+
+
 def test_align_brute():
     r = random.Random(8)
     for _ in range(50):
