@@ -210,11 +210,12 @@ def forest(fp: np.ndarray, home: np.ndarray, threshold: int, step: int = 1 << 22
     return fp[child], fp[parent[child]]
 
 
-def cells(near: DataFrame, cell_rows: int, names: tuple[str, ...] = ("fp",)) -> DataFrame:
+def cells(near: DataFrame, cell_rows: int, names: tuple[str, ...] = ("fp",), mixed: bool = False) -> DataFrame:
     """Rows (``key``, the fingerprint's columns, ``home``): each anchor's residents and arrivals in a grid of cells.
 
     Every resident meets every arrival of its anchor in one cell of about ``cell_rows`` rows a side.
     The counts by anchor are bounded by the code's anchors (at most 2 ** 19), so they are broadcast.
+    ``mixed``: the anchors are any longs, of which few have many rows, and keys are hashes.
     """
     sizes = near.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("m"))
     sizes = sizes.filter(F.col("n") > cell_rows).select("anchor", *[F.ceil(F.col(c) / cell_rows).alias(k) for c, k in (("m", "_r"), ("n", "_a"))])
@@ -228,7 +229,8 @@ def cells(near: DataFrame, cell_rows: int, names: tuple[str, ...] = ("fp",)) ->
     # where an anchor has one cell, a resident's row is its own arrival
     places = F.when(~F.col("home"), as_arrival).when(F.col("_a") == 1, as_resident).otherwise(F.concat(as_resident, as_arrival))
     d = d.select("anchor", *names, F.explode(places).alias("p"))
-    return d.select((F.shiftleft("anchor", 40) + F.col("p.cell")).alias("key"), *names, F.col("p.home").alias("home"))
+    key = F.xxhash64("anchor", "p.cell") if mixed else F.shiftleft("anchor", 40) + F.col("p.cell")
+    return d.select(key.alias("key"), *names, F.col("p.home").alias("home"))
 
 
 def anchor_links(

@@ -46,6 +46,47 @@ def test_groups_equal_brute_force(spark, free_from):
     assert found(spark, rows, free_from=free_from) == brute(rows)
 
 
+def test_families_around_the_limit(spark):
+    """Fingerprint order and similarity disagree in families of many variants; no true link is lost."""
+    r = random.Random(21)
+    rows = []
+    for passage in (0, 1):
+        words = [f"p{passage}w{k}" for k in range(150)]
+        for _ in range(120):
+            w = list(words)
+            if passage:
+                n = r.randrange(1, 12)
+                at = r.randrange(len(w) - n)
+                w[at : at + n] = [f"n{r.randrange(10**6)}" for _ in range(n)]
+                rows.append(edited(r, w, r.randrange(3)))
+            else:
+                rows.append(edited(r, w, r.randrange(1, 8)))
+    rows = list(enumerate(rows))
+    assert found(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("share", [0.80, 0.83, 0.87])
+def test_appended_and_replaced_passages(spark, share):
+    """Pairs that differ in one piece, at a similarity of ``share`` or a little more."""
+    r = random.Random(22)
+    rows = []
+    for k in range(150):
+        n = r.randrange(100, 400)
+        w = [f"t{k}w{j}" for j in range(n)]
+        new = [f"t{k}n{j}" for j in range(n)]
+        if k % 2:
+            other = w + new[: int((n - 4) / share) - (n - 4)]
+        else:
+            size = max(1, int((n - 4) * (1 - share) / (1 + share)) - 4)
+            at = r.randrange(n - size)
+            other = [*w[:at], *new[:size], *w[at + size :]]
+        rows += [" ".join(w), " ".join(other)]
+    rows = list(enumerate(rows))
+    want = brute(rows)
+    assert len(set(want.values())) == 150
+    assert found(spark, rows) == want
+
+
 def test_hub_with_many_links(spark, monkeypatch):
     """A node's set is copied when it has many links; no link is lost."""
     monkeypatch.setattr(near_copies, "LINKS_A_COPY", 3)
