@@ -11,11 +11,14 @@ a task holds a bounded number of rows however many fingerprints an anchor has.
 
 Equal fingerprints are merged first, so groups of equal copies of any size are one row. Anchors
 give a spanning forest of their links, not all pairs; an alternating large-star small-star
-iteration joins the forests. The code grows with the count of distinct fingerprints.
+iteration joins the forests. The code grows with the count of distinct fingerprints, so that an
+anchor's residents stay few; every code finds all links, so the groups are the same.
 
 Defined cases: a null or blank text has fingerprint zero; a null id takes part and can't name a
-group; repeated rows and equal ids share a fingerprint's group; an empty table gives an empty
-result.
+group; repeated rows and equal ids share a fingerprint's group; a bit that is set in just half of the
+hashes is not set in the fingerprint; very long texts take time in proportion to their length;
+further columns are ignored (``keep_one`` keeps them), whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.llm._shared import bounded_batches, materialize
+from loomframe.llm._shared import discard, materialize, sendable
 
 SEED = 42
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
@@ -65,15 +68,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * set_bits > n).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``id`` and ``fp`` (the fingerprint's bits as a signed long) of each row."""
-    bounded_batches(docs.sparkSession)
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, detail: bool = False) -> DataFrame:
+    """``id`` and ``fp`` (the fingerprint's bits as a signed long) of each row; ``detail``: also ``h``, a hash of the text."""
 
     @F.pandas_udf(T.LongType())
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series(np.fromiter((fingerprint(x, shingle) for x in text), np.uint64, len(text)).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("id"), fp(F.col(text_col).cast("string")).alias("fp"))
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), *([F.xxhash64(text).alias("h")] if detail else []), fp(text).alias("fp"))
 
 
 class Component:
@@ -112,19 +115,32 @@ def _golay_checks() -> list[int]:
     return out
 
 
+#: Codes with their counts of anchors in a block. All of them lose no link; of more anchors each has fewer residents.
+CODES = {"golay": 1 << 12, "wide": 1 << 18, "double": 1 << 24, "long": 1 << 27, "free": 1 << 32}
+#: Fingerprints of an anchor, on average, from which the next code serves.
+RESIDENTS = 1024
+
+
+def code_for(fingerprints: int) -> str:
+    """The code with the fewest anchors whose residents are still few, whatever the count of fingerprints."""
+    return next((k for k, anchors in CODES.items() if fingerprints <= RESIDENTS * anchors), "free")
+
+
 @cache
 def block_code(kind: str, share: int) -> tuple[list[Component], int]:
     """Components of a block's code and the reach R + share.
 
     golay: 23 bits, R 3, 4,096 anchors. wide: 32 bits as Golay, a Hamming code of 7 bits (R 1) and
-    two free bits (R 0), R 4, 262,144 anchors. hamming: 16 bits as a Hamming code of 15 bits and a
-    free bit, R 1, 4,096 anchors. free: 16 free bits, R 0, 65,536 anchors.
+    two free bits (R 0), R 4, 262,144 anchors. double: 32 bits as two Hamming codes of 15 bits and two
+    free bits, R 2, 2 ** 24 anchors. long: a Hamming code of 31 bits and a free bit, R 1, 2 ** 27 anchors.
+    free: 32 free bits, R 0, 2 ** 32 anchors.
     """
     checks, radius = {
         "golay": ([_golay_checks()], 3),
         "wide": ([_golay_checks(), list(range(1, 8)), [0, 0]], 4),
-        "hamming": ([list(range(1, 16)), [0]], 1),
-        "free": ([[0] * 16], 0),
+        "double": ([list(range(1, 16)), list(range(1, 16)), [0, 0]], 2),
+        "long": ([list(range(1, 32)), [0]], 1),
+        "free": ([[0] * 32], 0),
     }[kind]
     reach = radius + share
     return [Component(c, reach) for c in checks], reach
@@ -156,14 +172,14 @@ def anchors_of(x: np.ndarray, kind: str, share: int) -> tuple[np.ndarray, np.nda
     return rows, x[rows] ^ err, weight
 
 
-def spread(fp: np.ndarray, kind: str, threshold: int, blocks: int = 2, share: int | None = None, lanes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, fingerprint, at home) rows of the fingerprints, for all blocks of their ``lanes`` words."""
-    share = threshold // blocks if share is None else share
+def spread(fp: np.ndarray, kind: str, threshold: int, blocks: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, fingerprint, at home) rows of the fingerprints, for all their blocks."""
+    share = threshold // blocks
     bits = sum(p.n for p in block_code(kind, share)[0])
-    u, per = fp.view(np.uint64).reshape(len(fp), -1), blocks // lanes
+    u = fp.view(np.uint64)
     out = []
     for b in range(blocks):
-        x = ((u[:, b // per] >> np.uint64(b % per * (64 // per))) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        x = ((u >> np.uint64(b * (64 // blocks))) & np.uint64((1 << bits) - 1)).astype(np.int64)
         rows, anchor, weight = anchors_of(x, kind, share)
         order = np.lexsort((anchor, weight, rows))
         rows, anchor = rows[order], anchor[order]
@@ -210,17 +226,16 @@ def forest(fp: np.ndarray, home: np.ndarray, threshold: int, step: int = 1 << 22
     return fp[child], fp[parent[child]]
 
 
-def cells(near: DataFrame, cell_rows: int, names: tuple[str, ...] = ("fp",), mixed: bool = False) -> DataFrame:
-    """Rows (``key``, the fingerprint's columns, ``home``): each anchor's residents and arrivals in a grid of cells.
+def cells(near: DataFrame, cell_rows: int, names: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """Rows (``key``, the named columns, ``home``): each anchor's residents and arrivals in a grid of cells.
 
     Every resident meets every arrival of its anchor in one cell of about ``cell_rows`` rows a side.
-    The counts by anchor are bounded by the code's anchors (at most 2 ** 19), so they are broadcast.
-    ``mixed``: the anchors are any longs, of which few have many rows, and keys are hashes.
+    The counts of crowded anchors are sent if they are few, else joined.
     """
     sizes = near.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("m"))
     sizes = sizes.filter(F.col("n") > cell_rows).select("anchor", *[F.ceil(F.col(c) / cell_rows).alias(k) for c, k in (("m", "_r"), ("n", "_a"))])
     one = F.lit(1).cast("long")
-    d = near.join(F.broadcast(sizes), "anchor", "left").withColumns({"_r": F.greatest(F.coalesce("_r", one), one), "_a": F.coalesce("_a", one)})
+    d = near.join(sendable(sizes), "anchor", "left").withColumns({"_r": F.greatest(F.coalesce("_r", one), one), "_a": F.coalesce("_a", one)})
     at = F.pmod(F.xxhash64(*names), F.col("_r"))
     col = F.pmod(F.xxhash64(*names, F.lit(1)), F.col("_a"))
     zero = F.lit(0).cast("long")
@@ -229,76 +244,52 @@ def cells(near: DataFrame, cell_rows: int, names: tuple[str, ...] = ("fp",), mix
     # where an anchor has one cell, a resident's row is its own arrival
     places = F.when(~F.col("home"), as_arrival).when(F.col("_a") == 1, as_resident).otherwise(F.concat(as_resident, as_arrival))
     d = d.select("anchor", *names, F.explode(places).alias("p"))
-    key = F.xxhash64("anchor", "p.cell") if mixed else F.shiftleft("anchor", 40) + F.col("p.cell")
-    return d.select(key.alias("key"), *names, F.col("p.home").alias("home"))
+    # should two cells' hashes be equal, their rows are compared together, which loses nothing
+    return d.select(F.xxhash64("anchor", "p.cell").alias("key"), *names, F.col("p.home").alias("home"))
 
 
-def anchor_links(
-    nodes: DataFrame,
-    threshold: int = 3,
-    kind: str = "golay",
-    parts: int | None = None,
-    cell_rows: int = CELL_ROWS,
-    names: tuple[str, ...] = ("fp",),
-    blocks: int = 2,
-    share: int | None = None,
-    lanes: int = 1,
-    join: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]] = forest,
-) -> DataFrame:
-    """Links (``u``, ``v``) that connect all nodes within the threshold.
-
-    ``names``: the columns that name a node; the first ``lanes`` are its fingerprint. One column gives
-    links of longs, more give links of structs. ``join`` gives the links of one cell.
-    """
-    width = len(names)
+def anchor_links(nodes: DataFrame, threshold: int = 3, kind: str = "golay", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links (``u``, ``v``) that connect all fingerprints ``fp`` within the threshold."""
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.ascontiguousarray(b[list(names)].to_numpy(np.int64))
-            fp = fp[:, 0] if width == 1 else fp
+            fp = b["fp"].to_numpy(np.int64)
             for k in range(0, len(fp), 4096):
-                anchor, f, home = spread(fp[k : k + 4096], kind, threshold, blocks, share, lanes)
-                f = f.reshape(len(f), width)
-                yield pd.DataFrame({"anchor": anchor, **{c: f[:, i] for i, c in enumerate(names)}, "home": home})
-
-    ends = [f"{e}{i}" for e in "uv" for i in range(width)]
+                yield pd.DataFrame(dict(zip(("anchor", "fp", "home"), spread(fp[k : k + 4096], kind, threshold), strict=True)))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def links(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pd.DataFrame:
             cuts = np.flatnonzero(np.diff(key)) + 1
-            found = [np.zeros((0, 2 * width), np.int64)]
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
                 if b - a > 1 and home[a:b].any():
-                    u, v = join(fp[a:b], home[a:b], threshold)
-                    if len(u):
-                        found.append(np.column_stack([u, v]))
-            return pd.DataFrame(np.concatenate(found), columns=ends)
+                    u, v = forest(fp[a:b], home[a:b], threshold)
+                    us.append(u)
+                    vs.append(v)
+            return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not len(batch):
                 continue
-            fp = np.ascontiguousarray(batch[list(names)].to_numpy(np.int64))
-            now = (batch["key"].to_numpy(), fp[:, 0] if width == 1 else fp, batch["home"].to_numpy())
+            now = (batch["key"].to_numpy(), batch["fp"].to_numpy(np.int64), batch["home"].to_numpy(bool))
             last = np.searchsorted(now[0], now[0][-1])  # rows are sorted by key
             if now[0][0] == now[0][-1] and held and held[-1][0][0] == now[0][0]:
                 held.append(now)
                 continue
-            done = [*held, tuple(x[:last] for x in now)]
-            done = tuple(np.concatenate(x) for x in zip(*done, strict=True))
+            done = tuple(np.concatenate(x) for x in zip(*held, tuple(x[:last] for x in now), strict=True))
             held = [tuple(x[last:] for x in now)]
             if len(done[0]):
                 yield links(*done)
         if held:
             yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    n = parts or int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = nodes.select(*names).mapInPandas(replicate, ", ".join(f"{c} long" for c in ("anchor", *names)) + ", home boolean")
-    near = cells(materialize(near, "anchors"), cell_rows, names).repartition(n, "key").sortWithinPartitions("key")
-    out = near.mapInPandas(compare, ", ".join(f"{c} long" for c in ends)).distinct()
-    if width == 1:
-        return out.select(F.col("u0").alias("u"), F.col("v0").alias("v"))
-    return out.select(*[F.struct(*[F.col(f"{e}{i}").alias(c) for i, c in enumerate(names)]).alias(e) for e in "uv"])
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    anchors = materialize(nodes.select("fp").mapInPandas(replicate, "anchor long, fp long, home boolean"), "anchors")
+    near = cells(anchors, cell_rows).repartition(parts, "key").sortWithinPartitions("key")
+    out = materialize(near.mapInPandas(compare, "u long, v long").distinct(), "links")
+    discard(nodes.sparkSession, anchors)
+    return out
 
 
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
@@ -306,17 +297,21 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
 
     Large-star and small-star rounds until each u has one neighbour and that is a root.
     """
+    spark = links.sparkSession
     e = materialize(links.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     for _ in range(limit):
         if is_stars(e):
-            return e.select("u", F.col("v").alias("root"))
+            out = e.select("u", F.col("v").alias("root"))
+            out.stored_at = e.stored_at
+            return out
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter(F.col("u") != F.col("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        old, e = e, materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(spark, old)
     raise RuntimeError("components did not converge")
 
 
@@ -334,38 +329,53 @@ def simhash_groups(
     text_col: str = "text",
     shingle: int = 3,
     threshold: int = 3,
-    wide_from: int = 1 << 22,
+    kind: str | None = None,
+    cell_rows: int = CELL_ROWS,
+    detail: bool = False,
 ) -> DataFrame:
     """``id``, ``fp``, ``component`` (the smallest id of the linked group) of each row.
 
-    ``wide_from``: count of distinct fingerprints from which the larger code serves.
+    ``kind``: the code (None: as the count of distinct fingerprints asks for); the groups are the same.
+    ``detail``: also ``h`` (a hash of the row's text as it stands) and ``grp`` (equal in a group).
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    spark = docs.sparkSession
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle, detail), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
-    kind = "wide" if nodes.count() >= wide_from else "golay"
-    comp = components(anchor_links(nodes, threshold, kind))
+    links = anchor_links(nodes, threshold, kind or code_for(nodes.count()), cell_rows)
+    comp = components(links)
+    discard(spark, links)
     roots = comp.select(F.col("root").alias("fp"), "root").distinct()
     member = materialize(comp.select(F.col("u").alias("fp"), "root").union(roots).join(nodes, "fp"), "members")
-    named = member.select("fp", "root").join(member.groupBy("root").agg(F.min("rep").alias("least")), "root").select("fp", "least")
-    label = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component"))
-    return fps.join(label, "fp", "left").select("id", "fp", "component")
+    named = member.select("fp", "root").join(member.groupBy("root").agg(F.min("rep").alias("least")), "root")
+    label = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component"), F.coalesce("root", "fp").alias("grp"))
+    out = fps.join(label, "fp", "left")
+    return out.select("id", "fp", "component", *(["h", "grp"] if detail else []))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouping: Callable[..., DataFrame] = simhash_groups, **how) -> DataFrame:
-    """docs with one document of each group; ``grouping`` gives ``id`` and ``component`` of each row.
+    """docs with one row of each group; ``grouping`` gives ``id``, ``h``, ``component`` and ``grp`` of each row.
 
-    Of a group that with the smallest id stays. Rows that repeat an id and a text are one document.
-    An id that stands for several texts stays if one of them stays. A row without id stays.
+    Of a group the row with the smallest id stays, a row without id only where no other has one; of
+    several texts of that id in the group, that with the least hash; of rows equal in both, one.
     """
-    groups = materialize(grouping(docs, id_col, text_col, **how).select("id", "component"), "groups")
-    ids = groups.filter(F.col("id").isNotNull()).groupBy("id").agg(
-        F.max((F.col("id") == F.col("component")).cast("int")).alias("stays"), F.count(F.lit(1)).alias("n")
-    )
-    ids = materialize(ids.filter((F.col("stays") == 0) | (F.col("n") > 1)), "decisions")
-    gone = ids.filter(F.col("stays") == 0).select(F.col("id").alias(id_col))
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    again = ids.filter(F.col("stays") == 1).select(F.col("id").alias(id_col))
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, id_col, "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col]))
+    spark = docs.sparkSession
+    g = materialize(grouping(docs, id_col, text_col, detail=True, **how).select("id", "h", "grp"), "groups")
+    first = g.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "h")).alias("r")).select("r.id", "r.h")
+    first = materialize(first, "first")
+    # an id of one row is decided by the id alone
+    times = g.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    several = materialize(times.filter("id is not null and n > 1").select("id"), "several")
+    gone = materialize(times.filter("id is not null and n = 1").select("id").join(first, "id", "left_anti"), "gone")
+    without = not g.filter("id is null").isEmpty()
+    discard(spark, g)
+    by_id = F.col(id_col) == F.col("_id")
+    out = docs.join(sendable(gone.withColumnRenamed("id", "_id")), by_id, "left_anti")
+    if several.isEmpty() and not without:
+        return out
+    several = sendable(several.withColumnRenamed("id", "_id"))
+    clear = out.filter(F.col(id_col).isNotNull()).join(several, by_id, "left_anti")
+    rest = docs.filter(F.col(id_col).isNull()).unionByName(docs.join(several, by_id, "left_semi"))
+    rest = rest.withColumn("_h", F.xxhash64(F.col(text_col).cast("string")))
+    chosen = first.select(F.col("id").alias("_id"), F.col("h").alias("_k"))
+    rest = rest.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left_semi")
+    return clear.unionByName(rest.dropDuplicates([id_col, "_h"]).select(*docs.columns))
