@@ -8,15 +8,20 @@ rule:
 - ``most``: to that with most of its bytes, the first of equals;
 - ``share``: to each section by the part of its bytes there.
 
-Spans are bytes in UTF-8 within, and code points in ``token_spans``.
-
-Defined cases: a null or empty text has one empty section without tokens; repeated rows each give
-their sections; an empty table gives an empty result.
+Spans are bytes in UTF-8 within, and code points in ``token_spans``. The split pattern looks ahead
+over white space and would go too deep on a very long run of it, so such a run is encoded apart: all
+of it but its last character is one piece in any case, which makes the tokens the same.
+
+Defined cases: a null or empty text has one empty section without tokens; a null id stays null;
+repeated rows each give their sections; an empty table gives an empty result; further columns are
+ignored, whatever their names; very long texts, words and white space take time and memory in
+proportion to their length.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +30,11 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm._shared import bounded_batches
-
 RULES = ("start", "most", "share")
 #: Split pattern of the byte-level vocabulary (a fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space that is encoded apart; the pattern's \\s is that of Unicode, without the separators U+001C to U+001F.
+LONG_SPACE = re.compile(r"[^\S\x1c-\x1f]{32,}")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -52,10 +57,22 @@ class Encoder:
             self._ready = tiktoken.Encoding("sections", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={}), sizes
         return self._ready
 
+    def encode(self, text: str) -> list[int]:
+        """Token numbers of a text."""
+        encoding, _ = self.ready()
+        out: list[int] = []
+        at = 0
+        for m in LONG_SPACE.finditer(text):
+            # at the text's end the whole run is one piece, else its last character belongs to what follows
+            end = m.end() - (m.end() < len(text))
+            out += encoding.encode_ordinary(text[at : m.start()])
+            out += encoding._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + encoding.encode_ordinary(text[at:])
+
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Byte starts and ends of the tokens."""
-        encoding, sizes = self.ready()
-        size = sizes[np.array(encoding.encode_ordinary(text), np.int64)] if text else np.zeros(0, np.int64)
+        size = self.ready()[1][np.array(self.encode(text), np.int64)]
         end = np.cumsum(size)
         return end - size, end
 
@@ -101,7 +118,6 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     spark = docs.sparkSession
-    bounded_batches(spark)
     with open(vocabulary, "rb") as file:
         sent = spark.sparkContext.broadcast(Encoder(file.read()))
 
