@@ -1,13 +1,16 @@
 """Secret scan: fixed patterns and character Markov models.
 
-Two first-order character models are trained from labelled samples, one of random strings (keys
-of several alphabets) and one of ordinary identifiers (words, camel and snake case, paths,
-numbers). A run of key characters outside the patterns' matches is a secret when the mean
-log-likelihood ratio of the two models is above a threshold, which is set from held-out ordinary
-samples.
-
-Offsets are code points, ends exclusive. Defined cases: a null text is empty and holds nothing;
-repeated rows each give a row; an empty table gives an empty result.
+Two first-order character models are trained from labelled samples, one of random strings (keys of
+several alphabets, of one case as of both) and one of ordinary identifiers (words, camel and snake
+case, paths, numbers). Runs of ``LEAST`` key characters or more are candidates; what the fixed
+patterns have matched is cut out of them, and the rest of a run is judged like a run. A candidate is
+a secret when the log-likelihood ratio of the two models, summed over its characters, is above a
+threshold that is set from held-out ordinary samples. Numbers are ordinary, however random.
+
+Offsets are code points, ends exclusive. Defined cases: a null text is empty and holds nothing; spans
+that begin together stand in the order of KINDS; repeated rows each give a row; very long texts and
+runs take time in proportion to their length; further columns are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,23 +18,21 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from bisect import bisect_left
 from functools import cache
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm._shared import bounded_batches
-
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # runs below 24 characters fail in any case
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Characters of a candidate at least.
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 
 WORDS = (
     "account action active address admin after alert amount array async audio author back base batch before binary block board body buffer build button byte cache call camera "
@@ -52,9 +53,22 @@ SYLLABLES = "an at be ble cion con de des ed el en er es ge heit ing ion keit la
 BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
+#: Alphabets of keys.
+ALPHABETS = {
+    "base62": BASE62,
+    "base64": BASE62 + "+/",
+    "url": BASE62 + "-_",
+    "hex": "0123456789abcdef",
+    "upper and digits": BASE62[:26] + BASE62[52:],
+    "lower and digits": BASE62[26:],
+    "letters": BASE62[:52],
+    "upper": BASE62[:26],
+    "lower": BASE62[26:52],
+}
+
+
 def random_sample(r: random.Random) -> str:
-    letters = r.choice([BASE62, BASE62, BASE62 + "+/", BASE62 + "-_", "0123456789abcdef", BASE62[:26] + BASE62[52:], BASE62[26:]])
-    return "".join(r.choices(letters, k=r.randint(20, 60)))
+    return "".join(r.choices(ALPHABETS[r.choice(list(ALPHABETS))], k=r.randint(LEAST, 60)))
 
 
 def ordinary_sample(r: random.Random) -> str:
@@ -84,7 +98,7 @@ def ordinary_sample(r: random.Random) -> str:
 
 
 class Markov:
-    """Mean log-likelihood ratio of characters following each other, random over ordinary."""
+    """Log-likelihood ratio of characters following each other, random over ordinary."""
 
     def __init__(self, positive: list[str], negative: list[str], smooth: float = 0.5):
         self.ratio = self._table(positive, smooth) - self._table(negative, smooth)
@@ -101,16 +115,16 @@ class Markov:
 
     def score(self, s: str) -> float:
         x = np.frombuffer(s.encode(), np.uint8)
-        return float(self.ratio[x[:-1], x[1:]].mean()) if len(x) > 1 else 0.0
+        return float(self.ratio[x[:-1], x[1:]].sum())
 
 
 @cache
 def default_model(samples: int = 20_000, seed: int = 11) -> tuple[Markov, float]:
-    """The models and the threshold: no held-out ordinary sample in 1,000 passes it."""
+    """The models and the threshold: random likelier than ordinary, and no held-out ordinary sample in 1,000 passes it."""
     r = random.Random(seed)
     model = Markov([random_sample(r) for _ in range(samples)], [ordinary_sample(r) for _ in range(samples)])
-    held = [s for s in (ordinary_sample(r) for _ in range(samples)) if len(s) >= 20]
-    return model, max(0.25, float(np.quantile([model.score(s) for s in held], 0.999)))
+    held = [s for s in (ordinary_sample(r) for _ in range(samples)) if len(s) >= LEAST]
+    return model, max(0.0, float(np.quantile([model.score(s) for s in held], 0.999)))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -123,21 +137,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def markov_spans(text: str, base: list[tuple[int, int, int]], model: Markov, threshold: float) -> list[tuple[int, int, int]]:
-    """Runs of key characters that look random; runs that meet a base span are left to it."""
+    """Runs of key characters that look random, without what base spans cover of them."""
     out = []
-    starts = [x for x, _, _ in base]
-    # furthest end of the spans up to each
-    ends = list(accumulate((y for _, _, y in base), max))
+    covered: list[list[int]] = []  # base spans, united
+    for x, _, y in base:
+        if covered and x <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], y)
+        else:
+            covered.append([x, y])
+    k = 0
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        s = m[0]
-        if s.isalpha() and (s.islower() or s.isupper()) or s.isdigit():
-            continue
-        before = bisect_left(starts, b)
-        if before and ends[before - 1] > a:
-            continue
-        if model.score(s) > threshold:
-            out.append((a, 3, b))
+        a, end = m.span()
+        while k < len(covered) and covered[k][1] <= a:
+            k += 1
+        j = k
+        while a < end:
+            cut = min(covered[j][0], end) if j < len(covered) else end
+            if cut - a >= LEAST and model.score(text[a:cut]) > threshold:
+                out.append((a, 3, cut))
+            a = covered[j][1] if j < len(covered) and cut < end else end
+            j += 1
     return out
 
 
@@ -147,7 +166,6 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, counts of each kind, ``base_sha256`` and ``spans`` of each row."""
-    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(default_model())
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
