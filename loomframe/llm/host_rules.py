@@ -1,14 +1,15 @@
 """Quality rules with verdicts by host (DataFrame functions only).
 
 Each document gets counts and rule failures. Failures are summed by host, each host's failure
-rates are shrunk by a beta prior that is fitted to all hosts by moments, and the host verdicts are
-joined back: a host is strict when a shrunk rate passes ``strict_rate``. A strict host's documents
+rates are shrunk by a beta prior that is fitted to all hosts by the moments of beta-binomial counts
+(so hosts of few documents don't count as spread), and the host verdicts are joined back: a host is strict when a shrunk rate passes ``strict_rate``. A strict host's documents
 stay only with no failure at all; other hosts' documents may fail ``tolerated`` soft rules. A
 document that fails a base rule always goes.
 
-Defined cases: a null text has no words (base failure); a null host counts as the host "";
-repeated rows count as often as they occur; an empty table gives an empty result; further columns
-are carried or ignored and may have any names.
+Defined cases: a null text has no words (base failure); a null host counts as the host ""; a rate of
+just ``strict_rate`` is not strict; hosts that agree get the strongest prior; repeated rows count as
+often as they occur; very long texts take memory in proportion to their words; an empty table gives
+an empty result; further columns are carried or ignored and may have any names.
 """
 
 from __future__ import annotations
@@ -107,6 +108,22 @@ def rule_features(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     return d.select("row", "host", F.inline(F.array(F.struct(*COUNTS, *failed))))
 
 
+def beta_prior(hosts: int, n: int, nn: float, k: int, kk: float, least: float = 2.0, most: float = 1000.0) -> tuple[float, float]:
+    """Mean and strength (a + b) of the beta prior of hosts' failure rates, by the moments of beta-binomial counts.
+
+    n, nn: sums of the hosts' documents and of their squares; k: of failures; kk: of failures squared
+    over documents. With rho = 1 / (a + b + 1) the weighted spread of the rates, kk - k * k / n, is
+    expected to be m * (1 - m) * ((hosts - 1) * (1 - rho) + rho * (n - nn / n)): what binomial counts
+    scatter by themselves is no spread of the hosts.
+    """
+    m = k / n if n else 0.0
+    beyond = n - nn / n - (hosts - 1) if n else 0.0
+    if not 0 < m < 1 or beyond <= 0:
+        return m, most
+    rho = ((kk - k * m) / (m * (1 - m)) - (hosts - 1)) / beyond
+    return m, min(max(1 / rho - 1, least), most) if rho > 0 else most
+
+
 def host_verdicts(features: DataFrame, strict_rate: float = 0.5) -> DataFrame:
     """``host``, ``n_docs``, a shrunk failure rate for each rule, ``strict``."""
     counts = materialize(
@@ -117,17 +134,18 @@ def host_verdicts(features: DataFrame, strict_rate: float = 0.5) -> DataFrame:
         "hosts",
     )
     rate = {r: F.col(f"{r}_fails") / F.col("n_docs") for r in RULES}
-    # the prior is one row: moments of the hosts' rates
+    # the prior is one row: sums over hosts for the moments of beta-binomial counts
     prior = counts.agg(
-        *[F.avg(rate[r]).alias(f"{r}_m") for r in RULES],
-        *[F.var_pop(rate[r]).alias(f"{r}_v") for r in RULES],
+        F.count(F.lit(1)).alias("hosts"),
+        F.sum("n_docs").alias("n"),
+        F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("nn"),
+        *[F.sum(f"{r}_fails").alias(f"{r}_k") for r in RULES],
+        *[F.sum(F.col(f"{r}_fails") * rate[r]).alias(f"{r}_kk") for r in RULES],
     ).first()
     shrunk = {}
     for r in RULES:
-        m, v = prior[f"{r}_m"] or 0.0, prior[f"{r}_v"] or 0.0
-        strength = min(max(m * (1 - m) / v - 1, 2.0), 1000.0) if v > 0 else 1000.0
-        a, b = m * strength, (1 - m) * strength
-        shrunk[r] = (F.col(f"{r}_fails") + F.lit(a)) / (F.col("n_docs") + F.lit(a + b))
+        m, strength = beta_prior(prior["hosts"], prior["n"] or 0, prior["nn"] or 0.0, prior[f"{r}_k"] or 0, prior[f"{r}_kk"] or 0.0)
+        shrunk[r] = (F.col(f"{r}_fails") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength))
     strict = F.lit(False)
     for r in RULES:
         strict = strict | (shrunk[r] > strict_rate)

@@ -85,6 +85,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB's \s is wider than the contract's white space, so classes are spelled out.
 ORACLES: dict[str, str] = {
+    "op3_zip_warc": r"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT *, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS x FROM p),
+-- 20 bits of a digest are five hexadecimal digits and four letters
+q AS (SELECT rid, g, CAST('0x' || substr(x, 5 * g + 1, 5) AS BIGINT) AS v FROM d, range(8) t(g)),
+l AS (
+  SELECT rid, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> (15 - 5 * j)) & 31)::INT + 1, 1), '' ORDER BY g, j) AS payload_digest
+  FROM q, range(4) t(j) GROUP BY rid),
+o AS (SELECT x, max(page_id) AS owner FROM d GROUP BY x)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM d JOIN l ON l.rid = d.rid JOIN o ON o.x = d.x""",
     "op4_host_rules": r"""
 WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
@@ -111,9 +123,13 @@ h AS (
 m AS (
   SELECT host, n, unnest([f0, f1, f2, f3]) AS f, unnest([0, 1, 2, 3]) AS k FROM h),
 b AS (
-  SELECT k, avg(f / n) AS m, var_pop(f / n) AS v FROM m GROUP BY k),
+  SELECT k, count(*) AS hosts, sum(n)::DOUBLE AS n, sum(n::DOUBLE * n) AS nn, sum(f)::DOUBLE AS f, sum(f * (f / n)) AS ff FROM m GROUP BY k),
+q AS (
+  SELECT k, f / n AS m, hosts, n - nn / n - (hosts - 1) AS beyond, ff - f * (f / n) AS spread FROM b),
+o AS (
+  SELECT k, m, CASE WHEN m > 0 AND m < 1 AND beyond > 0 THEN (spread / (m * (1 - m)) - (hosts - 1)) / beyond ELSE 0 END AS rho FROM q),
 e AS (
-  SELECT k, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 2.0), 1000.0) ELSE 1000.0 END AS z FROM b),
+  SELECT k, m, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 2.0), 1000.0) ELSE 1000.0 END AS z FROM o),
 v AS (
   SELECT host, bool_or((f + e.m * z) / (n + z) > 0.5) AS strict FROM m JOIN e ON e.k = m.k GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
