@@ -9,20 +9,23 @@ The model is fitted on a bounded sample: the ``max_rows`` labelled rows that com
 their id, and ``max_pairs`` pairs of them. Rows that are held out never take part.
 
 Defined cases: a null text is the empty text and gets a score; a null id is not held out; a label
-without a document or with a null is ignored; conflicting and repeated labels count each; with one
-class only all scores follow its sign; an empty table gives an empty result.
+without a document or with a null is ignored; conflicting and repeated labels count each; rows that
+repeat a labelled id count each, up to ``max_rows`` in all; a score at the quantile itself is 0.5 and
+predicted 1; with one class only all scores follow its sign; very long texts take time and memory in
+proportion to their length; further columns are ignored, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.llm._shared import bounded_batches
-
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 CLIP = 5.0
 
@@ -88,6 +91,13 @@ def describe(text: str | None) -> np.ndarray:
     )
 
 
+def pair_loss(differences: np.ndarray, w: np.ndarray, ridge: float = 1e-4) -> tuple[float, np.ndarray]:
+    """Mean of log(1 + exp(-d w)) over the preferences' differences, with a small ridge; its gradient."""
+    z = np.clip(differences @ w, -30, 30)
+    loss = float(np.log1p(np.exp(-z)).mean() + ridge / 2 * (w @ w))
+    return loss, -(differences * (1 / (1 + np.exp(z)))[:, None]).mean(0) + ridge * w
+
+
 class Ranker:
     """Weights of standardised features, their squares and magnitudes; the threshold and scale of scores."""
 
@@ -102,8 +112,7 @@ class Ranker:
             m, v = np.zeros_like(self.w), np.zeros_like(self.w)
             for k in range(1, steps + 1):
                 some = d[r.integers(0, len(d), 4096)]
-                # gradient of log(1 + exp(-d w)), with a small ridge
-                g = -(some * (1 / (1 + np.exp(np.clip(some @ self.w, -30, 30))))[:, None]).mean(0) + 1e-4 * self.w
+                g = pair_loss(some, self.w)[1]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 self.w -= 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
@@ -120,6 +129,14 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip((self.basis(x) @ self.w - self.threshold) / self.scale * 4, -30, 30)))
 
 
+def features_of() -> Callable[..., Column]:
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def described(text: pd.Series) -> pd.Series:
+        return pd.Series([describe(t) for t in text], dtype=object)
+
+    return described
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -127,17 +144,18 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000, max_pairs: int = 100_000) -> Ranker:
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("i"), "i", "y").limit(max_rows)
-    described = F.pandas_udf(lambda text: pd.Series([describe(t) for t in text]), T.ArrayType(T.DoubleType()))
     # at most max_rows ids are sent
     sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(known), "i")
-    got = sample.select("i", "y", described("t").alias("x")).toPandas().sort_values(["i", "y"])
+    sample = sample.select("i", "y", features_of()("t").alias("x"))
+    # an id may stand in many rows, so the rows are bounded once more
+    sample = sample.orderBy(F.xxhash64("i"), "i", "y", "x").limit(max_rows)
+    got = sample.toPandas().sort_values(["i", "y"], kind="stable")
     x = np.array(got["x"].tolist()).reshape(len(got), -1) if len(got) else np.zeros((0, 27))
     return Ranker(x, got["y"].to_numpy(), max_pairs)
 
 
 def score(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``held_out``, ``score``, ``predicted`` of each row."""
-    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
