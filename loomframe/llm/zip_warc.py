@@ -11,7 +11,10 @@ task's manifest rows are committed, so attempts that were lost leave nothing tha
 
 Defined cases: a null payload is empty; equal payloads of at least ``min_bytes`` are one response,
 that of the largest page_id, and revisits of it (rows that repeat that page_id are responses too);
-a null page_id never names a response unless all are null; an empty table gives no archive.
+a null page_id never names a response unless all are null; repeated rows each give a record; a very
+long page is one record, held in memory once packed; further columns are ignored, whatever their
+names; an empty table gives no archive. Archives stay in the shared folder until their reader has
+been run and the caller removes the folder (``remove_archives``).
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm._shared import bounded_batches, materialize, new_path
+from loomframe.llm._shared import discard, materialize, new_path
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 #: Signatures and layouts of the ZIP format (fixed values).
@@ -130,9 +133,14 @@ class ZipArchive:
     def _directory(self) -> dict[str, dict[str, int]]:
         tail_at = max(0, self.size - 65_557)
         tail = self.read(tail_at, self.size - tail_at)
-        at = tail.rfind(END)
-        if at < 0:
-            raise ValueError("no end of central directory")
+        at = len(tail)
+        while True:
+            at = tail.rfind(END, 0, at)
+            if at < 0:
+                raise ValueError("no end of central directory")
+            # the record ends with a comment, which may hold the signature itself
+            if at + 22 <= len(tail) and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] == len(tail):
+                break
         _, _, _, _, count, length, offset, _ = struct.unpack_from(END_LAYOUT, tail, at)
         where = tail_at + at
         if where >= 20 and (count == 0xFFFF or length == 0xFFFFFFFF or offset == 0xFFFFFFFF or self.read(where - 20, 4) == LOCATOR):
@@ -217,8 +225,6 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = 32 << 20) -> DataFrame:
     """Writes archives below folder; returns their manifest (``path``, ``records``)."""
-    bounded_batches(pages.sparkSession)
-
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[bytes] = []
         size = 0
@@ -268,6 +274,18 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     return out.select(*[F.col(c).cast("long").alias(c) if c in ("page_id", "payload_bytes", "refers_to") else F.col(c) for c in names])
 
 
+def remove_archives(pages: DataFrame, folder: str) -> None:
+    """Removes a folder of archives."""
+    spark = pages.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes pages to archives in the shared folder and reads the records back."""
-    return read_archives(write_archives(pages, new_path(pages.sparkSession, "archives"), min_bytes))
+    """Writes pages to archives in the shared folder, reads the records back and removes the archives."""
+    folder = new_path(pages.sparkSession, "archives")
+    manifest = write_archives(pages, folder, min_bytes)
+    out = materialize(read_archives(manifest), "records")
+    remove_archives(pages, folder)
+    discard(pages.sparkSession, manifest)
+    return out
