@@ -11,8 +11,11 @@ which permutes them; a source is read whole as often as its budget holds it, and
 reading the blocks are taken in order while tokens are left, within the last block document by
 document. Sums run over blocks and groups of blocks, never over a whole source in one task.
 
-Defined cases: a null text has no tokens; a null source is the source ""; a source without tokens
-is read once; repeated rows count each; an empty table gives an empty result.
+Defined cases: a null text has no tokens; a null source is the source ""; a source without tokens is
+read once; repeated rows count each, and many rows equal in id and text are spread over blocks like
+different ones; of rows with equal keys in a block any may be read first; a null id is a value like
+others; very long texts are only counted; further columns are carried as they are, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm._shared import materialize, words
+from loomframe.llm._shared import materialize, with_copy_numbers, words
 
 BLOCK_ROWS = 512
 GROUP_BLOCKS = 1024
+#: A block of so many times its rows is crowded.
+CROWDED = 8
 
 
 def _scan(shares: DataFrame, exponents: list[float]) -> list[dict]:
@@ -95,6 +100,7 @@ def mix_sources(
     target_entropy: float | None = None,
     budget_tokens: float | None = None,
     seed: int = 7,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """A row for each reading of a document: ``row`` (carried columns), ``source``, ``n_tokens``, ``block``, ``epoch``.
 
@@ -116,10 +122,20 @@ def mix_sources(
     plan = materialize(source_plan(sources, find_exponent(sources, max_repetition, target_entropy), budget_tokens), "plan")
 
     def blocked(x: DataFrame) -> DataFrame:
-        return x.join(plan.select("source", "n_docs", "epochs", "rest"), "source").withColumn("block", _block(F.col("key"), F.col("n_docs")))
+        return x.join(plan.select("source", "n_docs", "epochs", "rest"), "source").withColumn("block", _block(F.col("key"), F.col("n_docs"), block_rows))
 
-    blocks = blocked(slim).groupBy("source", "block", "rest").agg(F.sum("n_tokens").alias("tokens"))
-    blocks = materialize(blocks.withColumn("super", F.floor(F.col("block") / GROUP_BLOCKS)), "blocks")
+    def summed(x: DataFrame) -> DataFrame:
+        return materialize(blocked(x).groupBy("source", "block", "rest").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "blocks")
+
+    blocks = summed(slim)
+    if not blocks.filter(F.col("n") > CROWDED * block_rows).isEmpty():
+        # many equal rows: each copy gets a key, and so a block, of its own
+        suspects = blocked(slim).join(blocks.filter(F.col("n") > CROWDED * block_rows).select("source", "block"), ["source", "block"], "left_semi").select("source", "key")
+        d = with_copy_numbers(d, ["source", "key"], block_rows, materialize(suspects.distinct(), "suspects"))
+        d = d.withColumn("key", F.when(F.col("_copy") > 0, F.xxhash64("key", "_copy")).otherwise(F.col("key"))).drop("_copy")
+        slim = d.select("source", "n_tokens", "key")
+        blocks = summed(slim)
+    blocks = blocks.withColumn("super", F.floor(F.col("block") / GROUP_BLOCKS))
     # tokens before each block: of the groups before its group, then of the blocks before it
     supers = blocks.groupBy("source", "super").agg(F.sum("tokens").alias("t"))
     w = Window.partitionBy("source").orderBy("super").rowsBetween(Window.unboundedPreceding, -1)
@@ -139,5 +155,5 @@ def mix_sources(
     )
 
 
-def _block(key: Column, n_docs: Column) -> Column:
-    return F.pmod(key, F.ceil(n_docs / BLOCK_ROWS)).cast("long")
+def _block(key: Column, n_docs: Column, block_rows: int) -> Column:
+    return F.pmod(key, F.ceil(n_docs / block_rows)).cast("long")

@@ -8,7 +8,10 @@ p div shards, so both can be computed from a row number alone, counts differ by
 slots have no gap.
 
 Defined cases: a null text has size 8 and the checksum of the empty text; rows equal in all these
-values get neighbouring numbers in any order; an empty table gives an empty result.
+values share out their numbers in any order, whatever their count; a null id is a value like others;
+very long texts are only hashed; further columns are carried as they are, whatever their names; an
+empty table gives an empty result. Equal texts are no group of their own under this law: with shards
+of equal counts each row is placed by itself, so copies of a text may stand in several shards.
 """
 
 from __future__ import annotations
@@ -21,9 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.llm._shared import materialize
+from loomframe.llm._shared import materialize, with_copy_numbers
 
 BUCKET_ROWS, MAX_BUCKETS = 2048, 1 << 16
+#: A bucket of so many times its share of rows is crowded.
+CROWDED = 4
 ROUNDS = 6
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,28 +80,40 @@ def unfeistel(p: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def number_rows(df: DataFrame, order: list[str], count: int) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], count: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """df with ``row_number`` from 0, by bucket of the order columns' hash and then by them.
 
-    Two narrow passes: counts by bucket, then a window over buckets of bounded size.
+    Two narrow passes: counts by bucket, then a window over buckets of bounded size. Where a bucket is
+    crowded because many rows are equal in the order columns, such rows are counted and part by part
+    put into buckets of their own hash, so the numbers still depend on the rows alone.
     """
-    buckets = max(1, min(MAX_BUCKETS, ceil(count / BUCKET_ROWS)))
+    buckets = max(1, min(MAX_BUCKETS, ceil(count / bucket_rows)))
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    sizes = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    most = CROWDED * max(bucket_rows, count // buckets)
+    crowded = sizes.filter(F.col("n") > most).select("_bucket")
+    if crowded.isEmpty():
+        df = df.withColumn("_copy", F.lit(0).cast("long"))
+    else:
+        df = with_copy_numbers(df, order, bucket_rows, crowded)
+        part = F.floor(F.col("_copy") / bucket_rows)
+        df = df.withColumn("_bucket", F.when(part > 0, F.pmod(F.xxhash64(*order, part), F.lit(buckets)).cast("int")).otherwise(F.col("_bucket")))
+        sizes = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
     # at most MAX_BUCKETS rows
     before = sizes.select(
         "_bucket", F.coalesce(F.sum("n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
     )
     before = materialize(before, "buckets")
-    w = Window.partitionBy("_bucket").orderBy(*order)
+    w = Window.partitionBy("_bucket").orderBy(*order, "_copy")
     out = df.join(before, "_bucket").withColumn("row_number", F.col("_before") + F.row_number().over(w) - 1)
-    return out.drop("_bucket", "_before")
+    return out.drop("_bucket", "_before", "_copy")
 
 
 def shard_rows(
     docs: DataFrame,
     shards: int = 24,
     seed: int = 20,
+    bucket_rows: int = BUCKET_ROWS,
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: list[str] | None = None,
@@ -120,7 +137,7 @@ def shard_rows(
     def permuted(number: pd.Series) -> pd.Series:
         return pd.Series(feistel(number.to_numpy(), n, seed))
 
-    d = number_rows(d, ["_id", "text_crc32", "size", "_hash"], n).withColumn("_p", permuted("row_number"))
+    d = number_rows(d, ["_id", "text_crc32", "size", "_hash"], n, bucket_rows).withColumn("_p", permuted("row_number"))
     return d.select(
         "row",
         "size",

@@ -74,13 +74,13 @@ def test_simhash(docs, empty):
     assert len(got) == docs.count() and simhash.simhash_groups(empty).count() == 0
     kept = simhash.keep_one(docs)
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    assert sorted(ids) == sorted({r.component for r in got if r.id is not None}) and kept.columns == docs.columns
+    assert sorted(ids) == sorted({r.component for r in got if r.component is not None}) and kept.columns == docs.columns
 
 
-@pytest.mark.parametrize("kind", ["golay", "wide"])
+@pytest.mark.parametrize("kind", sorted(simhash.CODES))
 def test_anchors_lose_no_link(kind):
     r = random.Random(4)
-    for _ in range(150):
+    for _ in range(100):
         a = r.getrandbits(64)
         b = a
         for k in r.sample(range(64), r.randint(0, 3)):
@@ -100,8 +100,9 @@ def test_crowded_anchor_is_split(spark):
     far = {r.getrandbits(64) for _ in range(50)}
     fps = sorted(np.array(sorted(near | far), np.uint64).view(np.int64).tolist())
     nodes = spark.createDataFrame([(x,) for x in fps], "fp long")
-    for rows in (16, 1 << 14):
-        root = {x.u: x.root for x in simhash.components(simhash.anchor_links(nodes, cell_rows=rows)).collect()}
+    # the groups are the same whichever code serves and however small the cells are
+    for rows, kind in [(16, "golay"), (1 << 14, "golay"), *((1 << 14, k) for k in simhash.CODES if k != "golay")]:
+        root = {x.u: x.root for x in simhash.components(simhash.anchor_links(nodes, 3, kind, rows)).collect()}
         got = [root.get(x, x) for x in fps]
         want = brute_components([x & (2**64 - 1) for x in fps])
         assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
@@ -165,45 +166,92 @@ def test_host_rules(docs, empty):
     assert long.n_words == 3000 and long.n_repeat_words == 3000 and long.row.host == "clash"
 
 
+def unseeded(rows, items, exact_below=8):
+    """Scores of 0.55 or more by alignment of whole texts with whole items."""
+    number = {}
+    code = lambda t: np.array([number.setdefault(w, len(number)) for w in decontaminate.tokens(t)], np.int64)
+    coded, out = [(i, code(t)) for i, t in items], {}
+    for d, t in rows:
+        x = code(t)
+        for i, c in coded:
+            if len(c) >= 4 and len(x):
+                score = decontaminate.align(c, x)[0] / (2 * len(c))
+                if score >= (0.55 if len(c) >= exact_below else 1.0):
+                    out[d, i] = score
+    return out
+
+
+def scores(spark, rows, items, **how):
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    return {(x.doc_id, x.item_id): x.score for x in decontaminate.contamination(d, b, **how).collect()}
+
+
 def test_decontaminate(spark, empty):
     r = random.Random(3)
     items = [prose(r, 40, 5000) for _ in range(5)]
     edited = items[1].split()
     edited[5] = edited[17] = "changed"
     del edited[28]
-    rows = [(0, prose(r, 300, 5000) + " " + items[0]), (1, "Z. " + " ".join(edited).upper() + "!"), (2, prose(r, 400, 5000)), (3, None), (4, ""), (None, items[2])]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    b = spark.createDataFrame([*enumerate(items), (9, "too short"), (None, None)], "item_id long, text string")
+    rows = [(0, prose(r, 300, 5000) + " " + items[0]), (1, "Z. " + " ".join(edited).upper() + "!"), (2, prose(r, 400, 5000)), (3, None), (4, ""), (None, items[2]), (None, "clean"), (7, items[3]), (7, "clean"), (2, "clean")]
+    short = [(10, "just six words in this item"), (11, "two words"), (None, None), (12, " ")]
+    rows += [(20, "so Just six, words in this item."), (21, "just six words in that item"), (22, "a\nTwo words!\nb"), (23, "these two words")]
+    d = spark.createDataFrame([(*x, "clash", 1) for x in rows], "doc_id long, text string, item_id string, score int")
+    b = spark.createDataFrame([(*x, "clash") for x in [*enumerate(items), *short]], "item_id long, text string, doc_id string")
     got = {(x.doc_id, x.item_id): x.score for x in decontaminate.contamination(d, b).collect()}
-    assert set(got) == {(0, 0), (1, 1), (None, 2)} and got[0, 0] == 1.0 and 0.8 < got[1, 1] < 1
+    assert set(got) == {(0, 0), (1, 1), (None, 2), (7, 3), (20, 10), (22, 11)} and got[0, 0] == got[20, 10] == got[22, 11] == 1.0 and 0.8 < got[1, 1] < 1
     assert {(x.doc_id, x.item_id) for x in decontaminate.contamination(d, b, block_words=50).collect()} == set(got)
-    assert [x.doc_id for x in decontaminate.drop_contaminated(d, b).orderBy("doc_id").collect()] == [2, 3, 4]
+    # rows that share an id or have none are judged by their own texts
+    kept = decontaminate.drop_contaminated(d, b)
+    assert kept.columns == d.columns
+    assert sorted((x.doc_id or -1, (x.text or "")[:5]) for x in kept.collect()) == [(-1, "clean"), (2, "clean"), (2, rows[2][1][:5]), (3, ""), (4, ""), (7, "clean"), (21, "just "), (23, "these")]
     assert decontaminate.contamination(d, b.limit(0)).count() == 0 and decontaminate.drop_contaminated(empty, b).count() == 0
+    assert decontaminate.drop_contaminated(d, b.limit(0)).count() == len(rows)
 
 
-@pytest.mark.parametrize("every", [5, 6])
-@pytest.mark.parametrize("verbatim", [0, 3])
-def test_decontaminate_finds_scattered_edits(spark, every, verbatim):
-    """Copies whose longest run is 4 or 5 words, leaked once or also word for word, against full alignment."""
+@pytest.mark.parametrize("every", range(2, 9))
+def test_decontaminate_equals_unseeded_alignment(spark, every, monkeypatch):
+    """Copies with every so manyth word replaced, left out or followed by a foreign one; repeated rows; pieces."""
+    if every == 4:
+        monkeypatch.setattr(decontaminate, "PIECE", 64)
     r = random.Random(every)
-    items = [[f"i{k}x{j}" for j in range(r.randint(15, 59))] for k in range(40)]
+    # common words stand in all items, so that texts share many words by chance
+    word = lambda: f"c{r.randrange(12)}" if r.random() < 0.5 else f"i{r.randrange(2000)}"
+    items = [(k, " ".join(word() for _ in range(r.randint(8, 59)))) for k in range(30)]
     rows = []
-    for k, item in enumerate(items):
-        copy = [f"c{r.randrange(10**6)}" if j % every == every - 1 else w for j, w in enumerate(item)]
-        rows.append((k, " ".join([prose(r, 30), *copy, prose(r, 30)])))
-        rows += [(100 * k + 1000 + v, " ".join([prose(r, 9), *item])) for v in range(verbatim)]
-    number = {w: n for n, w in enumerate({w for _, t in rows for w in t.split()} | {w for i in items for w in i})}
-    coded = [np.array([number[w] for w in i]) for i in items]
-    want = {}
-    for d, t in rows:
-        x = np.array([number[w] for w in t.split()])
-        for k, c in enumerate(coded):
-            if (score := decontaminate.align(c, x)[0] / (2 * len(c))) >= 0.55:
-                want[d, k] = score
-    assert {(k, k) for k in range(40)} <= set(want)
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    b = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
-    assert {(x.doc_id, x.item_id): x.score for x in decontaminate.contamination(d, b).collect()} == want
+    for k, item in items:
+        for kind in range(3):
+            w = []
+            for j, x in enumerate(item.split()):
+                if j % every < every - 1:
+                    w.append(x)
+                elif kind != 1:
+                    w += [word()] if kind == 0 else [x, word()]
+            rows.append((3 * k + kind, " ".join([*(word() for _ in range(40)), *w, *(word() for _ in range(150))])))
+    want = unseeded(rows, items)
+    assert every in (2, 3) or {(3 * k, k) for k in range(30)} <= set(want)
+    assert scores(spark, rows + rows[:5], items) == want
+
+
+def test_decontaminate_equals_unseeded_alignment_on_documents(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    rows = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet' where length(text) < 8000").fetchall()
+    items = duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()
+    assert scores(spark, rows, items) == unseeded(rows, items)
+
+
+def test_decontaminate_words_and_long_texts():
+    assert decontaminate.tokens("Ab_1, это 東京タワー né") == ["ab_1", "это", *"東京タワー", "né"]
+    item = "どのように東京で電車に乗りますか"
+    b = decontaminate.Items([("1", decontaminate.tokens(item))], 4, 0.55, 8)
+    edited = item.replace("電", "x")
+    assert [len(m) for m in b.matches([f"です。{edited}。", "東京は大きい", None])] == [1, 0, 0]
+    words = [f"w{k}" for k in range(30)]
+    b = decontaminate.Items([("1", words)], 4, 0.55, 8)
+    ((m,),) = b.matches(["x y z " * 400_000 + " ".join(words) + " q" * 300_000])
+    assert m == ("1", 1.0, 27, 1_200_030)
 
 
 def test_align_brute():
@@ -264,13 +312,112 @@ def test_html(spark):
     assert got == {1: "A & B\nOne two three é.\nFour is a longer line of text.", 2: "", 3: "", 4: "", 5: ""}
 
 
+def test_html_viterbi_and_gradient():
+    """Viterbi against all labellings of short pages; the gradient against differences of the likelihood."""
+    from itertools import product
+
+    model = html_crf.default_model()
+    r = random.Random(31)
+    seen = 0
+    while seen < 25:
+        bs = html_crf.blocks(html_crf.labelled_page(r)[0], model.weights)
+        if not 2 <= len(bs) <= 9:
+            continue
+        seen += 1
+
+        def score(y, bs=bs):
+            out = 0.0
+            for k, b in enumerate(bs):
+                out += sum(model.weights[f][y[k]] for f in html_crf.features(b, k, len(bs)) if f in model.weights)
+                if k:
+                    out += model.moves[bs[k - 1].container == b.container][y[k - 1]][y[k]]
+            return out
+
+        assert abs(score(model.label(bs)) - max(score(y) for y in product((0, 1), repeat=len(bs)))) < 1e-9
+    chains = html_crf.Chains([html_crf.labelled_page(r) for _ in range(6)], 1e-3)
+    g = np.random.default_rng(2)
+    w, moves = g.normal(size=(len(chains.index), 2)), g.normal(size=(2, 2, 2))
+    _, dw, dm = chains.gradient(w, moves)
+    for x, d in ((w, dw), (moves, dm)):
+        for at in [tuple(g.integers(0, n) for n in x.shape) for _ in range(12)]:
+            values = []
+            for step in (1e-5, -1e-5):
+                x[at] += step
+                values.append(chains.gradient(w, moves)[0])
+                x[at] -= step
+            assert abs((values[0] - values[1]) / 2e-5 - d[at]) < 1e-5
+
+
+#: Layouts that the generator of training pages never writes: (page, the article's blocks).
+LAYOUTS = {
+    "blog in divs": (
+        """<html><body><div id="page"><div class="site-header"><a href="/">My Blog</a><div class="tagline">Notes on things</div></div>
+        <div class="hentry"><div class="entry-title"><h1>On the making of bread</h1></div><div class="entry-content"><p>Bread is made of flour, water, salt and time.</p>
+        <div class="adsense">Buy the best ovens now</div><p>Of these, time is what most of us have least of.<h2>Flour</h2><ul><li>Rye flour for taste<li>Wheat flour for volume</ul>
+        <blockquote>Give us this day our daily bread, and a good knife to cut it.</blockquote></div></div>
+        <div id="secondary" class="widget-area"><h3>Recent posts</h3><ul><li><a href="/a">Cheese</a><li><a href="/b">Wine</a></ul></div>
+        <div id="comments"><h3>Two comments</h3><div class="comment-body"><p>I have tried this and it works very well.</p></div></div>
+        <div id="colophon" class="footer"><p>Powered by patience.</p></div></div></body></html>""",
+        ["On the making of bread", "Bread is made of flour, water, salt and time.", "Of these, time is what most of us have least of.", "Flour", "Rye flour for taste", "Wheat flour for volume", "Give us this day our daily bread, and a good knife to cut it."],
+    ),
+    "news": (
+        """<body><header role="banner"><nav><ul><li><a href=/1>World</a></li><li><a href=/2>Sport</a></li></ul></nav></header>
+        <main id="main-content"><article><h1>Harbour reopens after the storm</h1><p class="byline">By our correspondent</p>
+        <figure><img src=x.jpg><figcaption>Ships leave the harbour on Monday.</figcaption></figure><p>The harbour was opened again on Monday, three days after the storm.</p>
+        <aside class="related-links"><h2>Related</h2><ul><li><a href=/3>Storm hits the coast</a></li></ul></aside>
+        <p>Officials said that &ldquo;no lasting damage&rdquo; had been found.</p><div class="newsletter-signup"><p>Sign up for our newsletter</p><form><input type=email><button>Sign up</button></form></div>
+        <p>Ferries will run from Tuesday.</p></article></main><section class="comments"><p>Great news for all of us who live there.</p></section><footer><p>&copy; The Paper</p></footer>""",
+        ["Harbour reopens after the storm", "By our correspondent", "Ships leave the harbour on Monday.", "The harbour was opened again on Monday, three days after the storm.", "Officials said that “no lasting damage” had been found.", "Ferries will run from Tuesday."],
+    ),
+    "wiki": (
+        """<div id="mw-navigation" class="navbar"><ul><li><a href=/>Main page</a><li><a href=/r>Random article</a></ul></div><div id="content" class="mw-body" role="main">
+        <h1 id="firstHeading">Sedge warbler</h1><div id="bodyContent"><p>The <b>sedge warbler</b> is a small <a href=/p>passerine</a> bird that breeds across Europe.</p>
+        <table class="infobox"><tr><th>Family</th><td>Acrocephalidae</td></tr></table><h2>Description</h2><p>It is a streaked brown bird with a clear stripe above the eye.</p>
+        <dl><dt>Length</dt><dd>About thirteen centimetres</dd></dl></div></div><div id="footer" role="contentinfo"><ul><li>Last edited on Friday<li><a href=/privacy>Privacy policy</a></ul></div>""",
+        ["Sedge warbler", "The sedge warbler is a small passerine bird that breeds across Europe.", "Family", "Acrocephalidae", "Description", "It is a streaked brown bird with a clear stripe above the eye.", "Length", "About thirteen centimetres"],
+    ),
+    "old tables": (
+        """<table><tr><td class="menu"><a href=a>Home</a><br><a href=b>Links</a></td><td class="content"><h2>Welcome</h2><p>This page has been on the net since the last century, and it has hardly changed.</p>
+        <p>Write to me if you like it; I read all letters.</p></td></tr><tr><td class="copyright" colspan=2>Copyright by the author</td></tr></table>""",
+        ["Welcome", "This page has been on the net since the last century, and it has hardly changed.", "Write to me if you like it; I read all letters."],
+    ),
+}
+
+
+def test_html_on_other_layouts():
+    """Recall and precision of blocks on layouts outside the generator's."""
+    model = html_crf.default_model()
+    right = kept = wanted = 0
+    for page, texts in LAYOUTS.values():
+        got = html_crf.main_text(model, page).split("\n")
+        right += sum(x in texts for x in got)
+        kept += len(got)
+        wanted += len(texts)
+    assert right / wanted >= 0.9 and right / kept >= 0.9
+
+
+@pytest.mark.parametrize("page", ["<a " * 1_700_000, '<a "' * 400_000, "<div>x" * 500_000, "<!" * 500_000, "<div>" * 100_000 + "</b1>" * 100_000, "<ul>" + "<div>" * 30_000 + "<li></li>" * 30_000, "<p>&#" + "9" * 6000 + ";</p>", '<a "x" ' * 200_000 + '">"'], ids=range(8))
+def test_html_broken_pages_take_linear_time(page):
+    html_crf.main_text(html_crf.default_model(), page)
+
+
+def test_html_awkward_rows(spark):
+    rows = [(1, "u", "<article><p>One line of text here.</p></article>", "clash", "x")] * 2 + [(None, None, "<article><p>" + "Many words of text. " * 100_000 + "</p></article>", None, None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string, row string")
+    got = html_crf.extract(d)
+    assert got.columns == ["row", "text"] and sorted(len(x.text) for x in got.collect()) == [22, 22, 1_999_999]
+    assert got.first().row.text == "clash" and html_crf.extract(d.limit(0)).count() == 0
+
+
 def test_zip_warc(spark, monkeypatch):
     rows = [(1, "u\n1", "é body"), (2, None, "é body"), (3, "u", None), (4, "u", ""), (5, "u", "alone"), (None, "u", "alone"), (6, "u", "twice"), (6, "u", "twice")]
-    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    d = spark.createDataFrame([(*x, "clash", 1) for x in rows], "page_id long, url string, html string, record_type string, owner long")
     got = sorted(map(tuple, zip_warc.round_trip(d).select("page_id", "payload_bytes", "record_type", "refers_to").collect()), key=str)
     want = [(1, 7, "revisit", 2), (2, 7, "response", None), (3, 0, "revisit", 4), (4, 0, "response", None), (5, 5, "response", None), (None, 5, "revisit", 5), (6, 5, "response", None), (6, 5, "response", None)]
     assert got == sorted(want, key=str)
     assert zip_warc.round_trip(d.limit(0)).count() == 0
+    long = zip_warc.round_trip(spark.createDataFrame([(1, "u", "é" * 3_000_000), (None, None, None)], "page_id long, url string, html string")).collect()
+    assert sorted((x.page_id or 0, x.payload_bytes) for x in long) == [(0, 0), (1, 6_000_000)]
     assert zip_warc.digest_of(b"x") == base64.b32encode(hashlib.sha1(b"x").digest()).decode()
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 10)
     monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
@@ -278,7 +425,7 @@ def test_zip_warc(spark, monkeypatch):
     with zipfile.ZipFile(held, "w") as z:
         for k in range(3):
             z.writestr(f"m{k}", b"some member data " * k)
-        z.comment = b"a note"
+        z.comment = b"a note with PK\x05\x06 and more, of twenty-two bytes or more"
     archive = zip_warc.ZipArchive(held, len(held.getvalue()))
     assert [archive.read(*archive.stored(f"m{k}")) for k in range(3)] == [b"some member data " * k for k in range(3)]
 
@@ -328,15 +475,69 @@ def test_secrets(spark, empty):
 
 
 def test_secret_spans_leave_base_alone():
+    """Against a scan of each character: the pieces of runs outside base spans."""
     r = random.Random(12)
     model, threshold = secrets.default_model()
+    glue = [" ", "", "/", '"']
     for _ in range(60):
-        parts = [secrets.random_sample(r), secrets.ordinary_sample(r), "token = " + secrets.random_sample(r), "0a1b2c3d" * 4, "plain words", "AKIA" + "Q7" * 9]
-        text = " ".join(r.choices(parts, k=12))
+        parts = [secrets.random_sample(r), secrets.ordinary_sample(r), "token = " + secrets.random_sample(r), "0a1b2c3d" * 4, "plain words", "AKIA" + "Q7" * 9, "é"]
+        text = "".join(r.choice(parts) + r.choice(glue) for _ in range(12))
         base = secrets.base_spans(text)
-        want = []
-        for m in secrets.CANDIDATE.finditer(text):
-            plain = m[0].isalpha() and (m[0].islower() or m[0].isupper()) or m[0].isdigit()
-            if not plain and not any(x < m.end() and m.start() < y for x, _, y in base) and model.score(m[0]) > threshold:
-                want.append((m.start(), 3, m.end()))
+        free = [re.fullmatch("[A-Za-z0-9+/_=-]", c) is not None and not any(a <= k < z for a, _, z in base) for k, c in enumerate(text)]
+        want, k = [], 0
+        while k < len(text):
+            z = k
+            while z < len(text) and free[z]:
+                z += 1
+            whole = re.search("[A-Za-z0-9+/_=-]*$", text[:k])[0] + re.match("[A-Za-z0-9+/_=-]*", text[k:])[0]
+            if z - k >= secrets.LEAST and len(whole) >= secrets.LEAST and model.score(text[k:z]) > threshold:
+                want.append((k, 3, z))
+            k = max(z, k + 1)
         assert secrets.markov_spans(text, base, model, threshold) == want
+    key = "".join(r.choices(secrets.BASE62, k=40))
+    text = f"AKIA{'Q' * 16}/{key}"
+    assert secrets.markov_spans(text, secrets.base_spans(text), model, threshold) == [(20, 3, 61)]
+
+
+def test_secret_recall_and_precision():
+    """Planted strings of each alphabet and length among ordinary names that training has not seen."""
+    r = random.Random(99)
+    model, threshold = secrets.default_model()
+    for letters in secrets.ALPHABETS.values():
+        for n in (16, 20, 24, 40):
+            found = [model.score("".join(r.choices(letters, k=n))) > threshold for _ in range(300)]
+            assert sum(found) / 300 >= (0.9 if n == 16 else 0.98), (letters, n)
+    plain = [
+        "org.example.project.application.configuration", "ThisIsAVeryLongClassNameForTesting", "internationalization_and_localization", "https://example.com/some/long/path/to/a/resource", "2024-01-31T23-59-59",
+        "1234567890123456", "UNDERSTANDABLE_CONSTANT_NAME", "Donaudampfschifffahrtsgesellschaft", "/usr/local/share/applications/editor", "anticonstitutionnellement", "=" * 30, "user_account_settings_page_2",
+    ]
+    assert not any(model.score(m[0]) > threshold for p in plain for m in secrets.CANDIDATE.finditer(p))
+
+
+def test_secrets_on_awkward_rows(spark):
+    rows = [(1, "q" * 2_000_000 + " password=" + "x" * 10), (1, None), (None, "AKIA" * 5_000), (None, "AKIA" * 5_000), (2, 'token: "' * 20_000)]
+    d = spark.createDataFrame([(*x, "clash", 1) for x in rows], "doc_id long, text string, spans string, n_hex int")
+    got = secrets.scan(d).collect()
+    assert len(got) == 5 and sorted((r.id or 0, r.n_assign, r.n_access) for r in got) == [(0, 0, 1), (0, 0, 1), (1, 0, 0), (1, 1, 0), (2, 0, 0)]
+
+
+def test_equal_rows_are_split(spark):
+    """A third of the rows are one document: numbers and readings stay right, and no bucket or block holds them all."""
+    from pyspark.sql import functions as F
+
+    rows = [(-7 if k % 3 == 0 else k, "w " * 5 if k % 3 == 0 else f"w {k}", "s") for k in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = sharding.shard_rows(d, shards=7, bucket_rows=50, carry=["doc_id"])
+    # the largest task of a window reads a bucket: equal rows have their numbers far apart
+    numbers = sorted(r.row_number for r in got.collect())
+    assert numbers == list(range(3000))
+    crowd = sorted(r.row_number for r in got.filter("row.doc_id = -7").collect())
+    assert len(crowd) == 1000 and crowd[-1] - crowd[0] > 1500
+    place = lambda x: sorted((r.row.doc_id, r.shard, r.slot) for r in x.collect())
+    assert place(got) == place(sharding.shard_rows(d.repartition(3), shards=7, bucket_rows=50, carry=["doc_id"]))
+    mixed = mixing.mix_sources(d, carry=["doc_id"], block_rows=50)
+    assert mixed.count() == 3000 and mixed.filter("epoch > 0").count() == 0
+    by_block = mixed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    assert by_block.agg(F.max("n")).first()[0] < 200
+    whole = mixing.mix_sources(d, block_rows=50)
+    assert whole.count() == 3000 and whole.select("row.*").columns == d.columns

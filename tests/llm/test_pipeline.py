@@ -29,6 +29,30 @@ def features(text):
     return base, 10 * symbols > n, 100 * dup > 30 * len(lines), chars < 2 * n or chars > 15 * n
 
 
+def moments(counts):
+    """Mean and strength of a beta prior: the strength at which the expected spread of the rates is the observed."""
+    n = sum(c for c, _ in counts)
+    m = sum(f for _, f in counts) / n
+    if not 0 < m < 1:
+        return m, 1000.0
+    spread = sum(c * (f / c - m) ** 2 for c, f in counts)
+
+    def expected(s):
+        rho = 1 / (s + 1)
+        rates = [m * (1 - m) * ((1 - rho) / c + rho) for c, _ in counts]  # variance of each rate
+        return sum(c * v for (c, _), v in zip(counts, rates, strict=True)) - sum(c * c * v for (c, _), v in zip(counts, rates, strict=True)) / n
+
+    low, high = 2.0, 1000.0
+    if expected(high) >= spread:
+        return m, high
+    if expected(low) <= spread:
+        return m, low
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if expected(mid) > spread else (low, mid)
+    return m, low
+
+
 def rules(rows):
     fails = {i: features(text or "") for i, text, _ in rows}
     hosts = {}
@@ -36,9 +60,8 @@ def rules(rows):
         hosts.setdefault(host or "", []).append(fails[i])
     strict = dict.fromkeys(hosts, False)
     for k in range(4):
-        rate = {h: np.mean([x[k] for x in f]) for h, f in hosts.items()}
-        m, v = np.mean(list(rate.values())), np.var(list(rate.values()))
-        s = min(max(m * (1 - m) / v - 1, 2.0), 1000.0) if v > 0 else 1000.0
+        count = {h: (len(f), sum(x[k] for x in f)) for h, f in hosts.items()}
+        m, s = moments(list(count.values()))
         for h, f in hosts.items():
             strict[h] |= bool((sum(x[k] for x in f) + m * s) / (len(f) + s) > 0.5)
     return [r for r in rows if not fails[r[0]][0] and sum(fails[r[0]][1:]) <= (0 if strict[r[2] or ""] else 1)]
@@ -70,6 +93,7 @@ def clean(rows, items):
     code = {}
     number = lambda words: np.array([code.setdefault(w, len(code)) for w in words], np.int64)
     known = [x for x in (number(decontaminate.tokens(t)) for t in items) if len(x) >= 8]
+    assert len(known) == len(items)
     out = []
     for r in rows:
         x = number(decontaminate.tokens(r[1]))
