@@ -45,7 +45,7 @@ def found(spark, rows, **how):
 
 @pytest.mark.parametrize("cell_rows", [16, simhash.CELL_ROWS])
 def test_groups_equal_brute_force(spark, cell_rows, monkeypatch):
-    """Whatever the size of cells and however few links copy a node's set."""
+    """Whatever the size of cells, and however few links copy a node's set."""
     if cell_rows == 16:
         monkeypatch.setattr(near_copies, "LINKS_A_COPY", 3)
     r = random.Random(8)
