@@ -26,18 +26,26 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def pairwise(pc: Column, pr: Column, rc: Column, rr: Column, beta: float = 0.1, eps: float = 0.1, delta: float = 0.0, tau: float = 0.05) -> dict[str, Column]:
-    """Losses of chosen and rejected completions under a policy and a reference."""
-    lc, lr = pc - rc, pr - rr
-    z = (pc - pr) - (rc - rr)
+def pairwise_terms(pc: Column, pr: Column, rc: Column, rr: Column, beta: float = 0.1) -> dict[str, Column]:
+    """What the pairwise losses share: project these columns first, so that each is computed once."""
+    return {"lc": pc - rc, "lr": pr - rr, "z": (pc - pr) - (rc - rr), "bz": beta * ((pc - pr) - (rc - rr))}
+
+
+def pairwise(lc: Column, lr: Column, z: Column, beta: float = 0.1, eps: float = 0.1, delta: float = 0.0, tau: float = 0.05, lengths: tuple[Column, Column] | None = None) -> dict[str, Column]:
+    """Losses of chosen and rejected completions by their log-ratios ``lc``, ``lr`` and the difference ``z``.
+
+    exo_pair takes 1e-3 for an eps of 0. ``lengths``: tokens of chosen and rejected, by which ipo averages the log-ratios.
+    """
     b, ls, s = beta, logsigmoid, sigmoid
     m = s(b * z / tau)
+    e = eps or 1e-3
+    zi = z if lengths is None else lc / lengths[0] - lr / lengths[1]
     return {
         "sigmoid": -ls(b * z) * (1 - eps) - ls(-b * z) * eps,
         "robust": (-ls(b * z) * (1 - eps) + ls(-b * z) * eps) / (1 - 2 * eps),
-        "exo_pair": s(b * z) * (ls(b * z) - F.log(F.lit(1 - eps))) + s(-b * z) * (ls(-b * z) - F.log(F.lit(eps))),
+        "exo_pair": s(b * z) * (ls(b * z) - F.log(F.lit(1 - e))) + s(-b * z) * (ls(-b * z) - F.log(F.lit(e))),
         "hinge": relu(1 - b * z),
-        "ipo": (z - 1 / (2 * b)) * (z - 1 / (2 * b)),
+        "ipo": (zi - 1 / (2 * b)) * (zi - 1 / (2 * b)),
         "bco_pair": -ls(b * lc - delta) - ls(-(b * lr - delta)),
         "sppo_hard": (lc - 0.5 / b) * (lc - 0.5 / b) + (lr + 0.5 / b) * (lr + 0.5 / b),
         "nca_pair": -ls(b * lc) - 0.5 * ls(-b * lc) - 0.5 * ls(-b * lr),
@@ -71,6 +79,38 @@ def reference_free(pc: Column, pr: Column, beta: float = 0.1, gamma: float = 0.5
     }
 
 
+def odds_total(nll: Column, terms: Column) -> Column:
+    """Aggregate: mean likelihood loss less the mean odds term."""
+    return F.avg(nll) - F.avg(terms)
+
+
+def kl_estimate(new: Column, reference: Column, kind: str) -> Column:
+    """Estimate of the divergence from a reference: k1 or k3."""
+    if kind not in ("k1", "k3"):
+        raise ValueError("kind is k1 or k3")
+    return new - reference if kind == "k1" else k3(reference, new)
+
+
+def sequence_log_ratio(new: Column, old: Column, mask: Column) -> Column:
+    """Mean of a sequence's masked log-ratios: arrays of log-probabilities and a mask."""
+    kept = F.zip_with(F.zip_with(new, old, lambda a, b: a - b), mask, lambda x, m: x * m)
+    total = F.aggregate(kept, F.lit(0.0), lambda t, x: t + x)
+    return total / F.greatest(F.aggregate(mask, F.lit(0.0), lambda t, x: t + x), F.lit(1.0))
+
+
+def clipped(ratio: Column, advantage: Column, low: float = 0.2, high: float = 0.2) -> dict[str, Column]:
+    """Whether a ratio is clipped from below, from above, or either."""
+    below, above = (ratio < 1 - low) & (advantage < 0), (ratio > 1 + high) & (advantage > 0)
+    return {"low": below, "high": above, "region": below | above}
+
+
+def reduced(total: Column, rows: Column, tokens: Column, how: str) -> Column:
+    """Aggregate of a divergence: over the count of rows (batchmean), its sum, or its mean over tokens."""
+    if how not in ("batchmean", "sum", "mean"):
+        raise ValueError("how is batchmean, sum or mean")
+    return {"batchmean": F.sum(total) / F.sum(rows), "sum": F.sum(total), "mean": F.sum(total) / F.sum(tokens)}[how]
+
+
 def ratio_objective(new: Column, old: Column, advantage: Column, low: float = 0.2, high: float = 0.2, cap: float | None = None) -> Column:
     ratio = F.exp(new - old)
     first = ratio if cap is None else F.least(ratio, F.lit(cap))

@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 #: Substrings that make a command unsafe (fixed values).
 BANNED = (";", "&&", "||", "`", "$", "<", ">")
 FIELDS = ("COMMAND:", "CONFIDENCE:", "EXPLANATION:", "ALTERNATIVES:")
-#: What counts as a number: no suffixes, hexadecimals or words.
-NUMBER = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+#: What counts as a number: digits, in groups with an underscore between if need be; no suffixes or hexadecimals.
+DIGITS = "[0-9]+(_[0-9]+)*"
+NUMBER = f"^[+-]?({DIGITS}([.]({DIGITS})?)?|[.]{DIGITS})([eE][+-]?{DIGITS})?$"
+#: White space of Unicode, and the separators U+001C to U+001F.
+SPACE = "(?U)[\\s\\x1c-\\x1f]+"
 
 
 def normalize(text: Column) -> Column:
     """Lower case, runs of white space as one space, trimmed."""
-    return F.lower(F.trim(F.regexp_replace(text, "[ \\t\\n\\x0B\\f\\r]+", " ")))
+    return F.lower(F.trim(F.regexp_replace(text, SPACE, " ")))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, "^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$", "")
+    return F.regexp_replace(text, f"{SPACE}\\z|\\A{SPACE[4:]}", "")
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def tagged_field(text: Column, tag: str) -> Column:
@@ -32,8 +35,14 @@ def tagged_field(text: Column, tag: str) -> Column:
 
 
 def to_number(text: Column) -> Column:
-    """The number a text spells, else 0."""
-    return F.when(text.rlike(NUMBER), text.try_cast("double")).otherwise(F.lit(0.0))
+    """The number a text spells, infinite and not-a-number ones included, else 0."""
+    sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
+    return (
+        F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+        .when(text.rlike("^(?i)[+-]?inf(inity)?$"), sign * F.lit(float("inf")))
+        .when(text.rlike("^(?i)[+-]?nan$"), F.lit(float("nan")))
+        .otherwise(F.lit(0.0))
+    )
 
 
 def alternatives(text: Column) -> Column:
@@ -86,17 +95,47 @@ def after_marker(text: Column, marker: str, end: str) -> Column:
     return F.substring_index(F.substring_index(text, marker, -1), end, 1)
 
 
+def expected_command(text: Column) -> Column:
+    """What follows the first command tag and its space up to the next tag or the line's end, untrimmed; null without a tag."""
+    return F.when(text.contains("COMMAND: "), F.split_part(F.split_part(text, F.lit("COMMAND: "), F.lit(2)), F.lit("\n"), F.lit(1)))
+
+
+def two_places(x: Column) -> Column:
+    """A number with two decimals; of two that are equally near the even one, by the decimal digits of the double."""
+    return F.bround(x.cast("decimal(38,18)"), 2).cast("decimal(38,2)").cast("string")
+
+
+def percent(share: Column, places: int = 0) -> Column:
+    """A share as a percentage with so many decimals."""
+    return F.concat(F.bround((share * 100).cast("decimal(38,12)"), places).cast(f"decimal(38,{places})").cast("string"), F.lit("%"))
+
+
+def mebibytes(size: Column) -> Column:
+    """Bytes in MiB, to two decimals."""
+    return F.round(size / 1048576, 2)
+
+
 def preview(command: Column, confidence: Column, explanation: Column, others: Column, success: Column) -> Column:
-    """Lines that show a translation, or that there is none."""
+    """Lines that show a translation with its confidence, or that there is none."""
     shown = F.concat_ws(
         "\n",
         F.concat(F.lit("Command: "), command),
+        F.concat(F.lit("Confidence: "), percent(confidence)),
         F.concat(F.lit("Explanation: "), explanation),
-        F.when(F.size(others) > 0, F.concat(F.lit("Alternatives: "), F.array_join(others, ", "))),
+        F.when(F.size(others) > 0, F.concat(F.lit("Alternatives:"), F.array_join(F.transform(others, lambda x: F.concat(F.lit("\n  - "), x)), ""))),
     )
     return F.when(success, shown).otherwise(F.lit("No command found"))
 
 
+def shared_prompt(chosen: Column, rejected: Column) -> Column:
+    """Struct ``prompt``, ``chosen``, ``rejected``: the common beginning cut off both, up to a space before the first difference."""
+    n = common_prefix_length(chosen, rejected)
+    differ = n < F.least(F.length(chosen), F.length(rejected))
+    n = F.when(differ & (n > 0) & (F.substring(chosen, n, F.lit(1)) == " "), n - 1).otherwise(n)
+    rest = lambda x: F.substring(x, n + 1, F.length(x))
+    return F.struct(F.substring(chosen, F.lit(1), n).alias("prompt"), rest(chosen).alias("chosen"), rest(rejected).alias("rejected"))
+
+
 def rough_confidence(text: Column) -> Column:
     """0.9 up to five words, 0.7 up to ten, else 0.5."""
     n = F.size(words(text))
@@ -140,9 +179,11 @@ def without_prompt(text: Column, prompt: Column) -> Column:
 
 def common_prefix_length(a: Column, b: Column) -> Column:
     """Length of the longest common prefix."""
+    # the first place at which the characters differ; beyond the shorter text they do
+    pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
+    first = F.array_position(pairs, True).cast("int")
     n = F.least(F.length(a), F.length(b))
-    differ = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-    return F.when(n == 0, 0).otherwise(F.coalesce(F.try_element_at(differ, F.lit(1)) - 1, n))
+    return F.when(n == 0, 0).when(first == 0, n).otherwise(F.least(first - 1, n))
 
 
 def unit_hash(*cols: Column) -> Column:

@@ -75,13 +75,61 @@ def differing(a: Column, b: Column) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda t, x: t + x)
 
 
-def step_labels(steps: Column, labels: Column) -> Column:
-    """For steps of token arrays: ignored but at each step's last token, which has the step's label."""
+def step_labels(steps: Column, labels: Column, last_only: bool = False) -> Column:
+    """For steps of token arrays: ignored but at each step's last token, which has the step's label, or at the last step's only."""
+    if last_only:
+        labels = F.transform(labels, lambda y, i: F.when(i == F.size(labels) - 1, y.cast("int")).otherwise(IGNORED))
     return F.flatten(
         F.zip_with(steps, labels, lambda s, y: F.concat(F.array_repeat(F.lit(IGNORED), F.size(s) - 1), F.array(y.cast("int"))))
     )
 
 
+def step_example(prompt: Column, steps: Column, labels: Column, separator: int, prompt_limit: int, answer_limit: int, limit: int, last_only: bool = False) -> Column:
+    """Struct ``ids``, ``labels``: each step closed by the separator, prompt and answer cut to their limits and both to the whole's."""
+    closed = F.transform(steps, lambda s: F.concat(s, F.array(F.lit(separator))))
+    p = keep_last(prompt, prompt_limit)
+    ids = keep_first(F.concat(p, keep_first(F.flatten(closed), answer_limit)), limit)
+    marks = keep_first(mask_labels(p, keep_first(step_labels(closed, labels, last_only), answer_limit)), limit)
+    return F.struct(ids.alias("ids"), marks.alias("labels"))
+
+
+def mask_cut(mask: Column, cut: Column) -> Column:
+    """The mask of a completion, all zero if it was cut off; the row stays."""
+    return F.transform(mask, lambda m: F.when(cut, 0).otherwise(m))
+
+
+def add_at(values: Column, position: Column, amount: Column) -> Column:
+    """An array with an amount added at one position from 0."""
+    return F.transform(values, lambda v, i: F.when(i == position, v + amount).otherwise(v))
+
+
+def scatter(mask: Column, values: Column, pad: float = 0.0) -> Column:
+    """The values in order at the ones of a mask, padding elsewhere."""
+    seen = F.transform(mask, lambda m, i: F.aggregate(F.slice(mask, F.lit(1), i + 1), F.lit(0), lambda t, x: t + x))
+    return F.zip_with(mask, seen, lambda m, k: F.when(m == 1, F.get(values, k - 1)).otherwise(F.lit(pad)))
+
+
+def flush_left(ids: Column, pad: int, limit: int) -> Column:
+    """Padding moved to the right, then cut to the limit."""
+    return keep_first(pack_left(ids, pad), limit)
+
+
+def sequence_logprob(logps: Column, labels: Column, average: bool = False) -> Column:
+    """Sum (or mean) of the log-probabilities whose label isn't ignored; nothing to sum gives 0."""
+    kept = F.filter(F.zip_with(logps, labels, lambda p, y: F.when(y != IGNORED, p)), lambda x: x.isNotNull())
+    total = F.aggregate(kept, F.lit(0.0), lambda t, x: t + x)
+    return total / F.greatest(F.size(kept), F.lit(1)) if average else total
+
+
+def common_width(*arrays: Column) -> Column:
+    """The size of the longest of the arrays."""
+    return F.greatest(*[F.size(a) for a in arrays])
+
+
+def pad_to(ids: Column, n: Column, pad: int) -> Column:
+    return F.concat(ids, F.array_repeat(F.lit(pad), F.greatest(n - F.size(ids), F.lit(0))))
+
+
 def selected_logprob(logits: Column, index: Column) -> Column:
     from loomframe.functions.scores import logsumexp
 

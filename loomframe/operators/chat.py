@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.functions.text import strip
+
 
 def chat_pairs(turns: DataFrame) -> DataFrame:
     """``conv_id``, ``turn``, ``prompt``, ``completion``: user turns that an assistant's turn follows."""
@@ -13,25 +15,29 @@ def chat_pairs(turns: DataFrame) -> DataFrame:
     return d.filter("role = 'user' and _role = 'assistant'").select("conv_id", "turn", F.col("text").alias("prompt"), "completion")
 
 
-def render(turns: DataFrame, generation_prompt: bool = False) -> DataFrame:
+def render(turns: DataFrame, generation_prompt: bool = False, bos: str = "<bos>") -> DataFrame:
     """``conv_id``, ``rendered``, ``alternates``: a conversation in the turn format.
 
-    The system text goes before the first user turn's; the assistant's role is written model.
+    The text of a system turn that comes first goes before that of the first turn; the assistant's
+    role is written model. ``alternates``: users, and no others, have every second turn from the first,
+    as the format demands.
     """
-    system = F.array_join(F.transform(F.filter("t", lambda x: x["role"] == "system"), lambda x: x["text"]), "\n\n")
     d = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    d = d.select("conv_id", system.alias("s"), F.filter("t", lambda x: x["role"] != "system").alias("t"))
+    led = F.coalesce(F.get("t", F.lit(0))["role"] == "system", F.lit(False))
+    system = F.when(led, F.concat(F.get("t", F.lit(0))["text"], F.lit("\n\n"))).otherwise("")
+    rest = F.when(led, F.slice("t", F.lit(2), F.size("t"))).otherwise(F.col("t"))
+    d = d.select("conv_id", system.alias("s"), rest.alias("t"))
     parts = F.transform(
         "t",
         lambda x, i: F.concat(
             F.lit("<start_of_turn>"),
             F.when(x["role"] == "assistant", "model").otherwise(x["role"]),
             F.lit("\n"),
-            F.when((i == 0) & (F.col("s") != ""), F.concat(F.col("s"), F.lit("\n\n"))).otherwise(""),
-            F.trim(x["text"]),
+            F.when(i == 0, F.col("s")).otherwise(""),
+            strip(x["text"]),
             F.lit("<end_of_turn>\n"),
         ),
     )
-    expected = F.transform("t", lambda x, i: F.when(i % 2 == 0, x["role"] == "user").otherwise(x["role"] == "assistant"))
+    expected = F.transform("t", lambda x, i: (x["role"] == "user") == (i % 2 == 0))
     end = "<start_of_turn>model\n" if generation_prompt else ""
-    return d.select("conv_id", F.concat(F.array_join(parts, ""), F.lit(end)).alias("rendered"), F.forall(expected, lambda x: x).alias("alternates"))
+    return d.select("conv_id", F.concat(F.lit(bos), F.array_join(parts, ""), F.lit(end)).alias("rendered"), F.forall(expected, lambda x: x).alias("alternates"))

@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+from math import log10
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.sources.shared import small
+
 
-def group_advantage(df: DataFrame, group: str, reward: Column, scaled: bool = True, eps: float = 1e-4) -> Column:
-    """Reward less its group's mean, over the group's deviation if scaled."""
+def group_advantage(df: DataFrame, group: str, reward: Column, scaled: bool | str = True, eps: float = 1e-4) -> Column:
+    """Reward less its group's mean, over a deviation: the group's (True, "group"), the whole table's ("batch") or none (False, "none").
+
+    "batch" reads the columns ``_std`` that ``with_batch_moments`` adds.
+    """
+    if scaled not in (True, False, "group", "batch", "none"):
+        raise ValueError("scaled is group, batch or none")
     w = Window.partitionBy(group)
     gap = reward - F.avg(reward).over(w)
-    return gap / (F.stddev_samp(reward).over(w) + eps) if scaled else gap
+    if scaled == "batch":
+        return gap / (F.col("_std") + eps)
+    return gap / (F.stddev_samp(reward).over(w) + eps) if scaled in (True, "group") else gap
+
+
+def with_batch_moments(df: DataFrame, value: Column) -> DataFrame:
+    """df with ``_mean`` and ``_std`` of a value over the whole table."""
+    return df.crossJoin(F.broadcast(df.agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))))
 
 
 def leave_one_out(group: str, reward: Column) -> Column:
@@ -21,15 +37,58 @@ def leave_one_out(group: str, reward: Column) -> Column:
     return F.when(others > 0, reward - (F.sum(reward).over(w) - reward) / others)
 
 
+def standardised(df: DataFrame, column: str, eps: float = 1e-4) -> DataFrame:
+    """df with the column as a z-score over the whole table."""
+    d = with_batch_moments(df, F.col(column))
+    return d.withColumn(column, (F.col(column) - F.col("_mean")) / (F.col("_std") + eps)).drop("_mean", "_std")
+
+
+def whiten(df: DataFrame, value: str, mask: Column, shift_mean: bool = True) -> Column:
+    """Masked z-score by columns ``_m`` and ``_v`` of ``masked_moments``; without shift the mean is added back; 0 outside the mask."""
+    white = (F.col(value) - F.col("_m")) / F.sqrt(F.col("_v") + 1e-8)
+    return F.when(mask, white if shift_mean else white + F.col("_m")).otherwise(0.0)
+
+
+def masked_moments(df: DataFrame, value: str, mask: Column) -> DataFrame:
+    """df with ``_m`` and ``_v``: mean and sample variance of a value where the mask holds."""
+    kept = F.when(mask, F.col(value))
+    return df.crossJoin(F.broadcast(df.agg(F.avg(kept).alias("_m"), F.var_samp(kept).alias("_v"))))
+
+
 def gae(df: DataFrame, group: str, order: list[str], reward: str, value: str, gamma: float, lam: float) -> DataFrame:
-    """``advantage`` and ``returns`` of each step by the backward recursion, in closed form."""
+    """``advantage`` and ``returns`` of each step by the backward recursion A(t) = d(t) + gamma * lam * A(t + 1).
+
+    A group is cut into blocks that are short enough for powers of gamma * lam. Within a block sums run
+    backwards; the blocks' sums are folded from the last to the first; both are linear in the steps.
+    """
+    g = gamma * lam
+    size = 128 if g >= 1 or g <= 0 else max(1, min(128, int(200 / -log10(g))) if g < 0.999 else 128)
     w = Window.partitionBy(group).orderBy(*order)
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    d = df.withColumn("_t", F.row_number().over(w).cast("double"))
+    d = df.withColumn("_t", F.row_number().over(w) - 1)
     d = d.withColumn("_d", F.col(reward) + gamma * F.coalesce(F.lead(value).over(w), F.lit(0.0)) - F.col(value))
-    decay = F.pow(F.lit(gamma * lam), F.col("_t"))
-    d = d.withColumn("advantage", F.sum(F.col("_d") * decay).over(ahead) / decay)
-    return d.withColumn("returns", F.col("advantage") + F.col(value)).drop("_t", "_d")
+    if g == 0:
+        d = d.withColumn("advantage", F.col("_d"))
+        return d.withColumn("returns", F.col("advantage") + F.col(value)).drop("_t", "_d")
+    d = d.withColumns({"_b": F.floor(F.col("_t") / size), "_k": F.col("_t") % size})
+    power = F.pow(F.lit(g), F.col("_k").cast("double"))
+    back = Window.partitionBy(group, "_b").orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({"_s": F.sum(F.col("_d") * power).over(back) / power, "_n": F.max("_k").over(back) + 1})
+    blocks = d.filter("_k = 0").groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col("_b").alias("b"), F.col("_s").alias("s"), F.col("_n").alias("n")))).alias("_blocks"))
+    # from the last block on: the advantage of each block's first step
+    empty = F.struct(F.lit(0.0).alias("next"), F.array().cast("array<struct<b:bigint,next:double>>").alias("out"))
+    folded = F.aggregate(
+        F.reverse("_blocks"),
+        empty,
+        lambda acc, x: F.struct(
+            (x["s"] + F.pow(F.lit(g), x["n"].cast("double")) * acc["next"]).alias("next"),
+            F.concat(acc["out"], F.array(F.struct(x["b"].alias("b"), acc["next"].alias("next")))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    ahead = blocks.select(F.col(group).alias("_g"), F.inline(folded)).withColumnRenamed("b", "_bb").withColumnRenamed("next", "_next")
+    d = d.join(ahead, d[group].eqNullSafe(ahead["_g"]) & (d["_b"] == ahead["_bb"]))
+    d = d.withColumn("advantage", F.col("_s") + F.pow(F.lit(g), (F.col("_n") - F.col("_k")).cast("double")) * F.col("_next"))
+    return d.select(*df.columns, "advantage", (F.col("advantage") + F.col(value)).alias("returns"))
 
 
 def rank_align(df: DataFrame, batch: str, left: str, right: str) -> DataFrame:
@@ -40,18 +99,31 @@ def rank_align(df: DataFrame, batch: str, left: str, right: str) -> DataFrame:
     return a.join(b, [batch, "rank"])
 
 
+def running_sums(df: DataFrame, by: list[str], order: str, size: str, width: int = 4096) -> DataFrame:
+    """df with ``before``: the sum of ``size`` over the rows of its group with a smaller ``order`` (whole numbers).
+
+    Sums run within spans of ``width`` numbers and over the spans' totals, so no task holds a whole group's rows.
+    """
+    d = df.withColumn("_span", F.floor(F.col(order) / width))
+    totals = d.groupBy(*by, "_span").agg(F.sum(size).alias("_total"))
+    w = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_first", F.coalesce(F.sum("_total").over(w), F.lit(0))).drop("_total")
+    w = Window.partitionBy(*by, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_within", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    return d.join(totals, [*by, "_span"]).withColumn("before", F.col("_first") + F.col("_within")).drop("_span", "_first", "_within")
+
+
 def pack_wrapped(df: DataFrame, shard: str, order: str, size: str, limit: int) -> DataFrame:
     """Sequences laid end to end within a shard and cut at every ``limit``: first and last pack of each."""
-    w = Window.partitionBy(shard).orderBy(order)
-    end = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    d = df.withColumn("_end", end).withColumn("start", F.col("_end") - F.col(size))
+    d = running_sums(df, [shard], order, size).withColumnRenamed("before", "start")
     d = d.withColumn("first_pack", F.floor(F.col("start") / limit).cast("long"))
-    return d.withColumn("last_pack", F.floor(F.greatest(F.col("_end") - 1, F.col("start")) / limit).cast("long")).drop("_end")
+    return d.withColumn("last_pack", F.floor(F.greatest(F.col("start") + F.col(size) - 1, F.col("start")) / limit).cast("long"))
 
 
 def pack_best_fit(df: DataFrame, shard: str, key: str, size: str, limit: int) -> DataFrame:
     """Best-fit decreasing: each sequence into the fullest pack of its shard that still holds it.
 
+    A sequence that is longer than the limit is cut to it: ``kept`` is what of its size is packed.
     Shards are the unit of work, so their count must grow with the data.
     """
 
@@ -61,7 +133,8 @@ def pack_best_fit(df: DataFrame, shard: str, key: str, size: str, limit: int) ->
         rows = rows.sort_values([size, key], ascending=[False, True])
         room: list[tuple[int, int]] = []  # (left, pack), sorted
         packs, n = [], 0
-        for need in rows[size].clip(upper=limit).tolist():
+        kept = rows[size].clip(upper=limit)
+        for need in kept.tolist():
             k = bisect.bisect_left(room, (need, -1))
             if k == len(room):
                 left, pack_no, n = limit - need, n, n + 1
@@ -70,20 +143,78 @@ def pack_best_fit(df: DataFrame, shard: str, key: str, size: str, limit: int) ->
                 left -= need
             bisect.insort(room, (left, pack_no))
             packs.append(pack_no)
-        return rows.assign(pack=packs)
+        return rows.assign(kept=kept, pack=packs)
 
-    schema = f"{shard} {dict(df.dtypes)[shard]}, {key} {dict(df.dtypes)[key]}, {size} {dict(df.dtypes)[size]}, pack int"
+    kind = dict(df.dtypes)
+    schema = f"{shard} {kind[shard]}, {key} {kind[key]}, {size} {kind[size]}, kept {kind[size]}, pack int"
     return df.select(shard, key, size).groupBy(shard).applyInPandas(pack, schema)
 
 
-def zip_rows(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Columns of rows with the same position, side by side."""
-    return a.join(b, key)
+def positions(df: DataFrame, order: str, width: int = 4096) -> DataFrame:
+    """df with ``position``: the place of each row from 0 in the order of whole numbers, without a window over the table."""
+    return running_sums(df.withColumn("_one", F.lit(1).cast("long")), [], order, "_one", width).withColumnRenamed("before", "position").drop("_one")
+
+
+def zip_rows(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
+    """Columns of rows at the same position side by side; a's rows beyond b's end have nulls."""
+    right = positions(b, order_b).drop(order_b) if order_b in a.columns else positions(b, order_b)
+    return positions(a, order_a).join(right, "position", "left")
+
+
+def add_column(df: DataFrame, order: str, name: str, values: DataFrame, values_order: str, value: str) -> DataFrame:
+    """df with a column whose values stand at the same positions in another table."""
+    return zip_rows(df, values.select(F.col(values_order).alias("_o"), F.col(value).alias(name)), order, "_o").drop("position", "_o")
+
+
+def hash_rank(df: DataFrame, key: Column, ties: list[str], digits: int = 3) -> DataFrame:
+    """df with ``rank`` from 0 and the table's ``total``, in the order of a hexadecimal hash and then of the ties.
+
+    Rows are parted by the first digits of the hash, which are even, so the order of the whole table
+    needs no task that holds it.
+    """
+    d = df.withColumn("_key", key).withColumn("_part", F.substring("_key", 1, digits))
+    parts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # at most 16 ** digits rows
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("_key", *ties)) - 1
+    return d.withColumn("_within", within).join(F.broadcast(parts), "_part").withColumn("rank", F.col("_before") + F.col("_within")).drop("_key", "_part", "_before", "_within")
+
+
+def tile(rank: Column, total: Column, tiles: int) -> Column:
+    """The tile from 1 of a rank, the first tiles one larger where the total can't be shared evenly."""
+    small, more = F.floor(total / tiles), total % tiles
+    cut = more * (small + 1)
+    return F.when(rank < cut, F.floor(rank / (small + 1))).otherwise(more + F.floor((rank - cut) / F.greatest(small, F.lit(1)))).cast("int") + 1
+
+
+def exact_quantile(df: DataFrame, column: str, share: float, spans: int = 4096) -> DataFrame:
+    """One row ``cut``: the interpolated quantile of a column of doubles; null if it has no value.
+
+    Values are counted in spans of their range and then only in the spans that hold the quantile.
+    """
+    v = df.select(F.col(column).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
+    v = v.crossJoin(F.broadcast(ends))
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * spans), F.lit(spans - 1))).otherwise(F.lit(0))
+    v = v.withColumns({"span": at.cast("int"), "rank": F.lit(share) * (F.col("n") - 1)})
+    w = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    # at most so many rows
+    held = v.groupBy("span").agg(F.sum("c").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0)))
+    v = v.join(F.broadcast(held), "span")
+    near = v.filter((F.col("before") <= F.ceil("rank")) & (F.col("before") + F.col("m") > F.floor("rank")))
+    w = Window.partitionBy("span").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("until", F.col("before") + F.sum("c").over(w))
+    holds = lambda r: F.min(F.when(F.col("until") > r, F.col("v")))
+    low, high = holds(F.floor("rank")), holds(F.ceil("rank"))
+    part = F.max(F.col("rank") - F.floor("rank"))
+    return near.agg((low + (high - low) * part).alias("cut"))
 
 
 def decode(df: DataFrame, keys: list[str], ids: str, vocabulary: DataFrame) -> DataFrame:
     """``decoded``: the words (``id``, ``word``) of each row's token numbers, in order."""
-    at = df.select(*keys, F.posexplode(ids).alias("pos", "id")).join(vocabulary, "id")
+    # a vocabulary is sent if it is small, as its common words would crowd a task
+    at = df.select(*keys, F.posexplode(ids).alias("pos", "id")).join(small(vocabulary), "id")
     words = at.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
     text = F.array_join(F.transform("w", lambda x: x["word"]), " ")
     return df.select(*keys).join(words, keys, "left").select(*keys, F.coalesce(text, F.lit("")).alias("decoded"))

@@ -18,9 +18,15 @@ PAIRS_SQL = """(SELECT conv_id, turn, text AS prompt, nt AS completion FROM (
   WHERE role = 'user' AND nr = 'assistant')"""
 
 
-@query(r"SELECT doc_id, lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS norm FROM documents")
+#: White space by its code points.
+WHITE = "[\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+# other kinds of white space are put into the texts, which have none
+@query(f"SELECT doc_id, lower(trim(regexp_replace(chr(160) || replace(text, ' the ', chr(8195) || 'the' || chr(9) || chr(12288)), '{WHITE}', ' ', 'g'))) AS norm FROM documents")
 def scl_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.normalize(F.col("text")).alias("norm"))
+    odd = F.concat(F.lit("\u00a0"), F.replace(F.col("text"), F.lit(" the "), F.lit("\u2003the\t\u3000")))
+    return table(spark, d, "documents").select("doc_id", X.normalize(odd).alias("norm"))
 
 
 @query(f"SELECT * FROM {PAIRS_SQL}")
@@ -29,14 +35,13 @@ def prj_chat_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT *, role = 'system' AS sys FROM conversations),
-s AS (SELECT conv_id, coalesce(string_agg(CASE WHEN sys THEN text END, chr(10) || chr(10) ORDER BY turn), '') AS s FROM t GROUP BY conv_id),
-n AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM t WHERE NOT sys),
-r AS (SELECT n.conv_id, string_agg('<start_of_turn>' || CASE WHEN role = 'assistant' THEN 'model' ELSE role END || chr(10)
-        || CASE WHEN i = 0 AND s.s <> '' THEN s.s || chr(10) || chr(10) ELSE '' END || trim(text) || '<end_of_turn>' || chr(10), '' ORDER BY turn) AS rendered,
-        bool_and(CASE WHEN i % 2 = 0 THEN role = 'user' ELSE role = 'assistant' END) AS alternates
-      FROM n JOIN s ON s.conv_id = n.conv_id GROUP BY n.conv_id)
-SELECT s.conv_id, coalesce(rendered, '') AS rendered, coalesce(alternates, true) AS alternates FROM s LEFT JOIN r ON r.conv_id = s.conv_id""")
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+l AS (SELECT conv_id, text || chr(10) || chr(10) AS s FROM t WHERE k = 1 AND role = 'system'),
+n AS (SELECT t.conv_id, turn, role, text, k - 1 - (l.s IS NOT NULL)::INT AS i, coalesce(CASE WHEN k - 1 - (l.s IS NOT NULL)::INT = 0 THEN l.s END, '') AS s
+      FROM t LEFT JOIN l ON l.conv_id = t.conv_id WHERE NOT (k = 1 AND role = 'system'))
+SELECT c.conv_id, '<bos>' || coalesce(string_agg('<start_of_turn>' || CASE WHEN role = 'assistant' THEN 'model' ELSE role END || chr(10) || s || trim(text, chr(32) || chr(9) || chr(10) || chr(13)) || '<end_of_turn>' || chr(10), '' ORDER BY turn), '') AS rendered,
+  coalesce(bool_and((role = 'user') = (i % 2 = 0)), true) AS alternates
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id = c.conv_id GROUP BY c.conv_id""")
 def prj_chat_render(spark: SparkSession, d: str) -> DataFrame:
     return chat.render(table(spark, d, "conversations"))
 
@@ -94,7 +99,7 @@ PARSED_SQL = f"""(SELECT doc_id, t, trim(replace(list_last(list_filter(string_sp
   trim(replace(list_last(list_filter(string_split(t, chr(10)), lambda x: starts_with(x, 'CONFIDENCE:'))), 'CONFIDENCE:', '')) AS conf,
   trim(replace(list_last(list_filter(string_split(t, chr(10)), lambda x: starts_with(x, 'EXPLANATION:'))), 'EXPLANATION:', '')) AS explanation,
   coalesce(trim(replace(list_last(list_filter(string_split(t, chr(10)), lambda x: starts_with(x, 'ALTERNATIVES:'))), 'ALTERNATIVES:', '')), '') AS alt FROM {TAGGED})"""
-NUM_SQL = "CASE WHEN regexp_full_match(conf, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(conf AS DOUBLE) ELSE 0.0 END"
+NUM_SQL = "CASE WHEN regexp_full_match(conf, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(conf AS DOUBLE) WHEN conf = 'nan' THEN -1.0 ELSE 0.0 END"
 SAFE_SQL = "(command <> '' AND starts_with(command, 'src1') AND NOT regexp_matches(command, ';|&&|[|][|]|`|[$]|<|>'))"
 
 
@@ -102,13 +107,16 @@ SAFE_SQL = "(command <> '' AND starts_with(command, 'src1') AND NOT regexp_match
   array_to_string(list_filter(list_transform(string_split(alt, '|'), lambda x: trim(x)), lambda x: x <> ''), ',') AS alternatives FROM {PARSED_SQL}""")
 def scl_parse_output(spark: SparkSession, d: str) -> DataFrame:
     p = tagged(spark, d).select("doc_id", X.parse_output(F.col("t")).alias("p"))
-    return p.select("doc_id", "p.command", "p.confidence", "p.explanation", F.array_join("p.alternatives", ",").alias("alternatives"))
+    # -1 for what is not a number
+    return p.select("doc_id", "p.command", F.nanvl("p.confidence", F.lit(-1.0)).alias("confidence"), "p.explanation", F.array_join("p.alternatives", ",").alias("alternatives"))
 
 
 @query(f"""SELECT doc_id, {SAFE_SQL} AS safe, ({SAFE_SQL} AND {NUM_SQL} >= 0.6) AS success,
   split_part(command, ' ', 1) IN ('src1', 'src2') AS allowed,
-  CASE WHEN {SAFE_SQL} THEN 'Command: ' || command || chr(10) || 'Explanation: ' || explanation ELSE 'No command found' END AS preview,
-  CASE WHEN len(string_split(command, ' ')) > 1 THEN string_split(command, ' ')[2] ELSE command END AS sub FROM {PARSED_SQL}""")
+  CASE WHEN {SAFE_SQL} AND conf <> 'nan' THEN 'Command: ' || command || chr(10) || 'Confidence: ' || round_even(({NUM_SQL})::DECIMAL(18, 9) * 100, 0)::BIGINT || '%' || chr(10) || 'Explanation: ' || explanation
+    || CASE WHEN alts <> [] THEN chr(10) || 'Alternatives:' || array_to_string(list_transform(alts, lambda x: chr(10) || '  - ' || x), '') ELSE '' END ELSE 'No command found' END AS preview,
+  CASE WHEN len(string_split(command, ' ')) > 1 THEN string_split(command, ' ')[2] ELSE command END AS sub
+FROM (SELECT *, list_filter(list_transform(string_split(alt, '|'), lambda x: trim(x)), lambda x: x <> '') AS alts FROM {PARSED_SQL})""")
 def flt_validate(spark: SparkSession, d: str) -> DataFrame:
     p = tagged(spark, d).select("doc_id", X.parse_output(F.col("t")).alias("p")).select("doc_id", "p.*")
     c = F.col("command")
@@ -118,7 +126,7 @@ def flt_validate(spark: SparkSession, d: str) -> DataFrame:
         safe.alias("safe"),
         X.passes(c, F.col("confidence"), "src1").alias("success"),
         X.first_word_in(c, ["src1", "src2"]).alias("allowed"),
-        X.preview(c, F.col("confidence"), F.col("explanation"), F.array().cast("array<string>"), safe).alias("preview"),
+        X.preview(c, F.col("confidence"), F.col("explanation"), F.col("alternatives"), safe & ~F.isnan("confidence")).alias("preview"),
         X.subcommand(c).alias("sub"),
     )
 
@@ -132,9 +140,13 @@ def flt_url_predicates(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT count(*) AS n, count(DISTINCT text) AS n_distinct, round(avg(length(text)), 6) AS avg_chars, round(1.0 - count(DISTINCT text) / count(*), 9) AS repeat_rate,
   count(DISTINCT source) AS n_sources FROM documents""")
 def agg_dataset_profile(spark: SparkSession, d: str) -> DataFrame:
-    n, u = F.count(F.lit(1)), F.countDistinct("text")
-    return table(spark, d, "documents").agg(
-        n.alias("n"), u.alias("n_distinct"), F.round(F.avg(F.length("text")), 6).alias("avg_chars"), F.round(1 - u / n, 9).alias("repeat_rate"), F.countDistinct("source").alias("n_sources")
+    # one row for each digest of 128 bits, so whole texts aren't moved
+    docs = table(spark, d, "documents").select(F.md5("text").alias("h"), F.length("text").alias("chars"), "source")
+    texts = docs.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.sum("chars").alias("chars"))
+    found = texts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("h").alias("n_distinct"), F.sum("chars").alias("chars"), F.sum(F.when(F.col("h").isNotNull(), F.col("c"))).alias("known"))
+    sources = docs.groupBy("source").agg(F.count(F.lit(1)).alias("c")).agg(F.count("source").alias("n_sources"))
+    return found.crossJoin(F.broadcast(sources)).select(
+        "n", "n_distinct", F.round(F.col("chars") / F.nullif("known", F.lit(0)), 6).alias("avg_chars"), F.round(1 - F.col("n_distinct") / F.nullif("n", F.lit(0)), 9).alias("repeat_rate"), "n_sources"
     )
 
 

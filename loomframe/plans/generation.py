@@ -19,40 +19,64 @@ from loomframe.sources.shared import scratch_path
 
 
 def values(rows) -> str:
-    spell = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    spell = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
     return ", ".join("(" + ", ".join(map(spell, r)) + ")" for r in rows)
 
 
-@query(f"""WITH s(kind, share) AS (VALUES {values(generation.CONTAINER_SHARES)}), z(kind, size) AS (VALUES {values(generation.CONTAINER_POOLS)}),
-p AS (SELECT kind, unnest(range(size))::INT AS k FROM z),
-x AS (SELECT kind, k, 'use ' || kind || ' on item' || (k % 12) || ' with --opt' || ((k // 12) % 30) AS instruction, 'docker ' || kind || ' --opt' || ((k // 12) % 30) || ' item' || (k % 12) AS command FROM p),
+POOLS_SQL = f"(SELECT kind, (row_number() OVER (PARTITION BY kind ORDER BY n) - 1)::INT AS k, instruction, command FROM (VALUES {values((n, *r) for n, r in enumerate(generation.container_rules()))}) v(n, kind, instruction, command))"
+CONTAINER_SQL = f"""WITH s(kind, share) AS (VALUES {values(generation.CONTAINER_SHARES)}), x AS {POOLS_SQL},
 r AS (SELECT x.*, floor(share * 600)::INT AS quota, row_number() OVER (PARTITION BY x.kind ORDER BY md5('d4|' || x.kind || '|' || k), x.kind || '|' || k) AS rank FROM x JOIN s ON s.kind = x.kind)
-SELECT kind, k, instruction, command FROM r WHERE rank <= quota""")
+SELECT kind, k, instruction, command FROM r WHERE rank <= quota"""
+
+
+@query(CONTAINER_SQL)
 def gen_container_corpus(spark: SparkSession, d: str) -> DataFrame:
     shares = spark.createDataFrame(list(generation.CONTAINER_SHARES), "kind string, share double")
-    pools = generation.pool(spark.createDataFrame(list(generation.CONTAINER_POOLS), "kind string, size int"), 12, 30)
-    return generation.sample_pools(pools, shares, 600, "d4").select("kind", "k", "instruction", "command")
+    return generation.sample_pools(generation.pool(spark), shares, 600, "d4").select("kind", "k", "instruction", "command")
+
+
+@query(f"SELECT kind, count(*) AS n, count(DISTINCT command) AS n_commands, count(DISTINCT instruction) AS n_instructions FROM {POOLS_SQL} GROUP BY kind")
+def gen_container_pools(spark: SparkSession, d: str) -> DataFrame:
+    return generation.pool(spark).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("command").alias("n_commands"), F.countDistinct("instruction").alias("n_instructions"))
+
+
+@query(f"SELECT 'Translate this to a docker command: ' || instruction AS instruction, '' AS input, command AS output FROM ({CONTAINER_SQL})")
+def gen_corpus_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """The sampled corpus, shuffled, written as JSON lines and read back."""
+    corpus = gen_container_corpus(spark, d)
+    corpus = corpus.select("kind", "k", F.concat(F.lit("Translate this to a docker command: "), "instruction").alias("instruction"), F.lit("").alias("input"), F.col("command").alias("output"))
+    path = scratch_path(spark, "corpus")
+    generation.write_corpus(corpus, path, "s9", "kind", "k")
+    return files.read_jsonl(spark, path)
+
 
+TOOL_SCHEMA = "kind string, t int, pattern string, command string, base double, explanation string"
 
-TEMPLATES = [
-    (kind, t, pattern.format(kind=kind), f"tool {kind} {option}" + "{path}", base)
-    for kind, _ in generation.TOOL_SHARES
-    for t, (pattern, option, base) in enumerate(
-        [("{kind} for {{path}}", "", 0.95), ("please {kind} what is in {{path}}", "--in ", 0.92), ("{kind} all of {{path}}", "--all ", 0.9), ("how do I {kind} {{path}}", "--help ", 0.85)]
-    )
-]
 
+def slotted(column: str) -> str:
+    """SQL that fills the slots of a column by the drawn values."""
+    for s in generation.SLOTS:
+        column = f"replace({column}, '{{{s}}}', v_{s})"
+    return column
 
-@query(f"""WITH s(kind, share) AS (VALUES {values(generation.TOOL_SHARES)}), t(kind, t, pattern, command, base) AS (VALUES {values(TEMPLATES)}),
-q AS (SELECT kind, unnest(range(floor(share * 1500)::BIGINT))::INT AS i FROM s),
-x AS (SELECT kind, i, floor({UNIT.format("'t|' || kind || '|' || i")} * 4)::INT AS t, floor({UNIT.format("'p|' || kind || '|' || i")} * 25)::INT AS place, {UNIT.format("'c|' || kind || '|' || i")} AS u FROM q)
-SELECT x.kind, i, replace(pattern, '{{path}}', n_name) AS instruction, replace(command, '{{path}}', n_name) AS command, round(base + (-0.03 + 0.05 * u), 6)::DOUBLE AS confidence
-FROM x JOIN t ON t.kind = x.kind AND t.t = x.t JOIN nation ON n_nationkey = place""")
+
+DRAWS_SQL = ", ".join(f"[{', '.join(repr(x) for x in v)}][floor({UNIT.format(chr(39) + s + '|' + chr(39) + ' || kind || ' + chr(39) + '|' + chr(39) + ' || i')} * {len(v)})::INT + 1] AS v_{s}" for s, v in generation.SLOTS.items())
+
+
+@query(f"""WITH s(kind, share) AS (VALUES {values(generation.TOOL_SHARES)}), t(kind, t, pattern, command, base, explanation) AS (VALUES {values(generation.tool_templates())}),
+c AS (SELECT kind, count(*) AS m FROM t GROUP BY kind), q AS (SELECT s.kind, m, unnest(range(floor(share * 1500)::BIGINT))::INT AS i FROM s JOIN c ON c.kind = s.kind),
+x AS (SELECT kind, i, floor({UNIT.format("'t|' || kind || '|' || i")} * m)::INT AS t, {UNIT.format("'c|' || kind || '|' || i")} AS u, {DRAWS_SQL} FROM q)
+SELECT x.kind, i, {slotted('pattern')} AS instruction, {slotted('command')} AS command, {slotted('explanation')} AS explanation, round(base + (-0.03 + 0.05 * u), 6)::DOUBLE AS confidence
+FROM x JOIN t ON t.kind = x.kind AND t.t = x.t""")
 def gen_tool_corpus(spark: SparkSession, d: str) -> DataFrame:
-    templates = spark.createDataFrame(TEMPLATES, "kind string, t int, pattern string, command string, base double")
+    templates = spark.createDataFrame(generation.tool_templates(), TOOL_SCHEMA)
     shares = spark.createDataFrame(list(generation.TOOL_SHARES), "kind string, share double")
-    places = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("place"), F.col("n_name").alias("path"))
-    return generation.draw_templates(templates, shares, places, 25, 1500).withColumn("confidence", F.round("confidence", 6))
+    return generation.draw_templates(templates, shares, 1500).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"SELECT kind, count(*) AS n FROM (VALUES {values(generation.tool_templates())}) t(kind, t, pattern, command, base, explanation) GROUP BY kind")
+def gen_tool_templates(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(generation.tool_templates(), TOOL_SCHEMA).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 IMAGES = [("web", [(80, "-d"), (443, "-d --tls")]), ("db", [(5432, "-v data")]), ("cache", [(6379, "-d"), (6380, "-d --replica")])]
@@ -99,10 +123,17 @@ def src_tail(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5("text").alias("h")).orderBy(F.desc("doc_id")).limit(150)
 
 
-@query("SELECT doc_id, lang, label FROM documents JOIN embeddings ON vec_id = doc_id")
+@query("""WITH a AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents), b AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS position FROM embeddings)
+SELECT a.position::BIGINT AS position, doc_id, lang, vec_id, label FROM a LEFT JOIN b ON b.position = a.position""")
 def jn_positional(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    return sequences.zip_rows(table(spark, d, "documents").select("doc_id", "lang"), vectors, "doc_id")
+    vectors = table(spark, d, "embeddings").select("vec_id", "label")
+    return sequences.zip_rows(table(spark, d, "documents").select("doc_id", "lang"), vectors, "doc_id", "vec_id").select("position", "doc_id", "lang", "vec_id", "label")
+
+
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM documents), b AS (SELECT label, row_number() OVER (ORDER BY vec_id) AS p FROM embeddings)
+SELECT doc_id, label AS extra FROM a LEFT JOIN b ON a.p = b.p""")
+def prj_add_column(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.add_column(table(spark, d, "documents").select("doc_id"), "doc_id", "extra", table(spark, d, "embeddings"), "vec_id", "label")
 
 
 @query("""SELECT doc_id, '{"doc_id":' || doc_id || CASE WHEN lang = 'en' THEN ',"lang":"en"' ELSE '' END || CASE WHEN n_chars > 500 THEN ',"n_chars":' || n_chars ELSE '' END || '}' AS js, CASE WHEN n_chars > 500 THEN n_chars END::BIGINT AS n_chars FROM documents""")

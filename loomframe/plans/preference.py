@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions import scores as C
 from loomframe.operators import sequences
+from loomframe.operators.density import density_weights
 from loomframe.plans.registry import query
 from loomframe.plans.tables import table
 
@@ -64,8 +65,9 @@ PAIRWISE_SQL = {
 
 @query(select_sql(PAIRWISE_SQL, LOGPS_SQL))
 def ls_pairwise(spark: SparkSession, d: str) -> DataFrame:
-    c = C.pairwise(*[F.col(x) for x in ("pc", "pr", "rc", "rr")])
-    return logps(spark, d).select(*KEYS, *rounded(c))
+    shared = C.pairwise_terms(*[F.col(x) for x in ("pc", "pr", "rc", "rr")])
+    c = C.pairwise(*[F.col(x) for x in ("lc", "lr", "z")])
+    return logps(spark, d).select(*KEYS, *[v.alias(k) for k, v in shared.items()]).select(*KEYS, *rounded(c))
 
 
 SP = lambda x: f"(-{ls(f'-({x})')})"
@@ -80,7 +82,7 @@ DIVERGENCE_SQL = {
 def ls_divergence_and_weighted(spark: SparkSession, d: str) -> DataFrame:
     pc, pr, rc, rr = (F.col(x) for x in ("pc", "pr", "rc", "rr"))
     c = C.divergence(pc - rc, pr - rr)
-    c["weighted"] = C.weighted_loss(C.pairwise(pc, pr, rc, rr), {"sigmoid": 0.7, "hinge": 0.3}, -pc, 0.5)
+    c["weighted"] = C.weighted_loss(C.pairwise(pc - rc, pr - rr, (pc - pr) - (rc - rr)), {"sigmoid": 0.7, "hinge": 0.3}, -pc, 0.5)
     return logps(spark, d).select(*KEYS, *rounded(c))
 
 
@@ -196,9 +198,10 @@ def win_group_advantage(spark: SparkSession, d: str) -> DataFrame:
     return df.select(*KEYS, *rounded(cols), flat.alias("flat"))
 
 
-@query(f"""WITH t AS (SELECT *, row_number() OVER w AS t, lead(value) OVER w AS nv FROM {LOGPS_SQL} WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, reward, value, pc, pr)),
-x AS (SELECT *, reward + 0.99 * coalesce(nv, 0.0) - value AS d, pow(0.99 * 0.95, t) AS g FROM t)
-SELECT l_orderkey, l_partkey, l_linenumber, round(sum(d * g) OVER w / g, 9) + 0.0 AS advantage, round(sum(d * g) OVER w / g + value, 9) + 0.0 AS returns FROM x WINDOW w AS (PARTITION BY l_orderkey ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+@query(f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER w AS t, count(*) OVER (PARTITION BY l_orderkey) AS n, lead(value) OVER w AS nv FROM {LOGPS_SQL} WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, reward, value, pc, pr)),
+x AS (SELECT *, reward + 0.99 * coalesce(nv, 0.0) - value AS d FROM t),
+a AS (SELECT l_orderkey, t, d AS adv FROM x WHERE t = n UNION ALL SELECT x.l_orderkey, x.t, x.d + 0.99 * 0.95 * a.adv FROM x JOIN a ON a.l_orderkey = x.l_orderkey AND a.t = x.t + 1)
+SELECT x.l_orderkey, l_partkey, l_linenumber, round(adv, 9) + 0.0 AS advantage, round(adv + value, 9) + 0.0 AS returns FROM x JOIN a ON a.l_orderkey = x.l_orderkey AND a.t = x.t""")
 def win_gae(spark: SparkSession, d: str) -> DataFrame:
     g = sequences.gae(logps(spark, d), "l_orderkey", ["l_linenumber", "l_partkey", "reward", "value", "pc", "pr"], "reward", "value", 0.99, 0.95)
     return g.select(*KEYS, *rounded({"advantage": F.col("advantage"), "returns": F.col("returns")}))
@@ -267,12 +270,5 @@ def srt_best_of_two(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ls_udm_weight(spark: SparkSession, d: str) -> DataFrame:
     """Density-ratio weights from a logistic model on embeddings, with balanced classes."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    e = table(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"), (F.col("label") < 5).cast("double").alias("y"))
-    share = e.agg(F.avg("y").alias("p")).first()["p"] or 0.5
-    e = e.withColumn("w", F.when(F.col("y") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
-    model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", maxIter=50).fit(e)
-    p = vector_to_array("probability")[1]
-    return model.transform(e).select("vec_id", C.clamp(p / (1 - p + 1e-8), 0.1, 10.0).alias("weight"))
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).alias("desired"))
+    return density_weights(e, "embedding", "desired").select("vec_id", "weight")

@@ -97,7 +97,7 @@ def agg_completion_lengths(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, source, size, (e - size)::BIGINT AS start, floor((e - size) / 2048)::BIGINT AS first_pack, floor(greatest(e - 1, e - size) / 2048)::BIGINT AS last_pack FROM t""")
 def tok_pack_wrapped(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").cast("long").alias("size"))
-    return sequences.pack_wrapped(docs, "source", "doc_id", "size", 2048)
+    return sequences.pack_wrapped(docs, "source", "doc_id", "size", 2048).select("doc_id", "source", "size", "start", "first_pack", "last_pack")
 
 
 @query()
@@ -129,8 +129,9 @@ def tok_logprobs_and_jsd(spark: SparkSession, d: str) -> DataFrame:
 SELECT l_orderkey, l_partkey, l_linenumber, (l_tax >= q AND l_returnflag <> 'R') AS high FROM lineitem, t""")
 def tok_entropy_mask(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    cut = li.filter("l_returnflag <> 'R'").agg(F.percentile("l_tax", 0.8).alias("cut"))
-    return li.join(F.broadcast(cut)).select("l_orderkey", "l_partkey", "l_linenumber", ((F.col("l_tax") >= F.col("cut")) & (F.col("l_returnflag") != "R")).alias("high"))
+    cut = sequences.exact_quantile(li.filter("l_returnflag <> 'R'"), "l_tax", 0.8)
+    high = F.coalesce((F.col("l_tax") >= F.col("cut")) & (F.col("l_returnflag") != "R"), F.lit(False))
+    return li.crossJoin(F.broadcast(cut)).select("l_orderkey", "l_partkey", "l_linenumber", high.alias("high"))
 
 
 @query("""WITH t AS (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_tax END) AS s, sum((l_returnflag <> 'R')::INT) AS n FROM lineitem GROUP BY l_orderkey)
@@ -146,6 +147,6 @@ def agg_masked_means(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT conv_id, turn, g::INT AS copy, ntile(4) OVER (ORDER BY md5('n|' || conv_id || '|' || turn), conv_id, turn, g)::INT AS slice FROM {PAIRS_SQL}, range(1, 4) t(g)")
 def win_repeat_and_slice(spark: SparkSession, d: str) -> DataFrame:
     p = chat.chat_pairs(table(spark, d, "conversations")).select("conv_id", "turn", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("copy"))
-    # a whole-table order is the feature here: a shuffle cut into equal slices
-    w = Window.orderBy(F.md5(F.concat_ws("|", F.lit("n"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))), "conv_id", "turn", "copy")
-    return p.withColumn("slice", F.ntile(4).over(w))
+    key = F.md5(F.concat_ws("|", F.lit("n"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    ranked = sequences.hash_rank(p, key, ["conv_id", "turn", "copy"])
+    return ranked.select("conv_id", "turn", "copy", sequences.tile(F.col("rank"), F.col("total"), 4).alias("slice"))

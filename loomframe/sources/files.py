@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.sources.shared import exists
+
 ALPACA = "instruction string, input string, output string"
 HISTORY = "nl string, command string, executed boolean, successful boolean, timestamp timestamp"
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str = ALPACA) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def read_jsonl(spark: SparkSession, path: str, schema: str | None = ALPACA) -> DataFrame:
+    """Rows of JSON lines; without a schema it is inferred from all of them."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.json(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -20,10 +23,9 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Events of JSON documents; broken ones are dropped and a missing path has none."""
-    try:
-        return spark.read.schema(HISTORY).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException:
+    if not exists(spark, path):
         return spark.createDataFrame([], HISTORY)
+    return spark.read.schema(HISTORY).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
 
 
 def append_history(df: DataFrame, path: str) -> None:
@@ -48,3 +50,8 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
     """A table of samples as CSV (with header) or JSON lines."""
     df.write.mode("overwrite").option("header", True).format(kind).save(path)
+
+
+def console_table(df: DataFrame, rows: int = 20, width: int = 60) -> str:
+    """The first rows as a text table for a terminal."""
+    return df._show_string(rows, width, False)

@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few short columns that are sent to all executors at most.
+SMALL_ROWS = 500_000
+
+
+@cache
+def _local_dir() -> str:
+    path = tempfile.mkdtemp(prefix="loomframe-core-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, else as it is, for a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, wherever it is; nothing if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -15,5 +45,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="loomframe-core-")
+        base = _local_dir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.sources.shared import remove
+
 
 def running_moments(df: DataFrame, key: str, value: str) -> DataFrame:
     """Count, mean and deviation of a value by key; on a stream the state lives in Spark's checkpoint."""
@@ -23,11 +25,14 @@ def keep_recent(path: str, by: str, order: list[str], n: int) -> Callable[[DataF
     """For foreachBatch: each batch writes the next version of the log, so a repeated batch changes nothing.
 
     Version k holds the last n rows by key after batch k; batches are numbered from 0 without gaps.
+    The version before the last stays for a repeated batch, older ones are removed.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         if number > 0:
             batch = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/version={number - 1}"))
         recent_rows(batch, by, order, n).write.mode("overwrite").parquet(f"{path}/version={number}")
+        if number > 1:
+            remove(batch.sparkSession, f"{path}/version={number - 2}")
 
     return write

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.functions import text as X
@@ -30,6 +30,30 @@ class Translator:
         return d.withColumn("preview", X.preview(c, conf, F.col("explanation"), F.col("alternatives"), F.col("success")))
 
 
+class Lookup:
+    """A model that answers with the example whose instruction shares most words with the utterance.
+
+    corpus: ``instruction``, ``output`` (tagged lines, or a command alone). Stored as JSON lines in a folder.
+    """
+
+    def __init__(self, corpus: DataFrame):
+        self.corpus = corpus
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Lookup:
+        return cls(files.read_jsonl(spark, path).select("instruction", "output"))
+
+    def answer(self, utterance: str) -> DataFrame:
+        """One row: ``utterance`` and ``answer`` in tagged lines, the shared part of the words as confidence; none without examples."""
+        said = F.array_distinct(X.words(X.normalize(F.lit(utterance))))
+        known = F.array_distinct(X.words(X.normalize(F.regexp_replace("instruction", "^Translate[^:]*: ", ""))))
+        score = F.size(F.array_intersect(said, known)) / F.greatest(F.size(F.array_union(said, known)), F.lit(1))
+        best = self.corpus.select("output", "instruction", score.alias("score")).orderBy(F.desc("score"), "instruction", "output").limit(1)
+        tagged = F.concat(F.lit("COMMAND: "), "output", F.lit("\nEXPLANATION: as for: "), "instruction")
+        lines = F.when(F.col("output").startswith("COMMAND:"), F.rtrim("output")).otherwise(tagged)
+        return best.select(F.lit(utterance).alias("utterance"), F.concat(lines, F.lit("\nCONFIDENCE: "), X.two_places(F.col("score"))).alias("answer"))
+
+
 class History:
     """Translations that were tried, appended as JSON."""
 

@@ -76,6 +76,190 @@ def test_parse_edges(spark):
     assert [r[0] for r in ok] == [True, False, True, False]
 
 
+def test_text_edges(spark):
+    from pyspark.sql import functions as F
+
+    from loomframe.functions import text as X
+
+    odd = "\u00a0 A\u3000\tb\u2003\n\x1cC\u2028"
+    row = spark.createDataFrame([(odd,)], "t string").select(X.normalize(F.col("t")).alias("n"), X.strip(F.col("t")).alias("s"), X.words(F.col("t")).alias("w")).first()
+    assert row.n == " ".join(odd.lower().split()) == "a b c" and row.s == odd.strip() and row.w == odd.split()
+    numbers = ["0.9", "1_0", "1_0.5e1_0", "inf", "-Infinity", "NaN", "1.0d", "0x1p3", "95%", "", "_1", "1__0", "+.5", "5."]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in numbers], "t string").select(X.to_number(F.col("t"))).collect()]
+    for x, y in zip(numbers, got, strict=True):
+        try:
+            want = float(x)
+        except ValueError:
+            want = 0.0
+        assert y == want or y != y and want != want, x
+    nan = spark.range(1).select(X.passes(F.lit("tool x"), F.lit(float("nan")), "tool")).first()
+    assert nan[0] is False
+    shown = [tuple(r) for r in spark.createDataFrame([(0.125, 0.955), (0.9, 0.5)], "a double, b double").select(X.two_places(F.col("a")), X.percent(F.col("b")), X.percent(F.col("b"), 1)).collect()]
+    assert shown == [("0.12", "96%", "95.5%"), ("0.90", "50%", "50.0%")]
+    cut = spark.createDataFrame([("ab cd", "ab ce"), ("a", "a"), ("", "x"), ("x y", "x z")], "c string, r string").select(X.shared_prompt(F.col("c"), F.col("r")).alias("s")).select("s.*").collect()
+    assert [tuple(r) for r in cut] == [("ab c", "d", "e"), ("a", "", ""), ("", "", "x"), ("x", " y", " z")]
+
+
+def test_gae_on_long_groups(spark):
+    """50,000 steps in one group, and a decay so strong that its powers vanish."""
+    import random
+
+    from loomframe.operators.sequences import gae
+
+    r = random.Random(1)
+    steps = [("a", t, r.random(), r.random()) for t in range(50_000)] + [("b", t, r.random(), r.random()) for t in range(300)] + [("c", 0, 1.0, 0.5)]
+    df = spark.createDataFrame(steps, "g string, t int, r double, v double")
+    for gamma, lam in ((0.99, 0.95), (0.5, 1e-4), (1.0, 1.0), (0.9, 0.0)):
+        want, at = {}, {}
+        for g, t, x, v in reversed(steps):
+            ahead, value = at.get(g, (0.0, 0.0))
+            want[g, t] = x + gamma * value - v + gamma * lam * ahead
+            at[g] = want[g, t], v
+        got = gae(df, "g", ["t"], "r", "v", gamma, lam).collect()
+        assert len(got) == len(steps)
+        assert all(math.isclose(x.advantage, want[x.g, x.t], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(x.returns, x.advantage + x.v) for x in got)
+
+
+def test_skewed_groups(spark):
+    """One group holds nearly all rows: packs, positions, ranks and quantiles are right and no span holds it whole."""
+    from pyspark.sql import functions as F
+
+    from loomframe.operators import sequences as S
+
+    rows = [(k, "s0" if k % 50 else "s1", k % 37) for k in range(5000)]
+    df = spark.createDataFrame(rows, "k long, s string, n long").repartition(7)
+    at, want = {}, {}
+    for k, s, n in rows:
+        want[k] = at.get(s, 0)
+        at[s] = want[k] + n
+    got = S.running_sums(df, ["s"], "k", "n", width=64)
+    assert {r.k: r.before for r in got.collect()} == want
+    assert {r.k: r.position for r in S.positions(df, "k", 64).collect()} == {k: k for k, _, _ in rows}
+    ranked = S.hash_rank(df, F.md5(F.col("k").cast("string")), ["k"], digits=2).withColumn("tile", S.tile(F.col("rank"), F.col("total"), 7)).collect()
+    import hashlib
+
+    order = sorted(range(5000), key=lambda k: (hashlib.md5(str(k).encode()).hexdigest(), k))
+    assert {r.k: r.rank for r in ranked} == {k: i for i, k in enumerate(order)}
+    assert {r.k: r.tile for r in ranked} == {k: (i // 715 + 1 if i < 2 * 715 else 3 + (i - 2 * 715) // 714) for i, k in enumerate(order)}
+    import numpy as np
+
+    for values in ([x for _, _, x in rows], [1.0], [2.0] * 9, [1e9, 0.0, 3.0, 1.0], []):
+        v = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "v double")
+        cut = S.exact_quantile(v, "v", 0.8, spans=16).first()["cut"]
+        assert cut is None if not values else abs(cut - np.quantile(values, 0.8)) < 1e-9
+    packs = S.pack_best_fit(spark.createDataFrame([(0, 1, 20_000), (0, 2, 5)], "s long, k long, n long"), "s", "k", "n", 8192).collect()
+    assert {(r.k, r.n, r.kept, r.pack) for r in packs} == {(1, 20_000, 8192, 0), (2, 5, 5, 1)}
+
+
+def test_empty_tables(spark, tmp_path):
+    from loomframe.operators.density import density_weights
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    row = queries()["agg_dataset_profile"](spark, str(tmp_path)).first()
+    assert (row.n, row.n_distinct, row.avg_chars, row.repeat_rate) == (0, 0, None, None)
+    e = spark.createDataFrame([], "embedding array<double>, y boolean")
+    assert density_weights(e, "embedding", "y").count() == 0
+    one = spark.createDataFrame([([1.0], True)] * 3, "embedding array<double>, y boolean")
+    assert [r.weight for r in density_weights(one, "embedding", "y").collect()] == [1.0] * 3
+
+
+def test_density_weights_tell_classes_apart(spark):
+    import random
+
+    from loomframe.operators.density import density_weights
+
+    r = random.Random(4)
+    rows = [([r.gauss(1.5 if k % 4 else -1.5, 1.0), r.gauss(0, 1)], bool(k % 4)) for k in range(400)]
+    got = density_weights(spark.createDataFrame(rows, "embedding array<double>, y boolean"), "embedding", "y").collect()
+    # the ratio of the classes' densities is exp(3 x) for normal ones that lie 3 apart
+    assert all(0.1 <= x.weight <= 10 for x in got)
+    gaps = [abs(math.log(x.weight) - math.log(min(max(math.exp(3 * x.embedding[0]), 0.1), 10.0))) for x in got]
+    assert sum(gaps) / len(gaps) < 0.3
+
+
+def test_exo_pair_without_smoothing(spark):
+    from pyspark.sql import functions as F
+
+    from loomframe.functions import scores as C
+
+    d = spark.createDataFrame([(0.5, -0.2, 0.7)], "lc double, lr double, z double")
+    got = d.select(C.pairwise(F.col("lc"), F.col("lr"), F.col("z"), eps=0.0)["exo_pair"]).first()[0]
+    s = lambda x: 1 / (1 + math.exp(-x))
+    assert abs(got - (s(0.07) * (math.log(s(0.07)) - math.log(0.999)) + s(-0.07) * (math.log(s(-0.07)) - math.log(0.001)))) < 1e-12
+
+
+def test_chat_template(spark):
+    from loomframe.operators.chat import render
+
+    rows = [(1, 0, "system", "S"), (1, 1, "user", "\t hi\n"), (1, 2, "assistant", "yo"), (2, 0, "user", "a"), (2, 1, "system", "late"), (3, 0, "system", "only"), (4, 0, "user", "a"), (4, 1, "user", "b")]
+    got = {r.conv_id: r for r in render(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"), generation_prompt=True).collect()}
+    assert got[1].rendered == "<bos><start_of_turn>user\nS\n\nhi<end_of_turn>\n<start_of_turn>model\nyo<end_of_turn>\n<start_of_turn>model\n" and got[1].alternates
+    # the format asks only that users, and no others, have the even places
+    assert got[2].alternates and "<start_of_turn>system\nlate" in got[2].rendered and not got[4].alternates
+    assert got[3].rendered == "<bos><start_of_turn>model\n"
+
+
+def test_late_rows_of_metric_windows(spark, tmp_path):
+    """A stream's windows are sent once; a row later than the watermark allows changes nothing."""
+    from datetime import datetime, timedelta
+
+    from loomframe.streaming.history import metric_windows
+
+    day = datetime(2024, 1, 1)
+    batches = [[(day, "a", 1.0), (day + timedelta(hours=3), "a", 3.0)], [(day + timedelta(days=4), "a", 5.0)], [(day + timedelta(hours=5), "a", 100.0), (day + timedelta(days=8), "a", 7.0)], [(day + timedelta(days=20), "a", 9.0)]]
+    schema = "ts timestamp, k string, v double"
+    for n, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.parquet(str(tmp_path / f"made{n}"))
+    (tmp_path / "in").mkdir()
+    q = metric_windows(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "ts", "k", "v").writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for n in range(len(batches)):
+            for f in (tmp_path / f"made{n}").glob("*.parquet"):
+                f.rename(tmp_path / "in" / f"{n}-{f.name}")
+            q.processAllAvailable()
+        first = {r.start.day: (r.n, r["mean"]) for r in spark.table("windows").collect()}
+        assert first[1] == (2, 2.0) and first[5] == (1, 5.0)
+    finally:
+        q.stop()
+
+
+def test_missing_history_only(spark, tmp_path):
+    from loomframe.sources import files
+
+    assert files.read_history(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "h.json").write_text('[{"nl": "a", "executed": true}, {"nl": "b"}]')
+    assert files.read_history(spark, str(tmp_path / "h.json")).count() == 2
+    assert "nl" in files.console_table(files.read_history(spark, str(tmp_path / "h.json")))
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import loomframe
+    from loomframe import cli
+
+    assert loomframe.Translator and loomframe.History and loomframe.__version__
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    run = lambda *a: (cli.main(["--models", str(tmp_path), *a]), capsys.readouterr().out)
+    assert run("translate", "show disk usage")[0] == 1
+    assert "not found" in run("model-info", "--tool", "docker")[1] and "No models" in run("cache-dir")[1]
+    assert run("make-corpus", "docker") == (0, f"574 examples in {tmp_path / 'docker'}\n")
+    assert run("make-corpus", "tool")[1].startswith("1500 examples")
+    assert "docker system df" in run("translate", "--tool", "docker", "show", "disk", "usage")[1]
+    shown = run("translate", "show", "my", "environments", "as", "json")[1]
+    assert "Command: tool ls --format json" in shown and "Confidence: 100%" in shown
+    assert "available" in run("model-info", "--tool", "docker")[1] and "docker (" in run("cache-dir")[1]
+
+
+def test_template_sizes():
+    from collections import Counter
+
+    from loomframe.operators import generation
+
+    assert Counter(k for k, _, _ in generation.container_rules()) == dict(run=214, build=97, ps_images=66, exec=54, compose=76, network=62, volume=37, system=27)
+    assert Counter(t[0] for t in generation.tool_templates()) == {"register": 15, "ls": 16, "scan": 13, "current": 8, "cleanup": 11, "shell-hook": 7, "stats": 8}
+    assert len(set(generation.container_rules())) == 633
+
+
 def test_container_corpus_size(spark):
     assert queries()["gen_container_corpus"](spark, SF).count() == 574
     assert queries()["gen_tool_corpus"](spark, SF).count() == 1500
@@ -94,7 +278,9 @@ def test_streams_of_moments_and_recent_rows(spark, tmp_path):
     log = str(tmp_path / "log")
     q = read().writeStream.foreachBatch(keep_recent(log, "k", ["t"], 4)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max(tmp_path.glob("log/version=*"), key=lambda x: int(x.name.split("=")[1]))
+    versions = sorted(int(x.name.split("=")[1]) for x in tmp_path.glob("log/version=*"))
+    assert len(versions) <= 2
+    last = tmp_path / f"log/version={versions[-1]}"
     assert bag(map(tuple, spark.read.parquet(str(last)).collect())) == bag(map(tuple, recent_rows(df, "k", ["t"], 4).collect()))
 
 
@@ -106,7 +292,7 @@ def test_translator_and_history(spark, tmp_path):
     model = lambda p: F.concat(F.lit("COMMAND: tool ls "), F.regexp_extract(p, "show (\\S+)", 1), F.lit("\nCONFIDENCE: 0.9\nEXPLANATION: lists"))
     df = spark.createDataFrame([(1, "  Show   A "), (2, "show $x"), (3, None)], "i int, said string")
     got = {r.i: r for r in Translator("tool", model).translate(df, "said").collect()}
-    assert got[1].command == "tool ls a" and got[1].success and got[1].preview == "Command: tool ls a\nExplanation: lists"
+    assert got[1].command == "tool ls a" and got[1].success and got[1].preview == "Command: tool ls a\nConfidence: 90%\nExplanation: lists"
     assert not got[2].safe and got[2].preview == "No command found" and got[3].command == ""
     log = History(str(tmp_path / "history"))
     assert log.success_rate(spark) == 0.0
