@@ -10,6 +10,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,8 +45,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes at its end what was written within, but the tables that are given to its function."""
+    paths: list[str] = []
+    _made.append(paths)
+
+    def kept(df: DataFrame) -> DataFrame:
+        paths.remove(df.stored_at)
+        return df
+
+    try:
+        yield kept
+    finally:
+        _made.remove(paths)
+        for path in paths:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -60,8 +91,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Removes materialized tables that nothing reads any more."""
     for t in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(spark, t.stored_at)
 
 
 def sendable(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:

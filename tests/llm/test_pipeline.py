@@ -1,5 +1,6 @@
 """The pipeline against brute force on the smallest tables, and its stages on awkward rows."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomframe.llm import decontaminate
+from loomframe.llm import _shared, decontaminate
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -103,11 +104,16 @@ def clean(rows, items):
     return out
 
 
-def test_run_equals_brute_force(spark):
+def test_run_equals_brute_force(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(_shared, "shared_dir", lambda s: f"file://{tmp_path}")
     rows = duckdb.sql(f"select doc_id, text, source from '{SF}/documents.parquet'").fetchall()
     items = [t for (t,) in duckdb.sql(f"select text from '{SF}/benchmark.parquet'").fetchall()]
     want = clean(dedup(rules(rows)), items)
-    got = corpus_pipeline.run(spark, SF).collect()
+    out = corpus_pipeline.run(spark, SF)
+    got = out.collect()
+    # nothing but the result is left of what the stages wrote
+    assert {p.split("/")[-2] for p in out.inputFiles()} == {out.stored_at.split("/")[-1]}
+    assert sorted(os.listdir(_shared.shared_dir(spark).removeprefix("file://"))) == [out.stored_at.split("/")[-1]]
     read = Counter(r.doc_id for r in got)
     assert set(read) == {r[0] for r in want}
     # mixing: read wholly as often as the source's share of the budget, some documents once more
