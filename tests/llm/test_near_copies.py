@@ -43,10 +43,10 @@ def found(spark, rows, **how):
     return {x.id: x.component for x in near_copies.near_copy_groups(docs, **how).collect()}
 
 
-@pytest.mark.parametrize("cell_rows", [16, simhash.CELL_ROWS])
-def test_groups_equal_brute_force(spark, cell_rows, monkeypatch):
+@pytest.mark.parametrize("cell_size", [1500, near_copies.CELL_SIZE])
+def test_groups_equal_brute_force(spark, cell_size, monkeypatch):
     """Whatever the size of cells, and however few links copy a node's set."""
-    if cell_rows == 16:
+    if cell_size == 1500:
         monkeypatch.setattr(near_copies, "LINKS_A_COPY", 3)
     r = random.Random(8)
     rows = []
@@ -68,7 +68,7 @@ def test_groups_equal_brute_force(spark, cell_rows, monkeypatch):
                 rows.append(edited(r, w, r.randrange(1, 8)))
     rows += [None, "", " \n", "one", "ONE ", "one two three", "one two four"]
     rows = list(enumerate(rows))
-    assert found(spark, rows, cell_rows=cell_rows) == brute(rows)
+    assert found(spark, rows, cell_size=cell_size) == brute(rows)
 
 
 def test_recall_by_length(spark):
@@ -112,6 +112,34 @@ def test_bands_meet_at_the_rate_of_similarity():
     assert met == 600 and abs(same / 600 - 0.8**near_copies.ROWS) < 0.02
 
 
+def test_cell_joins_what_is_similar(monkeypatch):
+    """A cell's groups are those of all pairs, whatever it remembers and however few pairs it compares at once."""
+    r = random.Random(5)
+    for held, known in ((1 << 21, 1 << 20), (50, 7)):
+        monkeypatch.setattr(near_copies, "HELD", held)
+        monkeypatch.setattr(near_copies, "KNOWN_PAIRS", known)
+        for two in (False, True):
+            base = r.sample(range(10**6), 60)
+            sets = [{*base[: r.randint(50, 60)], *r.sample(range(10**6), r.randint(0, 8))} for _ in range(60)]
+            count = {x: sum(x in s for s in sets) for s in sets for x in s}
+            order = [np.array(sorted(s, key=lambda x: (count[x], x)), np.int64) for s in sets]
+            group = np.array([r.randrange(40) for _ in sets])
+            side = np.array([r.randrange(2) if two else 0 for _ in sets])
+            u, v = near_copies.cell_links(np.arange(60), group, order, side, 0.8)
+
+            def joined(pairs, group=group):
+                at = {k: int(group[k]) for k in range(60)}
+                for a, b in pairs:
+                    at = {k: at[a] if x == at[b] else x for k, x in at.items()}
+                return at
+
+            same = lambda x, a, b: x[a] == x[b]
+            pairs = [(a, b) for a in range(60) for b in range(a) if similarity(sets[a], sets[b]) >= 0.8 and (not two or side[a] != side[b])]
+            want, got = joined(pairs), joined(zip(u.tolist(), v.tolist(), strict=True))
+            assert all(same(want, a, b) == same(got, a, b) for a in range(60) for b in range(a))
+            assert all(similarity(sets[a], sets[b]) >= 0.8 for a, b in zip(u.tolist(), v.tolist(), strict=True))
+
+
 def test_words_and_shingles():
     for text in ["", " \n", "a", " A\tb  c\x0bd e\r\nf ", "É ü " * 9, "x" * 70000 + " y z w v u " + "q" * 150000 + " y z w v u", "a b c d e f a b c d e"]:
         w = (text.encode().translate(simhash.LOWER)).split()
