@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import decontaminate, host_rules, html_crf, mixing, quality, secrets, sharding, simhash, token_spans, zip_warc
+from loomframe.llm import decontaminate, host_rules, html_crf, merkle, mixing, quality, secrets, sharding, simhash, token_spans, zip_warc
 from loomframe.llm._shared import read_table
 
 
@@ -67,6 +67,29 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = read_table(spark, sf_dir, "documents").select(*fields)
+    # what is claimed of some rows differs from what the manifest was built of
+    tampered = [F.translate("text", UPPER, LOWER) if c == "text" else F.col(c) for c in fields]
+    marked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = docs.withColumn("claim", F.when(marked, F.unhex(merkle.leaf_digest(tampered))))
+    out = merkle.proofs(merkle.build(docs, fields, "source", "doc_id", carry=["doc_id", "claim"]))
+    leaf, root = merkle.as_hex(F.col("digest")), merkle.as_hex(F.col("root"))
+    out = out.select(
+        "row.doc_id",
+        leaf.alias("leaf"),
+        merkle.as_hex(F.col("subroot")).alias("subroot"),
+        root.alias("root"),
+        F.sha2(merkle.as_hex(merkle.siblings(F.col("path"))), 256).alias("proof_sha256"),
+        merkle.fold(F.coalesce(merkle.as_hex(F.col("row.claim")), leaf), F.col("path")).alias("folded_root"),
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_section_tokens,
         op9_mixing,
         op10_secrets,
+        op11_merkle,
     )
 }
 
