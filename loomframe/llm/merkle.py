@@ -91,7 +91,7 @@ def build(df: DataFrame, fields: list[str], group: str, order: str, carry: list[
         F.col(order).alias("_order"),
         F.unhex(leaf_digest([F.col(c) for c in fields])).alias("digest"),
     )
-    rows = materialize(rows, "leaves").withColumn("_tie", F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn("_tie", F.monotonically_increasing_id()), "leaves")
     leaves = places(rows, ["group"], ["_order", "digest", "_tie"], total="total", keep=materialize)
     leaves = materialize(leaves.select("row", "group", "place", "total", "digest"), "leaves")
     nodes = leaves.select("group", "place", "total", "digest")

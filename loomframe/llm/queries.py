@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import decontaminate, host_rules, html_crf, merkle, mixing, quality, secrets, sharding, simhash, token_spans, zip_warc
-from loomframe.llm._shared import read_table
+from loomframe.llm import decontaminate, host_rules, html_crf, merkle, mixing, prefix_trie, quality, reply_trees, secrets, sharding, simhash, token_spans, zip_warc
+from loomframe.llm._shared import materialize, read_table
+from loomframe.operators.ordering import places
 
 
 def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,48 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    turns = places(turns.unionByName(hard), ["conv_id"], ["turn", F.xxhash64("role", "text")], keep=materialize)
+    # each turn replies to the one before it
+    turns = turns.withColumn("parent", F.when(F.col("place") > 0, F.col("place") - 1))
+    out = reply_trees.conversations(reply_trees.numbered(turns, "conv_id", "place", "parent", "role", "text"), best=1)
+    said, learned = F.col("said"), F.col("learned")
+    out = out.select("tree", "text", reply_trees.parsed(F.col("text")).alias("said"), F.array_join(reply_trees.learned_texts(F.col("text"), F.col("turns")), "").alias("learned"))
+    lines = F.transform(said, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
+    return out.select(
+        F.col("tree").alias("conv_id"),
+        F.size(said).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("text").cast("long").alias("formatted_chars"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").filter("conv_id is not null").select(F.col("conv_id").alias("conv"), "turn", "role", "text")
+    turns = places(turns, ["conv"], ["turn", F.xxhash64("role", "text")], keep=materialize)
+    turns = materialize(turns.select("conv", "place", "role", "text"), "turns")
+    sizes = turns.groupBy("conv").agg(F.count(F.lit(1)).alias("n"))
+    # the first turns of another conversation stand before what is left of a conversation's own
+    h = (F.crc32(F.col("conv").cast("string").cast("binary")) % 4).alias("h")
+    base = sizes.select(F.col("conv").alias("base"), F.col("n").alias("n_base"))
+    members = sizes.select("conv", h, (F.col("conv") - F.col("conv") % 20).alias("base")).join(base, "base", "left")
+    members = materialize(members.withColumn("taken", F.least("h", F.coalesce("n_base", F.lit(0).cast("long")))), "members")
+    first = turns.filter("place < 3").withColumnRenamed("conv", "base")
+    given = members.select("conv", "base", "taken").join(first, "base").filter("place < taken").select("conv", "place", "role", "text")
+    own = turns.join(members.select("conv", "h", "taken"), "conv").filter("place >= h").withColumn("place", F.col("taken") + F.col("place") - F.col("h"))
+    out = prefix_trie.prefix_trie(members.select("conv"), given.unionByName(own.select("conv", "place", "role", "text")))
+    return out.withColumnsRenamed({"conv": "conv_id", "parent_conv": "parent_conv_id"})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -104,6 +147,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_mixing,
         op10_secrets,
         op11_merkle,
+        op12_reply_trees,
+        op13_prefix_trie,
     )
 }
 
