@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomframe.llm._shared import materialize, words
 from loomframe.operators.ordering import running_totals
@@ -44,7 +45,8 @@ def _key(depth: Column, lanes: list[Column]) -> Column:
     return F.unhex(F.md5(F.concat_ws("|", depth.cast("string"), *[x.cast("string") for x in lanes])))
 
 
-ROOT = _key(F.lit(0), [F.lit(0)] * LANES)
+def _root() -> Column:
+    return _key(F.lit(0), [F.lit(0)] * LANES)
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def _with_common(df: DataFrame, on: str, nodes: DataFrame, common: Column, colum
 def trie_nodes(members: DataFrame, rows: DataFrame) -> DataFrame:
     """One row a node: ``key``, ``up``, ``depth``, ``conv`` (least member), ``n_convs``, ``words``, ``n_children``, ``heavy``, ``common``; written."""
     root = members.agg(F.count(F.lit(1)).alias("n_convs"), F.min("conv").alias("conv")).filter("n_convs > 0")
-    root = root.select(ROOT.alias("key"), F.lit(None).cast("binary").alias("up"), F.lit(0).cast("long").alias("depth"), "conv", "n_convs", F.lit(0).cast("long").alias("words"))
+    root = root.select(_root().alias("key"), F.lit(None).cast("binary").alias("up"), F.lit(0).cast("long").alias("depth"), "conv", "n_convs", F.lit(0).cast("long").alias("words"))
     nodes = rows.groupBy("key").agg(F.max("up").alias("up"), F.max("depth").alias("depth"), F.min("conv").alias("conv"), F.count(F.lit(1)).alias("n_convs"), F.max("words").alias("words"))
     nodes = materialize(root.unionByName(nodes), "nodes")
     total = nodes.agg(F.sum("n_convs")).first()[0] or 0
@@ -101,12 +103,12 @@ def heavy_paths(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     # the path of the root has no light node
     paths = ends.join(tops, "conv", "left").select("conv", F.coalesce("top", F.lit(0).cast("long")).alias("top"), F.coalesce("round", F.lit(0).cast("long")).alias("round"))
     on = rows.select("conv", "depth", "key").join(paths, "conv").filter("depth >= top")
-    first = paths.filter("round = 0").select("conv", F.lit(0).cast("long").alias("depth"), ROOT.alias("key"), "top", "round")
+    first = paths.filter("round = 0").select("conv", F.lit(0).cast("long").alias("depth"), _root().alias("key"), "top", "round")
     out = on.unionByName(first, allowMissingColumns=True)
     return materialize(out.select(F.col("conv").alias("path"), "key", (F.col("depth") - F.col("top")).alias("place"), F.col("round")), "paths")
 
 
-@F.pandas_udf("array<array<long>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
 def _suffix_sums(values: pd.Series) -> pd.Series:
     """Arrays of value lists, one a node, summed from the last node to each."""
 
@@ -153,7 +155,7 @@ def ends_digests(members: DataFrame, rows: DataFrame) -> DataFrame:
     so no crowd of equal conversations has to fit in memory.
     """
     last = rows.groupBy("conv").agg(F.max_by("key", "depth").alias("key"))
-    ends = members.join(last, "conv", "left").select("conv", F.coalesce("key", ROOT).alias("key"))
+    ends = members.join(last, "conv", "left").select("conv", F.coalesce("key", _root()).alias("key"))
     ends = ends.repartitionByRange("key", "conv").sortWithinPartitions("key", "conv")
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -205,3 +205,84 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        (NOT base_failed AND s1 + s2 + s3 <= CASE WHEN strict THEN 0 ELSE 1 END) AS kept
 FROM x JOIN v ON v.host = x.host""",
 }
+
+#: CRC-32 of a number's decimal digits, bit by bit, as DuckDB has no such function.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+FIELD_SQL = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR END"
+
+ORACLES["op11_merkle"] = f"""
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS rid, doc_id, source,
+         {FIELD_SQL.format('doc_id')} || {FIELD_SQL.format('source')} || {FIELD_SQL.format('lang')} || {FIELD_SQL.format('n_chars')} AS h,
+         {FIELD_SQL.format('text')} AS t, translate(text, '{UPPER}', '{LOWER}') AS low,
+         coalesce({CRC32_SQL.format('doc_id')} % 5 = 0, false) AS tampered FROM documents),
+l AS (
+  SELECT rid, doc_id, source, sha256(h || t) AS leaf, CASE WHEN tampered THEN sha256(h || {FIELD_SQL.format('low')}) ELSE sha256(h || t) END AS claim FROM f),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM l),
+a AS (
+  SELECT 0 AS lev, source, i, n, leaf AS d FROM p
+  UNION ALL
+  SELECT lev + 1, source, i // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY i)) FROM a WHERE n > 1 GROUP BY lev, source, i // 16, n),
+s AS (
+  SELECT source, d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM a WHERE n = 1),
+b AS (
+  SELECT 0 AS lev, i, n, d FROM s
+  UNION ALL
+  SELECT lev + 1, i // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY i)) FROM b WHERE n > 1 GROUP BY lev, i // 16, n),
+ra AS (SELECT lev, source, i // 16 AS up, list(d ORDER BY i) AS ds FROM a WHERE n > 1 GROUP BY lev, source, i // 16),
+rb AS (SELECT lev, i // 16 AS up, list(d ORDER BY i) AS ds FROM b WHERE n > 1 GROUP BY lev, i // 16),
+u AS (
+  SELECT rid, source, 0 AS lev, i, n, claim AS node, '' AS others FROM p
+  UNION ALL
+  SELECT u.rid, u.source, u.lev + 1, u.i // 16, (u.n + 15) // 16,
+         sha256(list_aggregate(list_concat(ds[1:(u.i % 16)::INT], [u.node], ds[(u.i % 16 + 2)::INT:]), 'string_agg', '')),
+         u.others || coalesce(list_aggregate(list_concat(ds[1:(u.i % 16)::INT], ds[(u.i % 16 + 2)::INT:]), 'string_agg', ''), '')
+  FROM u JOIN ra ON ra.lev = u.lev AND ra.source IS NOT DISTINCT FROM u.source AND ra.up = u.i // 16 WHERE u.n > 1),
+v AS (
+  SELECT u.rid, 0 AS lev, s.i, s.n, u.node, u.others FROM u JOIN s ON s.source IS NOT DISTINCT FROM u.source WHERE u.n = 1
+  UNION ALL
+  SELECT v.rid, v.lev + 1, v.i // 16, (v.n + 15) // 16,
+         sha256(list_aggregate(list_concat(ds[1:(v.i % 16)::INT], [v.node], ds[(v.i % 16 + 2)::INT:]), 'string_agg', '')),
+         v.others || coalesce(list_aggregate(list_concat(ds[1:(v.i % 16)::INT], ds[(v.i % 16 + 2)::INT:]), 'string_agg', ''), '')
+  FROM v JOIN rb ON rb.lev = v.lev AND rb.up = v.i // 16 WHERE v.n > 1)
+SELECT p.doc_id, p.leaf, s.d AS subroot, b.d AS root, sha256(v.others) AS proof_sha256, v.node AS folded_root, v.node = b.d AS verified
+FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source JOIN v ON v.rid = p.rid AND v.n = 1 JOIN b ON b.n = 1"""
+
+# the escapes add a character for each backslash, end of a turn and second #; a role's colons too
+ESCAPED_SQL = r"""length({0}) + (length({0}) - length(replace({0}, '\', ''))) + (length({0}) - length(replace({0}, '</turn>', ''))) // 7
+  + coalesce(list_sum(list_transform(regexp_extract_all({0}, '#+'), lambda x: (length(x) - 1) // 2)), 0)"""
+ORACLES["op12_reply_trees"] = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS learned,
+         sum(14 + {ESCAPED_SQL.format('role')} + length(role) - length(replace(role, ':', '')) + {ESCAPED_SQL.format('text')}) AS n FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256, n::BIGINT AS formatted_chars FROM g"""
+
+ORACLES["op13_prefix_trie"] = f"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+m AS (SELECT c, c - c % 20 AS b, {CRC32_SQL.format('c')} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (
+  SELECT m.c, 0 AS own, t.i, t.role, t.text FROM m JOIN t ON t.c = m.b AND t.i < m.h
+  UNION ALL SELECT m.c, 1, t.i, t.role, t.text FROM m JOIN t ON t.c = m.c AND t.i >= m.h),
+-- lengths before the values make the code of a prefix a prefix of the codes of what begins with it
+e AS (
+  SELECT c, row_number() OVER w AS d, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w AS k,
+         len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_words, text FROM r WINDOW w AS (PARTITION BY c ORDER BY own, i ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT c, d, k, lag(k, 1, '') OVER (PARTITION BY c ORDER BY d) AS up, n_words FROM e UNION ALL SELECT c, 0, '', NULL, 0 FROM m),
+z AS (SELECT c, max(d) AS d FROM x GROUP BY c),
+q AS (
+  SELECT k, max(up) AS up, max(x.d) AS d, min(x.c) AS c, count(*) AS n, max(n_words) AS n_words,
+         coalesce(string_agg(CASE WHEN z.d = x.d THEN x.c::VARCHAR END, ',' ORDER BY x.c), '') AS ends FROM x JOIN z ON z.c = x.c GROUP BY k),
+o AS (SELECT up AS k, count(*) AS n FROM q WHERE up IS NOT NULL GROUP BY up),
+a AS (
+  SELECT q.k, count(*) FILTER (o.n IS NULL) AS n_leaves, sum((w.n - 1) * w.n_words) AS saved FROM q JOIN q w ON starts_with(w.k, q.k) LEFT JOIN o ON o.k = w.k GROUP BY q.k)
+SELECT q.c AS conv_id, q.d::BIGINT AS depth, p.c AS parent_conv_id, q.n AS n_convs, coalesce(o.n, 0)::BIGINT AS n_children, a.n_leaves::BIGINT AS n_leaves,
+       a.saved::BIGINT AS saved_tokens, sha256(q.ends) AS ends_sha256
+FROM q JOIN a ON a.k = q.k LEFT JOIN q p ON p.k = q.up LEFT JOIN o ON o.k = q.k"""

@@ -41,7 +41,7 @@ def run(spark):
 def test_sql(run, name):
     df, got = run(name)
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         c.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     want = c.sql(queries.ORACLES[name])
     cols = sorted(df.columns)
