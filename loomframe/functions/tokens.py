@@ -79,9 +79,10 @@ def step_labels(steps: Column, labels: Column, last_only: bool = False) -> Colum
     """For steps of token arrays: ignored but at each step's last token, which has the step's label, or at the last step's only."""
     if last_only:
         labels = F.transform(labels, lambda y, i: F.when(i == F.size(labels) - 1, y.cast("int")).otherwise(IGNORED))
-    return F.flatten(
-        F.zip_with(steps, labels, lambda s, y: F.concat(F.array_repeat(F.lit(IGNORED), F.size(s) - 1), F.array(y.cast("int"))))
-    )
+    none = F.array().cast("array<int>")
+    mark = lambda s, y: F.concat(F.array_repeat(F.lit(IGNORED), F.size(s) - 1), F.array(y.cast("int")))
+    # a step without tokens has no place for a label
+    return F.flatten(F.zip_with(steps, labels, lambda s, y: F.when(F.size(s) > 0, mark(s, y)).otherwise(none)))
 
 
 def step_example(prompt: Column, steps: Column, labels: Column, separator: int, prompt_limit: int, answer_limit: int, limit: int, last_only: bool = False) -> Column:
@@ -144,10 +145,10 @@ def split_at_prompt(full: Column, prompt: Column) -> Column:
 
 
 def fit_pair(prompt: Column, answer: Column, limit: int, prompt_limit: int, keep: str = "keep_end") -> Column:
-    """Struct ``prompt``, ``answer`` within the limit: a pair that is too long loses prompt first, then answer."""
+    """Struct ``prompt``, ``answer`` within the limit: a pair that is too long loses prompt first, then answer, if need be all of it."""
     if keep not in ("keep_end", "keep_start"):
         raise ValueError("keep is keep_end or keep_start")
     cut = keep_last(prompt, prompt_limit) if keep == "keep_end" else keep_first(prompt, prompt_limit)
     p = F.when(F.size(prompt) + F.size(answer) > limit, cut).otherwise(prompt)
-    a = F.when(F.size(p) + F.size(answer) > limit, keep_first(answer, limit - prompt_limit)).otherwise(answer)
+    a = F.when(F.size(p) + F.size(answer) > limit, keep_first(answer, max(limit - prompt_limit, 0))).otherwise(answer)
     return F.struct(p.alias("prompt"), a.alias("answer"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions import text as X
 from loomframe.functions import tokens as K
-from loomframe.operators import chat, generation, sequences
+from loomframe.operators import chat, generation, sequences, subwords
 from loomframe.plans.corpus import PAIRS_SQL, UNIT
 from loomframe.plans.registry import query
 from loomframe.plans.sequences import TOKENS_SQL, token_pairs
@@ -150,12 +150,10 @@ def prj_side_by_side(spark: SparkSession, d: str) -> DataFrame:
     return told.select("conv_id", "turn", "prompt", X.without_prompt(F.col("policy"), F.col("prompt")).alias("policy"), X.without_prompt(F.col("reference"), F.col("prompt")).alias("reference"))
 
 
-@query(f"SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(prompt, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), ' ') AS decoded FROM {PAIRS_SQL}")
+@query(f"SELECT conv_id, turn, prompt AS decoded FROM {PAIRS_SQL}")
 def tok_decode(spark: SparkSession, d: str) -> DataFrame:
-    w = chat.chat_pairs(table(spark, d, "conversations")).select("conv_id", "turn", X.words(F.col("prompt")).alias("w"))
-    vocabulary = w.select(F.explode("w").alias("word")).distinct().withColumn("id", F.xxhash64("word"))
-    coded = w.select("conv_id", "turn", F.transform("w", lambda x: F.xxhash64(x)).alias("ids"))
-    return sequences.decode(coded, ["conv_id", "turn"], "ids", vocabulary)
+    """Prompts from their subword tokens."""
+    return subwords.decoded(token_pairs(spark, d), ["conv_id", "turn"], "p", subwords.vocabulary(spark))
 
 
 @query(f"SELECT CASE WHEN len(w) > 1 THEN w[2] ELSE prompt END AS sub, count(*) AS n FROM (SELECT prompt, list_filter(regexp_split_to_array(prompt, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM {PAIRS_SQL}) GROUP BY 1")
@@ -181,13 +179,13 @@ def srt_epoch_samples(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-PAD = "array_to_string(list_concat({0}, list_transform(range(greatest(30 - len({0}), 0)), lambda x: 0)), ',')"
+PAD = "array_to_string(list_concat({0}, list_transform(range(greatest(96 - len({0}), 0)), lambda x: 0)), ',')"
 
 
 @query(f"SELECT conv_id, turn, 'chosen' AS part, {PAD.format('p')} AS ids FROM {TOKENS_SQL} UNION ALL SELECT conv_id, turn, 'rejected', {PAD.format('c')} FROM {TOKENS_SQL}")
 def set_stack_padded(spark: SparkSession, d: str) -> DataFrame:
     t = token_pairs(spark, d)
-    ids = lambda c: F.array_join(F.transform(K.pad_right(F.col(c), 30, 0), lambda x: x.cast("string")), ",").alias("ids")
+    ids = lambda c: F.array_join(F.transform(K.pad_right(F.col(c), 96, 0), lambda x: x.cast("string")), ",").alias("ids")
     return t.select("conv_id", "turn", F.lit("chosen").alias("part"), ids("p")).unionByName(t.select("conv_id", "turn", F.lit("rejected").alias("part"), ids("c")))
 
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from loomframe.functions import scores as C
 from loomframe.functions import tokens as K
-from loomframe.functions.text import words
-from loomframe.operators import chat, hooks
+from loomframe.operators import chat, hooks, subwords
 from loomframe.plans.corpus import PAIRS_SQL
 from loomframe.plans.registry import query
-from loomframe.plans.sequences import IDS, TOKENS_SQL, joined, token_pairs
+from loomframe.plans.sequences import TOKENS_SQL, joined, token_pairs
+from loomframe.plans.subwords_sql import with_ids
 from loomframe.plans.tables import table
 
 
@@ -60,21 +60,25 @@ def srt_sometimes(spark: SparkSession, d: str) -> DataFrame:
     return chat.chat_pairs(table(spark, d, "conversations")).select("conv_id", "turn", hooks.sometimes(0.3, F.col("prompt"), c, F.lit("g"), F.col("conv_id"), F.col("turn")).alias("completion"))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, {IDS.format('prompt')} AS p, {IDS.format('prompt || completion')} AS f FROM {PAIRS_SQL}), a AS (SELECT *, CASE WHEN f[1:len(p)] = p THEN len(p) ELSE greatest(len(p) - 1, 0) END AS k FROM t)
+@query(f"""WITH t AS (SELECT conv_id, turn, substr(prompt, 1, length(prompt) - turn % 3) AS head, substr(prompt, length(prompt) - turn % 3 + 1) || completion AS tail FROM {PAIRS_SQL}),
+a AS (SELECT *, CASE WHEN f[1:len(p)] = p THEN len(p) ELSE greatest(len(p) - 1, 0) END AS k FROM {with_ids('t', p='head', f='head || tail')})
 SELECT conv_id, turn, array_to_string(f[1:k], ',') AS prompt_ids, array_to_string(f[k + 1:], ',') AS answer_ids FROM a""")
 def tok_split_at_prompt(spark: SparkSession, d: str) -> DataFrame:
-    # prompt and answer are joined without a space, so the word at the seam may change
-    ids = lambda c: F.transform(words(c), lambda x: F.length(x))
-    t = chat.chat_pairs(table(spark, d, "conversations")).select("conv_id", "turn", K.split_at_prompt(ids(F.concat("prompt", "completion")), ids(F.col("prompt"))).alias("s"))
+    # some prompts end within a word, whose tokens may change when the rest of it is joined
+    ids = subwords.encoder(subwords.vocabulary(spark))
+    whole = F.concat("prompt", "completion")
+    head = F.substring("prompt", F.lit(1), (F.length("prompt") - F.col("turn") % 3).cast("int"))
+    t = chat.chat_pairs(table(spark, d, "conversations")).select("conv_id", "turn", ids(whole).alias("full"), ids(head).alias("p"))
+    t = t.select("conv_id", "turn", K.split_at_prompt(F.col("full"), F.col("p")).alias("s"))
     return t.select("conv_id", "turn", *joined(prompt_ids=F.col("s.prompt"), answer_ids=F.col("s.answer")))
 
 
-@query(f"""WITH a AS (SELECT conv_id, turn, c, CASE WHEN len(p) + len(c) > 30 THEN p[greatest(len(p) - 11, 1):] ELSE p END AS e, CASE WHEN len(p) + len(c) > 30 THEN p[1:12] ELSE p END AS s FROM {TOKENS_SQL})
-SELECT conv_id, turn, array_to_string(e, ',') AS end_prompt, array_to_string(CASE WHEN len(e) + len(c) > 30 THEN c[1:18] ELSE c END, ',') AS end_answer,
- array_to_string(s, ',') AS start_prompt, array_to_string(CASE WHEN len(s) + len(c) > 30 THEN c[1:18] ELSE c END, ',') AS start_answer FROM a""")
+@query(f"""WITH a AS (SELECT conv_id, turn, c, CASE WHEN len(p) + len(c) > 300 THEN p[greatest(len(p) - 63, 1):] ELSE p END AS e, CASE WHEN len(p) + len(c) > 300 THEN p[1:64] ELSE p END AS s FROM {TOKENS_SQL})
+SELECT conv_id, turn, array_to_string(e, ',') AS end_prompt, array_to_string(CASE WHEN len(e) + len(c) > 300 THEN c[1:236] ELSE c END, ',') AS end_answer,
+ array_to_string(s, ',') AS start_prompt, array_to_string(CASE WHEN len(s) + len(c) > 300 THEN c[1:236] ELSE c END, ',') AS start_answer FROM a""")
 def tok_fit_pair(spark: SparkSession, d: str) -> DataFrame:
     p, c = F.col("p"), F.col("c")
-    t = token_pairs(spark, d).select("conv_id", "turn", K.fit_pair(p, c, 30, 12, "keep_end").alias("e"), K.fit_pair(p, c, 30, 12, "keep_start").alias("s"))
+    t = token_pairs(spark, d).select("conv_id", "turn", K.fit_pair(p, c, 300, 64, "keep_end").alias("e"), K.fit_pair(p, c, 300, 64, "keep_start").alias("s"))
     return t.select("conv_id", "turn", *joined(end_prompt=F.col("e.prompt"), end_answer=F.col("e.answer"), start_prompt=F.col("s.prompt"), start_answer=F.col("s.answer")))
 
 

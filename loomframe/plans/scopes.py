@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from loomframe.functions import scores as C
 from loomframe.functions import text as X
 from loomframe.functions import tokens as K
-from loomframe.operators import chat, columns, sequences
+from loomframe.operators import chat, columns, sequences, subwords
 from loomframe.plans.corpus import PAIRS_SQL
 from loomframe.plans.preference import KEYS, LOGPS_SQL, logps, ls, rounded, sg
 from loomframe.plans.registry import query
-from loomframe.plans.sequences import IDS, TOKENS_SQL, joined, token_pairs
+from loomframe.plans.sequences import COMMA, ENDED, ENDS, STOP, TOKENS_SQL, TURNS_SQL, joined, token_pairs, token_turns
 from loomframe.plans.tables import table
 from loomframe.sources.shared import scratch_path
 
@@ -36,7 +36,8 @@ def prj_drop_if_all(spark: SparkSession, d: str) -> DataFrame:
 def tok_skip_if_given(spark: SparkSession, d: str) -> DataFrame:
     """Tokens are made where the table has none and left alone where it has."""
     t = chat.chat_pairs(table(spark, d, "conversations"))
-    make = lambda df: F.transform(X.words(df.prompt), lambda x: F.length(x))
+    ids = subwords.encoder(subwords.vocabulary(spark))
+    make = lambda df: ids(df.prompt)
     made = columns.tokenized(t, make)
     again = columns.tokenized(made, lambda df: F.array().cast("array<int>"))
     return again.select("conv_id", "turn", F.size("input_ids").alias("n_tokens"), F.size(columns.tokenized(again, make)["input_ids"]).alias("n_given"))
@@ -84,34 +85,33 @@ def scl_number_formats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", X.two_places(F.round("value", 9)).alias("two"), X.percent(share).alias("share"), X.percent(share, 1).alias("fine"), X.mebibytes(F.col("event_id")).alias("mib"))
 
 
-@query(f"""SELECT conv_id, turn, array_to_string(list_transform(c, lambda x: CASE WHEN c[len(c)] IN (4, 5) THEN 1 ELSE 0 END), ',') AS mask,
+@query(f"""SELECT conv_id, turn, array_to_string(list_transform(c, lambda x: CASE WHEN {ENDED} THEN 1 ELSE 0 END), ',') AS mask,
  array_to_string(list_transform(c, lambda x, i: CASE WHEN i = len(p) % greatest(len(c), 1) + 1 THEN x + 100 ELSE x END), ',') AS scored FROM {TOKENS_SQL}""")
 def tok_masks_of_cut_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows that were cut off keep no token in their mask; a score is added at one position only."""
     t, c = token_pairs(spark, d), F.col("c")
-    mask = K.mask_cut(F.transform(c, lambda x: F.lit(1)), K.cut_off(c, [4, 5]))
+    mask = K.mask_cut(F.transform(c, lambda x: F.lit(1)), K.cut_off(c, ENDS))
     scored = K.add_at(c, F.size("p") % F.greatest(F.size("c"), F.lit(1)), F.lit(100))
     return t.select("conv_id", "turn", *joined(mask=mask, scored=scored))
 
 
 @query(f"""WITH m AS (SELECT *, list_transform(p, lambda x: (x % 2)) AS m FROM {TOKENS_SQL})
 SELECT conv_id, turn, array_to_string(list_transform(m, lambda x, i: CASE WHEN x = 1 THEN coalesce(c[list_sum(m[1:i])::INT], -1) ELSE 0 END), ',') AS scattered,
- array_to_string(list_concat(list_filter(p, lambda x: x <> 2), list_filter(p, lambda x: x = 2))[1:12], ',') AS flushed FROM m""")
+ array_to_string(list_concat(list_filter(p, lambda x: x <> {COMMA}), list_filter(p, lambda x: x = {COMMA}))[1:12], ',') AS flushed FROM m""")
 def tok_scatter(spark: SparkSession, d: str) -> DataFrame:
     """Values at the ones of a mask; padding moved right and the rest cut."""
     t = token_pairs(spark, d)
     mask = F.transform("p", lambda x: x % 2)
     out = F.transform(K.scatter(mask, F.concat("c", F.array_repeat(F.lit(-1), F.size("p"))), 0.0), lambda x: x.cast("int"))
-    return t.select("conv_id", "turn", *joined(scattered=out, flushed=K.flush_left(F.col("p"), 2, 12)))
+    return t.select("conv_id", "turn", *joined(scattered=out, flushed=K.flush_left(F.col("p"), COMMA, 12)))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, role, {IDS.format('text')} AS s FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+@query(f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM {TURNS_SQL}),
 f AS (SELECT conv_id, flatten(list(list_append(s, -3) ORDER BY turn) FILTER (k > 1)) AS a, flatten(list(list_concat(list_transform(s, lambda x: -100), [CASE WHEN k < n THEN -100 WHEN role = 'assistant' THEN 1 ELSE 0 END]) ORDER BY turn) FILTER (k > 1)) AS y, first(s) FILTER (k = 1) AS p FROM n GROUP BY conv_id)
 SELECT conv_id, array_to_string(list_concat(p[greatest(len(p) - 15, 1):], coalesce(a, [])[1:40])[1:48], ',') AS ids, array_to_string(list_concat(list_transform(p[greatest(len(p) - 15, 1):], lambda x: -100), coalesce(y, [])[1:40])[1:48], ',') AS labels FROM f""")
 def tok_step_examples(spark: SparkSession, d: str) -> DataFrame:
     """Steps closed by a separator, the last one labelled, all cut to their limits."""
-    t = table(spark, d, "conversations").withColumn("s", F.transform(X.words(F.col("text")), lambda x: F.length(x)))
-    g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "s", (F.col("role") == "assistant").alias("y")))).alias("g"))
+    g = token_turns(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "s", (F.col("role") == "assistant").alias("y")))).alias("g"))
     later = F.slice("g", F.lit(2), F.size("g"))
     e = K.step_example(F.get("g", F.lit(0))["s"], F.transform(later, lambda x: x["s"]), F.transform(later, lambda x: x["y"]), -3, 16, 40, 48, last_only=True)
     return g.select("conv_id", e.alias("e")).select("conv_id", *joined(ids=F.col("e.ids"), labels=F.col("e.labels")))
@@ -213,11 +213,11 @@ def ls_kl_rewards(spark: SparkSession, d: str) -> DataFrame:
     return logps(spark, d).select(*KEYS, *rounded({f"{k}_reward": -0.1 * C.kl_estimate(new, ref, k) for k in ("k1", "k3")}))
 
 
-@query(f"SELECT conv_id, turn, (CASE WHEN list_contains(c, 4) THEN 1.0 ELSE 0.0 END - CASE WHEN c[len(c)] IN (4, 5) THEN 0 ELSE 0.5 END)::DOUBLE AS score FROM {TOKENS_SQL}")
+@query(f"SELECT conv_id, turn, (CASE WHEN list_contains(c, {STOP}) THEN 1.0 ELSE 0.0 END - CASE WHEN {ENDED} THEN 0 ELSE 0.5 END)::DOUBLE AS score FROM {TOKENS_SQL}")
 def ls_missing_end(spark: SparkSession, d: str) -> DataFrame:
     """A completion without an end token at its end loses a penalty."""
     c = F.col("c")
-    score = F.when(F.array_contains(c, 4), 1.0).otherwise(0.0) - F.when(K.cut_off(c, [4, 5]), 0.5).otherwise(0.0)
+    score = F.when(F.array_contains(c, STOP), 1.0).otherwise(0.0) - F.when(K.cut_off(c, ENDS), 0.5).otherwise(0.0)
     return token_pairs(spark, d).select("conv_id", "turn", score.alias("score"))
 
 
@@ -239,9 +239,9 @@ def set_common_width(spark: SparkSession, d: str) -> DataFrame:
     return token_pairs(spark, d).select("conv_id", "turn", *joined(p=K.pad_to(p, n, 0), c=K.pad_to(c, n, 0)))
 
 
-@query(f"SELECT conv_id, turn FROM {TOKENS_SQL} WHERE len(p) <= 60 AND len(c) <= 60")
+@query(f"SELECT conv_id, turn FROM {TOKENS_SQL} WHERE len(p) <= 100 AND len(c) <= 300")
 def flt_length(spark: SparkSession, d: str) -> DataFrame:
-    return token_pairs(spark, d).filter((F.size("p") <= 60) & (F.size("c") <= 60)).select("conv_id", "turn")
+    return token_pairs(spark, d).filter((F.size("p") <= 100) & (F.size("c") <= 300)).select("conv_id", "turn")
 
 
 @query("SELECT 0 AS epoch, doc_id, (row_number() OVER (ORDER BY md5('p0|' || doc_id), doc_id) - 1)::BIGINT AS place FROM documents UNION ALL SELECT 1, doc_id, (row_number() OVER (ORDER BY md5('p1|' || doc_id), doc_id) - 1)::BIGINT FROM documents")

@@ -1,4 +1,4 @@
-"""Queries on token arrays: trimming, masks, packing, log-probabilities. A token is a word's length."""
+"""Queries on token arrays: encoding, trimming, masks, packing, log-probabilities, on subword tokens of the public vocabulary."""
 
 from __future__ import annotations
 
@@ -7,31 +7,65 @@ from pyspark.sql import functions as F
 
 from loomframe.functions import scores as C
 from loomframe.functions import tokens as K
-from loomframe.functions.text import common_prefix_length, words
-from loomframe.operators import chat, sequences
+from loomframe.functions.text import common_prefix_length
+from loomframe.operators import chat, sequences, subwords
 from loomframe.plans.corpus import PAIRS_SQL
 from loomframe.plans.registry import query
+from loomframe.plans.subwords_sql import with_ids
 from loomframe.plans.tables import table
 
-W = "list_filter(regexp_split_to_array({}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
-IDS = "list_transform(" + W + ", lambda x: length(x)::INT)"
-TOKENS_SQL = f"(SELECT conv_id, turn, {IDS.format('prompt')} AS p, {IDS.format('completion')} AS c, prompt, completion FROM {PAIRS_SQL})"
+#: Ids of the public vocabulary (fixed values) that stand for a stop, an end, padding and a word, as the tables' texts hold them.
+STOP, QUESTION, COMMA, THE = 13, 30, 11, 262
+ENDS = [STOP, QUESTION]
+ENDED = f"c[len(c)] IN ({STOP}, {QUESTION})"
+#: A completion is generated up to so many tokens.
+GENERATED = 400
+TOKENS_SQL = f"(SELECT conv_id, turn, p, c[1:{GENERATED}] AS c, prompt, completion FROM {with_ids(PAIRS_SQL, p='prompt', c='completion')})"
+TURNS_SQL = f"(SELECT conv_id, turn, role, s FROM {with_ids('conversations', s='text')})"
 
 
 def token_pairs(spark: SparkSession, d: str) -> DataFrame:
-    ids = lambda c: F.transform(words(F.col(c)), lambda x: F.length(x))
-    return chat.chat_pairs(table(spark, d, "conversations")).select("conv_id", "turn", ids("prompt").alias("p"), ids("completion").alias("c"), "prompt", "completion")
+    """Prompts and completions as tokens, a completion as far as it was generated."""
+    ids = subwords.encoder(subwords.vocabulary(spark))
+    pairs = chat.chat_pairs(table(spark, d, "conversations"))
+    return pairs.select("conv_id", "turn", ids(F.col("prompt")).alias("p"), K.keep_first(ids(F.col("completion")), GENERATED).alias("c"), "prompt", "completion")
+
+
+def token_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn's tokens ``s``."""
+    ids = subwords.encoder(subwords.vocabulary(spark))
+    return table(spark, d, "conversations").withColumn("s", ids(F.col("text")))
 
 
 def joined(**cols) -> list:
     return [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(k) for k, c in cols.items()]
 
 
+@query(f"SELECT conv_id, turn, len(s)::INT AS n_tokens, md5(array_to_string(s, ',')) AS ids, md5(text) AS decoded FROM {with_ids('conversations', s='text')}")
+def tok_subwords(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn as subword tokens and back; the text comes back exactly."""
+    tokens = subwords.vocabulary(spark)
+    ids = subwords.encoder(tokens)
+    t = table(spark, d, "conversations").select("conv_id", "turn", ids(F.col("text")).alias("s"))
+    back = subwords.decoded(t, ["conv_id", "turn"], "s", tokens)
+    listed = F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ","))
+    return t.select("conv_id", "turn", F.size("s").alias("n_tokens"), listed.alias("ids")).join(back, ["conv_id", "turn"]).withColumn("decoded", F.md5("decoded"))
+
+
+@query(f"SELECT doc_id, len(s)::INT AS n_tokens, md5(array_to_string(s[1:512], ',')) AS kept, md5(array_to_string(s, ',')) AS ids FROM {with_ids('documents', s='text')}")
+def tok_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents as subword tokens, and their first 512."""
+    ids = subwords.encoder(subwords.vocabulary(spark))
+    t = table(spark, d, "documents").select("doc_id", ids(F.col("text")).alias("s"))
+    listed = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    return t.select("doc_id", F.size("s").alias("n_tokens"), listed(K.keep_first(F.col("s"), 512)).alias("kept"), listed(F.col("s")).alias("ids"))
+
+
 @query(f"""SELECT conv_id, turn, array_to_string(p[greatest(len(p) - 15, 1):], ',') AS prompt_kept, array_to_string(list_append(c, -1)[1:24], ',') AS answer_kept,
  array_to_string(list_concat(list_transform(p, lambda x: -100), c), ',') AS labels, array_to_string(list_prepend(-2, p), ',') AS opened,
- array_to_string(list_concat(p, list_transform(range(greatest(20 - len(p), 0)), lambda x: 0)), ',') AS padded_right, array_to_string(list_concat(list_transform(range(greatest(20 - len(p), 0)), lambda x: 0), p), ',') AS padded_left,
- array_to_string(list_concat(list_filter(p, lambda x: x <> 2), list_filter(p, lambda x: x = 2)), ',') AS packed_left, array_to_string(list_transform(p, lambda x: CASE WHEN x = 3 THEN -5 ELSE x END), ',') AS remapped,
- array_to_string(CASE WHEN list_position(c, 4) > 0 THEN c[1:list_position(c, 4)] ELSE c END, ',') AS stopped, list_contains(c, 4) AS has_stop, NOT coalesce(c[len(c)] IN (4, 5), false) AS cut_off, (len(p) <= 40 AND len(c) <= 40) AS short
+ array_to_string(list_concat(p, list_transform(range(greatest(64 - len(p), 0)), lambda x: 0)), ',') AS padded_right, array_to_string(list_concat(list_transform(range(greatest(64 - len(p), 0)), lambda x: 0), p), ',') AS padded_left,
+ array_to_string(list_concat(list_filter(p, lambda x: x <> {COMMA}), list_filter(p, lambda x: x = {COMMA})), ',') AS packed_left, array_to_string(list_transform(p, lambda x: CASE WHEN x = {THE} THEN -5 ELSE x END), ',') AS remapped,
+ array_to_string(CASE WHEN list_position(c, {STOP}) > 0 THEN c[1:list_position(c, {STOP})] ELSE c END, ',') AS stopped, list_contains(c, {STOP}) AS has_stop, NOT coalesce({ENDED}, false) AS cut_off, (len(p) <= 80 AND len(c) <= 300) AS short
 FROM {TOKENS_SQL}""")
 def tok_trim_and_mask(spark: SparkSession, d: str) -> DataFrame:
     p, c = F.col("p"), F.col("c")
@@ -43,15 +77,15 @@ def tok_trim_and_mask(spark: SparkSession, d: str) -> DataFrame:
             answer_kept=K.keep_first(K.close(c, -1), 24),
             labels=K.mask_labels(p, c),
             opened=K.open_with(p, -2),
-            padded_right=K.pad_right(p, 20, 0),
-            padded_left=K.pad_left(p, 20, 0),
-            packed_left=K.pack_left(p, 2),
-            remapped=K.replace_token(p, 3, -5),
-            stopped=K.until_first(c, 4),
+            padded_right=K.pad_right(p, 64, 0),
+            padded_left=K.pad_left(p, 64, 0),
+            packed_left=K.pack_left(p, COMMA),
+            remapped=K.replace_token(p, THE, -5),
+            stopped=K.until_first(c, STOP),
         ),
-        F.array_contains(c, 4).alias("has_stop"),
-        K.cut_off(c, [4, 5]).alias("cut_off"),
-        ((F.size(p) <= 40) & (F.size(c) <= 40)).alias("short"),
+        F.array_contains(c, STOP).alias("has_stop"),
+        K.cut_off(c, ENDS).alias("cut_off"),
+        ((F.size(p) <= 80) & (F.size(c) <= 300)).alias("short"),
     )
 
 
@@ -65,31 +99,32 @@ def tok_boundary_checks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, role, {IDS.format('text')} AS s FROM conversations)
-SELECT conv_id, string_agg(array_to_string(list_concat(list_transform(range(len(s) - 1), lambda x: -100), [CASE WHEN role = 'assistant' THEN 1 ELSE 0 END]), ','), ',' ORDER BY turn) AS labels FROM t GROUP BY conv_id""")
+@query(f"""SELECT conv_id, string_agg(array_to_string(list_concat(list_transform(range(len(s) - 1), lambda x: -100), [CASE WHEN role = 'assistant' THEN 1 ELSE 0 END]), ','), ',' ORDER BY turn) FILTER (len(s) > 0) AS labels
+FROM {TURNS_SQL} GROUP BY conv_id""")
 def tok_step_labels(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "conversations").withColumn("s", F.transform(words(F.col("text")), lambda x: F.length(x)))
-    g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "s", (F.col("role") == "assistant").alias("y")))).alias("g"))
+    g = token_turns(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "s", (F.col("role") == "assistant").alias("y")))).alias("g"))
     steps, labels = F.transform("g", lambda x: x["s"]), F.transform("g", lambda x: x["y"])
     return g.select("conv_id", *joined(labels=K.step_labels(steps, labels)))
 
 
-@query(f"""SELECT conv_id, turn, array_to_string(list_transform(list_concat(p, c), lambda x, i: CASE WHEN i > len(p) AND x <> 2 THEN 1 ELSE 0 END), ',') AS mask, array_to_string(p[2:], ',') AS next_tokens,
-  coalesce(list_min(list_filter(list_transform(p, lambda x, i: CASE WHEN x <> 2 THEN i - 1 END), lambda y: y IS NOT NULL)), len(p))::INT AS left_padding FROM {TOKENS_SQL}""")
+@query(f"""SELECT conv_id, turn, array_to_string(list_transform(list_concat(p, c), lambda x, i: CASE WHEN i > len(p) AND x <> {COMMA} THEN 1 ELSE 0 END), ',') AS mask, array_to_string(p[2:], ',') AS next_tokens,
+  coalesce(list_min(list_filter(list_transform(p, lambda x, i: CASE WHEN x <> {COMMA} THEN i - 1 END), lambda y: y IS NOT NULL)), len(p))::INT AS left_padding FROM {TOKENS_SQL}""")
 def tok_completion_mask(spark: SparkSession, d: str) -> DataFrame:
     p, c = F.col("p"), F.col("c")
     return token_pairs(spark, d).select(
-        "conv_id", "turn", *joined(mask=K.completion_mask(F.size(p), F.concat(p, c), 2), next_tokens=F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0)))), K.left_padding(p, 2).cast("int").alias("left_padding")
+        "conv_id", "turn", *joined(mask=K.completion_mask(F.size(p), F.concat(p, c), COMMA), next_tokens=F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0)))), K.left_padding(p, COMMA).cast("int").alias("left_padding")
     )
 
 
-@query(f"""SELECT count(*) AS n, round(avg(len(c)), 6) AS mean, min(len(c))::INT AS low, max(len(c))::INT AS high, round(avg((NOT coalesce(c[len(c)] IN (4, 5), false))::INT), 6) AS clipped,
- round(coalesce(avg(CASE WHEN c[len(c)] IN (4, 5) THEN len(c) END), 0), 6) AS ended_mean, sum(len(p) + len(c))::BIGINT AS n_tokens FROM {TOKENS_SQL}""")
+@query(f"""SELECT count(*) AS n, round(avg(len(c)), 6) AS mean, min(len(c))::INT AS low, max(len(c))::INT AS high, round(avg((NOT coalesce({ENDED}, false))::INT), 6) AS clipped,
+ round(coalesce(avg(CASE WHEN {ENDED} THEN len(c) END), 0), 6) AS ended_mean, coalesce(min(CASE WHEN {ENDED} THEN len(c) END), 0)::INT AS ended_low, coalesce(max(CASE WHEN {ENDED} THEN len(c) END), 0)::INT AS ended_high, sum(len(p) + len(c))::BIGINT AS n_tokens FROM {TOKENS_SQL}""")
 def agg_completion_lengths(spark: SparkSession, d: str) -> DataFrame:
-    n, cut = F.size("c"), K.cut_off(F.col("c"), [4, 5])
+    n, cut = F.size("c"), K.cut_off(F.col("c"), ENDS)
+    ended = F.when(~cut, n)
     return token_pairs(spark, d).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 6).alias("mean"), F.min(n).alias("low"), F.max(n).alias("high"), F.round(F.avg(cut.cast("int")), 6).alias("clipped"),
-        F.round(F.coalesce(F.avg(F.when(~cut, n)), F.lit(0.0)), 6).alias("ended_mean"), F.sum(F.size("p") + n).cast("long").alias("n_tokens"),
+        F.round(F.coalesce(F.avg(ended), F.lit(0.0)), 6).alias("ended_mean"),
+        F.coalesce(F.min(ended), F.lit(0)).alias("ended_low"), F.coalesce(F.max(ended), F.lit(0)).alias("ended_high"), F.sum(F.size("p") + n).cast("long").alias("n_tokens"),
     )
 
 
