@@ -20,14 +20,22 @@ Keep = Callable[[DataFrame, str], DataFrame]
 PLACE_BITS = 33
 
 
-def null_safe(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
-    """Whether the named columns are equal, a null being equal to a null."""
-    return reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in names])
-
-
 def join_safe(df: DataFrame, other: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """Join on columns of the same names in which nulls meet nulls; the names stand once."""
-    return df.join(other, null_safe(df, other, names), how).drop(*[other[c] for c in names])
+    side = {c: f"_of_{c}" for c in names}
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(o)) for c, o in side.items()])
+    return df.join(other.withColumnsRenamed(side), on, how).drop(*side.values())
+
+
+def tied(df: DataFrame, name: str = "_tie") -> DataFrame:
+    """df with a hash of each row, which orders rows that are equal otherwise and spreads them over ranges."""
+    return df.withColumn(name, F.xxhash64(*df.columns))
+
+
+def crowded(df: DataFrame, by: list[str], most: int) -> DataFrame | None:
+    """Groups of more than so many rows with their ``count``, written; None if there are none."""
+    out = store(df.groupBy(*by).count().filter(F.col("count") > most), "crowded")
+    return None if out.isEmpty() else out
 
 
 def places(df: DataFrame, by: list[str], order: list[str | Column], place: str = "place", total: str | None = None, keep: Keep = store) -> DataFrame:

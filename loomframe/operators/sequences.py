@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from math import log10
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.sources.shared import small
+from loomframe.operators.ordering import crowded, join_safe, places, running_totals, tied
+
+#: A group of more rows is spread over tasks.
+GROUP_ROWS = 50_000
 
 
 def group_advantage(df: DataFrame, group: str, reward: Column, scaled: bool | str = True, eps: float = 1e-4) -> Column:
@@ -55,104 +58,210 @@ def masked_moments(df: DataFrame, value: str, mask: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(F.avg(kept).alias("_m"), F.var_samp(kept).alias("_v"))))
 
 
+def _block(factor: float) -> int:
+    """Steps in which powers of a factor stay within doubles."""
+    return 128 if factor == 1 else max(2, min(128, int(200 / abs(log10(factor)))))
+
+
+def _discounted(df: DataFrame, by: list[str], place: str, value: str, factor: float, name: str, most: int) -> DataFrame:
+    """df with the sum over each row and those after it of value * factor ** distance.
+
+    ``place``: dense from 0 in each group, below ``most``. A block of rows is one step of the same
+    recursion with the factor's power, as only a group's last block can be short, so blocks are summed
+    by the same function, level by level, and no task holds a group.
+    """
+    if factor == 0:
+        return df.withColumn(name, F.coalesce(value, F.lit(0.0)))
+    size = _block(factor)
+    d = df.withColumns({"_b": F.floor(F.col(place) / size), "_k": F.col(place) % size})
+    power = F.pow(F.lit(factor), F.col("_k").cast("double"))
+    back = Window.partitionBy(*by, "_b").orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_s", F.coalesce(F.sum(F.col(value) * power).over(back), F.lit(0.0)) / power)
+    if most <= size:
+        return d.withColumn(name, F.col("_s")).drop("_b", "_k", "_s")
+    blocks = d.groupBy(*by, "_b").agg(F.coalesce(F.sum(F.col(value) * power), F.lit(0.0)).alias("_value"))
+    blocks = _discounted(blocks.withColumnRenamed("_b", "_place"), by, "_place", "_value", factor**size, "_next", -(-most // size))
+    ahead = blocks.select(*by, (F.col("_place") - 1).alias("_b"), F.col("_next").alias("_ahead"))
+    d = join_safe(d, ahead, [*by, "_b"], "left")
+    carried = F.pow(F.lit(factor), (size - F.col("_k")).cast("double")) * F.coalesce("_ahead", F.lit(0.0))
+    return d.withColumn(name, F.col("_s") + carried).drop("_b", "_k", "_s", "_ahead")
+
+
 def gae(df: DataFrame, group: str, order: list[str], reward: str, value: str, gamma: float, lam: float) -> DataFrame:
     """``advantage`` and ``returns`` of each step by the backward recursion A(t) = d(t) + gamma * lam * A(t + 1).
 
-    A group is cut into blocks that are short enough for powers of gamma * lam. Within a block sums run
-    backwards; the blocks' sums are folded from the last to the first; both are linear in the steps.
+    Each step maps the advantage behind it to its own; the maps of a block of steps make one map, so
+    groups of any length are scanned block by block over many tasks, in work linear in the steps.
+    Groups of at most one block are summed where they stand. A null reward or value counts 0.
     """
     g = gamma * lam
-    size = 128 if g >= 1 or g <= 0 else max(1, min(128, int(200 / -log10(g))) if g < 0.999 else 128)
+    if g < 0:
+        raise ValueError("gamma and lam are not negative")
+    names = [*df.columns, "advantage", "returns"]
+
+    def delta(after: Column) -> Column:
+        return F.coalesce(F.col(reward) + gamma * F.coalesce(after, F.lit(0.0)) - F.col(value), F.lit(0.0))
+
+    def done(d: DataFrame) -> DataFrame:
+        return d.withColumn("returns", F.col("advantage") + F.col(value)).select(*names)
+
+    size = _block(g) if g else GROUP_ROWS
     w = Window.partitionBy(group).orderBy(*order)
-    d = df.withColumn("_t", F.row_number().over(w) - 1)
-    d = d.withColumn("_d", F.col(reward) + gamma * F.coalesce(F.lead(value).over(w), F.lit(0.0)) - F.col(value))
-    if g == 0:
-        d = d.withColumn("advantage", F.col("_d"))
-        return d.withColumn("returns", F.col("advantage") + F.col(value)).drop("_t", "_d")
-    d = d.withColumns({"_b": F.floor(F.col("_t") / size), "_k": F.col("_t") % size})
-    power = F.pow(F.lit(g), F.col("_k").cast("double"))
-    back = Window.partitionBy(group, "_b").orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({"_s": F.sum(F.col("_d") * power).over(back) / power, "_n": F.max("_k").over(back) + 1})
-    blocks = d.filter("_k = 0").groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col("_b").alias("b"), F.col("_s").alias("s"), F.col("_n").alias("n")))).alias("_blocks"))
-    # from the last block on: the advantage of each block's first step
-    empty = F.struct(F.lit(0.0).alias("next"), F.array().cast("array<struct<b:bigint,next:double>>").alias("out"))
-    folded = F.aggregate(
-        F.reverse("_blocks"),
-        empty,
-        lambda acc, x: F.struct(
-            (x["s"] + F.pow(F.lit(g), x["n"].cast("double")) * acc["next"]).alias("next"),
-            F.concat(acc["out"], F.array(F.struct(x["b"].alias("b"), acc["next"].alias("next")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    ahead = blocks.select(F.col(group).alias("_g"), F.inline(folded)).withColumnRenamed("b", "_bb").withColumnRenamed("next", "_next")
-    d = d.join(ahead, d[group].eqNullSafe(ahead["_g"]) & (d["_b"] == ahead["_bb"]))
-    d = d.withColumn("advantage", F.col("_s") + F.pow(F.lit(g), (F.col("_n") - F.col("_k")).cast("double")) * F.col("_next"))
-    return d.select(*df.columns, "advantage", (F.col("advantage") + F.col(value)).alias("returns"))
-
-
-def rank_align(df: DataFrame, batch: str, left: str, right: str) -> DataFrame:
-    """Within a batch the left values and the right values, each sorted, side by side."""
+
+    def short(d: DataFrame) -> DataFrame:
+        d = d.withColumns({"_t": F.row_number().over(w) - 1, "_d": delta(F.lead(value).over(w))})
+        if g == 0:
+            return done(d.withColumn("advantage", F.col("_d")))
+        power = F.pow(F.lit(g), F.col("_t").cast("double"))
+        back = Window.partitionBy(group).orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+        return done(d.withColumn("advantage", F.sum(F.col("_d") * power).over(back) / power))
+
+    long = crowded(df, [group], size)
+    if long is None:
+        return short(df)
+    d = places(join_safe(df, long.select(group), [group], "left_semi"), [group], order, place="_t")
+    # a block's last step needs the value of the next block's first
+    first = d.filter(F.col("_t") % size == 0).select(group, (F.floor(F.col("_t") / size) - 1).alias("_c"), F.col(value).alias("_after"))
+    d = join_safe(d.withColumn("_c", F.floor(F.col("_t") / size)), first, [group, "_c"], "left")
+    within = Window.partitionBy(group, "_c").orderBy("_t")
+    d = d.withColumn("_d", delta(F.when(F.col("_t") % size == size - 1, F.col("_after")).otherwise(F.lead(value).over(within))))
+    most = long.agg(F.max("count")).first()[0]
+    d = _discounted(d.drop("_c", "_after"), [group], "_t", "_d", g, "advantage", most)
+    return done(d).unionByName(short(join_safe(df, long.select(group), [group], "left_anti")))
+
+
+def rank_align(df: DataFrame, batch: str, left: str, right: str, most: int = GROUP_ROWS) -> DataFrame:
+    """Within a batch the left values and the right values, each sorted, side by side, with their ``rank`` from 1.
+
+    Batches of more than ``most`` rows are sorted by ranges over many tasks, ties dealt out by the rows'
+    hash, and both sides meet by their rank in the whole batch. A null batch is a batch.
+    """
     # zero for negative zero: engines order the two zeros apart
-    a = df.select(batch, (F.col(left) + 0.0).alias(left)).withColumn("rank", F.row_number().over(Window.partitionBy(batch).orderBy(left)))
-    b = df.select(batch, (F.col(right) + 0.0).alias(right)).withColumn("rank", F.row_number().over(Window.partitionBy(batch).orderBy(right)))
-    return a.join(b, [batch, "rank"])
+    d = tied(df).select(batch, (F.col(left) + 0.0).alias(left), (F.col(right) + 0.0).alias(right), "_tie")
+
+    def ranked(d: DataFrame, side: str, spread: bool) -> DataFrame:
+        if spread:
+            return places(d.select(batch, side, "_tie"), [batch], [side, "_tie"], place="rank").select(batch, side, (F.col("rank") + 1).cast("int").alias("rank"))
+        return d.select(batch, side, F.row_number().over(Window.partitionBy(batch).orderBy(side)).alias("rank"))
+
+    def aligned(d: DataFrame, spread: bool) -> DataFrame:
+        return join_safe(ranked(d, left, spread), ranked(d, right, spread), [batch, "rank"])
 
+    long = crowded(df, [batch], most)
+    if long is None:
+        return aligned(d, False).select(batch, "rank", left, right)
+    long = long.select(batch)
+    out = aligned(join_safe(d, long, [batch], "left_semi"), True).unionByName(aligned(join_safe(d, long, [batch], "left_anti"), False))
+    return out.select(batch, "rank", left, right)
 
-def running_sums(df: DataFrame, by: list[str], order: str, size: str, width: int = 4096) -> DataFrame:
-    """df with ``before``: the sum of ``size`` over the rows of its group with a smaller ``order`` (whole numbers).
 
-    Sums run within spans of ``width`` numbers and over the spans' totals, so no task holds a whole group's rows.
+def running_sums(df: DataFrame, by: list[str], order: str, size: str, width: int = 4096, most: int = GROUP_ROWS) -> DataFrame:
+    """df with ``before``: the sum of ``size`` over the rows of its group before it in an order of any values, nulls first.
+
+    Rows equal in the order stand in the order of their hash. Groups of more than ``most`` rows are cut
+    into spans of ``width`` rows, however sparse the order's values are; a null group is a group.
     """
-    d = df.withColumn("_span", F.floor(F.col(order) / width))
-    totals = d.groupBy(*by, "_span").agg(F.sum(size).alias("_total"))
-    w = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_first", F.coalesce(F.sum("_total").over(w), F.lit(0))).drop("_total")
-    w = Window.partitionBy(*by, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_within", F.coalesce(F.sum(size).over(w), F.lit(0)))
-    return d.join(totals, [*by, "_span"]).withColumn("before", F.col("_first") + F.col("_within")).drop("_span", "_first", "_within")
+    d = tied(df)
+    w = Window.partitionBy(*by).orderBy(order, "_tie").rowsBetween(Window.unboundedPreceding, -1)
+
+    def short(d: DataFrame) -> DataFrame:
+        return d.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
+
+    def spread(d: DataFrame) -> DataFrame:
+        return running_totals(places(d, by, [order, "_tie"], place="_place"), by, "_place", {"before": F.col(size)}, width).drop("_place")
+
+    if not by:
+        return spread(d).drop("_tie")
+    long = crowded(df, by, most)
+    if long is None:
+        return short(d).drop("_tie")
+    long = long.select(*by)
+    out = spread(join_safe(d, long, by, "left_semi")).unionByName(short(join_safe(d, long, by, "left_anti")))
+    return out.drop("_tie")
 
 
 def pack_wrapped(df: DataFrame, shard: str, order: str, size: str, limit: int) -> DataFrame:
-    """Sequences laid end to end within a shard and cut at every ``limit``: first and last pack of each."""
+    """Sequences laid end to end within a shard and cut at every ``limit``: first and last pack of each; a null size is 0."""
     d = running_sums(df, [shard], order, size).withColumnRenamed("before", "start")
+    last = F.col("start") + F.coalesce(size, F.lit(0)) - 1
     d = d.withColumn("first_pack", F.floor(F.col("start") / limit).cast("long"))
-    return d.withColumn("last_pack", F.floor(F.greatest(F.col("start") + F.col(size) - 1, F.col("start")) / limit).cast("long"))
+    return d.withColumn("last_pack", F.floor(F.greatest(last, F.col("start")) / limit).cast("long"))
 
 
-def pack_best_fit(df: DataFrame, shard: str, key: str, size: str, limit: int) -> DataFrame:
-    """Best-fit decreasing: each sequence into the fullest pack of its shard that still holds it.
+def plan_best_fit(counts: dict[int, int], limit: int) -> list[tuple[int, int, int, int, int]]:
+    """Best-fit decreasing of ``counts[size]`` sequences of each size up to the limit, by runs of equal packs.
 
-    A sequence that is longer than the limit is cut to it: ``kept`` is what of its size is packed.
-    Shards are the unit of work, so their count must grow with the data.
+    Each step (size, rank, n, pack, each) puts the n sequences of a size from a rank on into packs from
+    a number on, ``each`` of them into one. A sequence goes into the fullest pack that holds it, of
+    equally full ones the first. A pack that takes a sequence of one size takes more of them until it
+    can't, so steps are counted by sizes and not by sequences.
     """
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        import bisect
-
-        rows = rows.sort_values([size, key], ascending=[False, True])
-        room: list[tuple[int, int]] = []  # (left, pack), sorted
-        packs, n = [], 0
-        kept = rows[size].clip(upper=limit)
-        for need in kept.tolist():
-            k = bisect.bisect_left(room, (need, -1))
-            if k == len(room):
-                left, pack_no, n = limit - need, n, n + 1
-            else:
-                left, pack_no = room.pop(k)
-                left -= need
-            bisect.insort(room, (left, pack_no))
-            packs.append(pack_no)
-        return rows.assign(kept=kept, pack=packs)
-
-    kind = dict(df.dtypes)
-    schema = f"{shard} {kind[shard]}, {key} {kind[key]}, {size} {kind[size]}, kept {kind[size]}, pack int"
-    return df.select(shard, key, size).groupBy(shard).applyInPandas(pack, schema)
+    room: dict[int, list[tuple[int, int]]] = {}  # what is left -> runs (first pack, count) in order
+    rooms: list[int] = []
+    steps, packs = [], 0
+
+    def add(left: int, first: int, count: int) -> None:
+        if left not in room:
+            room[left] = []
+            insort(rooms, left)
+        insort(room[left], (first, count))
+
+    for size in sorted(counts, reverse=True):
+        rank, more = 0, counts[size]
+        while more:
+            at = bisect_left(rooms, size)
+            if at == len(rooms):
+                each = limit // size if size else more
+                steps.append((size, rank, more, packs, each))
+                full, rest = divmod(more, each)
+                if full:
+                    add(limit - each * size, packs, full)
+                if rest:
+                    add(limit - rest * size, packs + full, 1)
+                packs, more = packs + full + (rest > 0), 0
+                break
+            left = rooms[at]
+            each = left // size if size else more
+            first, count = room[left].pop(0)
+            if not room[left]:
+                del room[left], rooms[at]
+            n = min(more, count * each)
+            steps.append((size, rank, n, first, each))
+            full, rest = divmod(n, each)
+            if full:
+                add(left - each * size, first, full)
+            if rest:
+                add(left - rest * size, first + full, 1)
+            if (spare := count - full - (rest > 0)) > 0:
+                add(left, first + full + (rest > 0), spare)
+            rank, more = rank + n, more - n
+    return steps
+
+
+def pack_best_fit(df: DataFrame, key: str, size: str, limit: int, width: int = 4096) -> DataFrame:
+    """Best-fit decreasing over the whole table: each sequence into the fullest pack that still holds it.
+
+    Sequences go by falling size and then by key. A sequence longer than the limit is cut to it, a null
+    size is 0: ``kept`` is what of it is packed. The packing is planned on the counts of sizes alone
+    (limit + 1 at most); rows get their pack by their rank among those of their size.
+    """
+    kept = F.least(F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)), F.lit(limit)).cast("long")
+    d = tied(df.select(key, size).withColumn("kept", kept))
+    counts = {r["kept"]: r["count"] for r in d.groupBy("kept").count().collect()}
+    steps = df.sparkSession.createDataFrame(plan_best_fit(counts, limit) or [(0, 0, 0, 0, 1)], "_kept long, _rank long, _n long, _first long, _each long")
+    # steps by spans of ranks, so that a size with many rows and steps meets by span
+    spans = F.sequence(F.floor(F.col("_rank") / width), F.floor((F.col("_rank") + F.greatest("_n", F.lit(1)) - 1) / width))
+    steps = steps.withColumn("_span", F.explode(spans))
+    d = places(d, ["kept"], [key, "_tie"], place="_place").withColumn("_at", F.floor(F.col("_place") / width))
+    on = (F.col("_place") >= F.col("_rank")) & (F.col("_place") < F.col("_rank") + F.col("_n"))
+    d = d.join(steps, (F.col("kept") == F.col("_kept")) & (F.col("_at") == F.col("_span")) & on)
+    pack = F.col("_first") + F.floor((F.col("_place") - F.col("_rank")) / F.col("_each"))
+    return d.select(key, size, "kept", pack.cast("long").alias("pack"))
 
 
 def positions(df: DataFrame, order: str, width: int = 4096) -> DataFrame:
-    """df with ``position``: the place of each row from 0 in the order of whole numbers, without a window over the table."""
-    return running_sums(df.withColumn("_one", F.lit(1).cast("long")), [], order, "_one", width).withColumnRenamed("before", "position").drop("_one")
+    """df with ``position``: the place of each row from 0 in an order of any values, nulls first, equal ones by their hash."""
+    return places(tied(df), [], [order, "_tie"], place="position").drop("_tie")
 
 
 def zip_rows(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
@@ -188,33 +297,24 @@ def tile(rank: Column, total: Column, tiles: int) -> Column:
     return F.when(rank < cut, F.floor(rank / (small + 1))).otherwise(more + F.floor((rank - cut) / F.greatest(small, F.lit(1)))).cast("int") + 1
 
 
-def exact_quantile(df: DataFrame, column: str, share: float, spans: int = 4096) -> DataFrame:
+def exact_quantile(df: DataFrame, column: str, share: float, margin: float = 5e-4) -> DataFrame:
     """One row ``cut``: the interpolated quantile of a column of doubles; null if it has no value.
 
-    Values are counted in spans of their range and then only in the spans that hold the quantile.
+    A mergeable sketch brackets the quantile within ``margin`` of the ranks on both sides (all values where
+    that is few rows); what is below is counted and only what is within is sorted, by ranges of its values.
     """
-    v = df.select(F.col(column).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    v = v.crossJoin(F.broadcast(ends))
-    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * spans), F.lit(spans - 1))).otherwise(F.lit(0))
-    v = v.withColumns({"span": at.cast("int"), "rank": F.lit(share) * (F.col("n") - 1)})
-    w = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    # at most so many rows
-    held = v.groupBy("span").agg(F.sum("c").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0)))
-    v = v.join(F.broadcast(held), "span")
-    near = v.filter((F.col("before") <= F.ceil("rank")) & (F.col("before") + F.col("m") > F.floor("rank")))
-    w = Window.partitionBy("span").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("until", F.col("before") + F.sum("c").over(w))
-    holds = lambda r: F.min(F.when(F.col("until") > r, F.col("v")))
+    v = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    # the sketch errs by a rank of 10,000 at most, a fifth of the margin
+    ends = [max(share - margin, 0.0), min(share + margin, 1.0)]
+    seen = v.agg(F.percentile_approx("v", ends, F.lit(10_000)).alias("p"), F.min("v").alias("least"), F.max("v").alias("most"), F.count(F.lit(1)).alias("n"))
+    side = lambda k, whole: F.when(F.col("n") * margin < 20, F.col(whole)).otherwise(F.get("p", F.lit(k)))
+    seen = seen.select(side(0, "least").alias("lo"), side(1, "most").alias("hi"), "n", (F.lit(share) * (F.col("n") - 1)).alias("rank"))
+    v = v.crossJoin(F.broadcast(seen))
+    below = v.filter("v < lo").agg(F.count(F.lit(1)).alias("below"))
+    near = v.filter("v >= lo and v <= hi").groupBy("v", "rank").agg(F.count(F.lit(1)).alias("c"))
+    near = running_totals(places(near, [], ["v"], place="_p"), [], "_p", {"until": F.col("c")}, inclusive=True).crossJoin(F.broadcast(below))
+    until = F.col("until") + F.col("below")
+    holds = lambda r: F.min(F.when(until > r, F.col("v")))
     low, high = holds(F.floor("rank")), holds(F.ceil("rank"))
     part = F.max(F.col("rank") - F.floor("rank"))
     return near.agg((low + (high - low) * part).alias("cut"))
-
-
-def decode(df: DataFrame, keys: list[str], ids: str, vocabulary: DataFrame) -> DataFrame:
-    """``decoded``: the words (``id``, ``word``) of each row's token numbers, in order."""
-    # a vocabulary is sent if it is small, as its common words would crowd a task
-    at = df.select(*keys, F.posexplode(ids).alias("pos", "id")).join(small(vocabulary), "id")
-    words = at.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
-    text = F.array_join(F.transform("w", lambda x: x["word"]), " ")
-    return df.select(*keys).join(words, keys, "left").select(*keys, F.coalesce(text, F.lit("")).alias("decoded"))

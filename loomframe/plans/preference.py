@@ -207,6 +207,18 @@ def win_gae(spark: SparkSession, d: str) -> DataFrame:
     return g.select(*KEYS, *rounded({"advantage": F.col("advantage"), "returns": F.col("returns")}))
 
 
+@query(f"""WITH RECURSIVE t AS (SELECT l_orderkey, l_partkey, l_linenumber, reward + 0.5 * coalesce(lead(value) OVER w, 0.0) - value AS d, row_number() OVER w AS t FROM {LOGPS_SQL} WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, reward, value, pc, pr)),
+-- terms beyond 60 steps are below 1e-27 of the sum
+k AS (SELECT range AS j FROM range(60)),
+a AS (SELECT t.t, sum(x.d * 0.35 ** j) AS adv FROM t JOIN k ON true JOIN t x ON x.t = t.t + j GROUP BY t.t)
+SELECT l_orderkey, l_partkey, l_linenumber, round(adv, 7) + 0.0 AS advantage FROM t JOIN a ON a.t = t.t""")
+def win_gae_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table is one trajectory."""
+    t = logps(spark, d).withColumn("run", F.lit(0))
+    g = sequences.gae(t, "run", ["l_orderkey", "l_linenumber", "l_partkey", "reward", "value", "pc", "pr"], "reward", "value", 0.5, 0.7)
+    return g.select(*KEYS, *rounded({"advantage": F.col("advantage")}, 7))
+
+
 @query(f"SELECT l_orderkey, l_partkey, l_linenumber, round((reward - m) / sqrt(v + 1e-8), 9) + 0.0 AS white, round((reward - m) / sqrt(v + 1e-8) + m, 9) + 0.0 AS shifted FROM {LOGPS_SQL}, (SELECT avg(reward) AS m, var_samp(reward) AS v FROM {LOGPS_SQL})")
 def win_whiten(spark: SparkSession, d: str) -> DataFrame:
     df = logps(spark, d)
@@ -223,6 +235,15 @@ def jn_rank_aligned(spark: SparkSession, d: str) -> DataFrame:
     return a.select("l_orderkey", "rank", *rounded({"aot": -C.logsigmoid(0.1 * (F.col("c") - F.col("r")))}))
 
 
+@query(f"""WITH b AS (SELECT pc - pr + 0.0 AS c, rc - rr + 0.0 AS r FROM {LOGPS_SQL}), x AS (SELECT c, row_number() OVER (ORDER BY c) AS rank FROM b), y AS (SELECT r, row_number() OVER (ORDER BY r) AS rank FROM b)
+SELECT x.rank::INT AS rank, c, r, round(-{ls('0.1 * (c - r)')}, 9) + 0.0 AS aot FROM x JOIN y ON x.rank = y.rank""")
+def jn_rank_aligned_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table is one batch."""
+    b = logps(spark, d).select(F.lit(0).alias("batch"), (F.col("pc") - F.col("pr")).alias("c"), (F.col("rc") - F.col("rr")).alias("r"))
+    a = sequences.rank_align(b, "batch", "c", "r")
+    return a.select("rank", "c", "r", *rounded({"aot": -C.logsigmoid(0.1 * (F.col("c") - F.col("r")))}))
+
+
 @query(f"""WITH b AS (SELECT l_orderkey, pc - rc + 0.0 AS c, pr - rr + 0.0 AS r FROM {LOGPS_SQL}),
 x AS (SELECT l_orderkey, c, row_number() OVER (PARTITION BY l_orderkey ORDER BY c) AS rank FROM b), y AS (SELECT l_orderkey, r, row_number() OVER (PARTITION BY l_orderkey ORDER BY r) AS rank FROM b)
 SELECT x.l_orderkey, x.rank::INT AS rank, round(-{ls('0.1 * (c - r)')}, 9) + 0.0 AS aot_pair FROM x JOIN y ON x.l_orderkey = y.l_orderkey AND x.rank = y.rank""")

@@ -135,10 +135,16 @@ def tok_pack_wrapped(spark: SparkSession, d: str) -> DataFrame:
     return sequences.pack_wrapped(docs, "source", "doc_id", "size", 2048).select("doc_id", "source", "size", "start", "first_pack", "last_pack")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT doc_id, n_chars::BIGINT AS size, least(n_chars, 8192)::BIGINT AS kept, row_number() OVER (ORDER BY least(n_chars, 8192) DESC, doc_id) AS i FROM documents),
+f AS (
+ SELECT 0::BIGINT AS i, []::BIGINT[] AS rooms, 0::BIGINT AS pack
+ UNION ALL
+ SELECT i + 1, CASE WHEN k IS NULL THEN list_append(rooms, 8192 - kept) ELSE list_concat(rooms[:k - 1], [rooms[k] - kept], rooms[k + 1:]) END, coalesce(k - 1, len(rooms)) FROM (
+  SELECT f.i, rooms, kept, list_min(list_filter(rooms, lambda x: x >= kept)) AS best, CASE WHEN best IS NOT NULL THEN list_position(rooms, best) END AS k FROM f JOIN o ON o.i = f.i + 1))
+SELECT doc_id, size, kept, pack FROM o JOIN f ON f.i = o.i""")
 def tok_pack_best_fit(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 512).cast("long").alias("shard"), F.col("n_chars").cast("long").alias("size"))
-    return sequences.pack_best_fit(docs, "shard", "doc_id", "size", 8192)
+    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("long").alias("size"))
+    return sequences.pack_best_fit(docs, "doc_id", "size", 8192)
 
 
 LOGP_SQL = "(SELECT l_orderkey AS k, l_partkey AS q, [-l_tax, -l_discount, -l_quantity / 50.0] AS p, [-l_discount - 0.1, -l_tax - 0.2, -l_quantity / 40.0] AS q2, l_linenumber FROM lineitem)"
