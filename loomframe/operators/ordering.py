@@ -34,8 +34,8 @@ def tied(df: DataFrame, name: str = "_tie") -> DataFrame:
 
 def crowded(df: DataFrame, by: list[str], most: int) -> DataFrame | None:
     """Groups of more than so many rows with their ``count``, written; None if there are none."""
-    out = store(df.groupBy(*by).count().filter(F.col("count") > most), "crowded")
-    return None if out.isEmpty() else out
+    out = df.groupBy(*by).count().filter(F.col("count") > most)
+    return None if out.isEmpty() else store(out, "crowded")
 
 
 def places(df: DataFrame, by: list[str], order: list[str | Column], place: str = "place", total: str | None = None, keep: Keep = store) -> DataFrame:

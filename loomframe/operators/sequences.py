@@ -113,8 +113,9 @@ def gae(df: DataFrame, group: str, order: list[str], reward: str, value: str, ga
         if g == 0:
             return done(d.withColumn("advantage", F.col("_d")))
         power = F.pow(F.lit(g), F.col("_t").cast("double"))
-        back = Window.partitionBy(group).orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
-        return done(d.withColumn("advantage", F.sum(F.col("_d") * power).over(back) / power))
+        # the frame is summed anew for each row, but has one block of rows at most and needs no other sort
+        ahead = w.rowsBetween(0, Window.unboundedFollowing)
+        return done(d.withColumn("advantage", F.sum(F.col("_d") * power).over(ahead) / power))
 
     long = crowded(df, [group], size)
     if long is None:

@@ -10,9 +10,11 @@ A null text has no tokens; decoding gives back every text that was encoded, byte
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,9 @@ VOCABULARY = "file:///opt/tokenizers/byte_bpe_50k.tiktoken"
 MOST_TOKENS = 1_000_000
 #: Pieces that a task remembers at most.
 REMEMBERED = 200_000
+#: Bytes of a piece up to which all its pairs are looked through for each merge.
+SHORT = 128
+NEVER = 1 << 60
 #: White space of Unicode.
 SPACE = r"\t-\r\x{85}\p{Z}"
 #: How the public vocabulary cuts texts before merging (fixed values).
@@ -47,6 +52,23 @@ def pieces(text: Column) -> Column:
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a piece: of all neighbours the pair of least rank becomes one, the leftmost first, until none has a rank."""
     n = len(piece)
+    if n > SHORT:
+        return _merged_long(piece, ranks)
+    cuts = list(range(n + 1))
+    pairs = [ranks.get(piece[i : i + 2], NEVER) for i in range(n - 1)]
+    while pairs and (least := min(pairs)) != NEVER:
+        i = pairs.index(least)
+        del cuts[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(piece[cuts[i] : cuts[i + 2]], NEVER)
+        if i:
+            pairs[i - 1] = ranks.get(piece[cuts[i - 1] : cuts[i + 1]], NEVER)
+    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
+
+
+def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same by a heap of pairs, for pieces of many bytes."""
+    n = len(piece)
     ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a place
     pairs = [(r, i) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
     heapify(pairs)
@@ -77,21 +99,29 @@ def encoder(tokens: DataFrame):
         raise ValueError(f"a vocabulary has {MOST_TOKENS} tokens at most")
     ranks = tokens.sparkSession.sparkContext.broadcast({bytes(r["token"]): r["id"] for r in rows})
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, list[int]] = {}
 
-        def of(parts: list[str]) -> list[int]:
-            out: list[int] = []
-            for p in parts:
-                if (found := known.get(p)) is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    found = known[p] = merged(p.encode(), ranks.value)
-                out += found
-            return out
-
-        return texts.map(of)
+        def of(piece: str) -> list[int]:
+            if (found := known.get(piece)) is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                found = known[piece] = merged(piece.encode(), ranks.value)
+            return found
+
+        for texts in batches:
+            # each distinct piece of a batch is merged or looked up once, then ids are laid out by places
+            coded = texts.flatten().dictionary_encode()
+            tokens_of = [of(p) for p in coded.dictionary.to_pylist()]
+            which = coded.indices.to_numpy(zero_copy_only=False)
+            counts = np.array([len(t) for t in tokens_of], dtype=np.int64)
+            pool = np.array([i for t in tokens_of for i in t], dtype=np.int32)
+            begins, n = np.cumsum(counts) - counts, counts[which]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            at = np.arange(ends[-1]) + np.repeat(begins[which] - ends[:-1], n)
+            offsets = texts.offsets.to_numpy()
+            yield pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]], pa.int32()), pa.array(pool[at]))
 
     return lambda text: ids(pieces(text))
 
