@@ -66,7 +66,7 @@ def make_corpus(spark: SparkSession, kind: str, path: str) -> int:
 def translate(spark: SparkSession, folder: Path, tool: str, utterance: str) -> str:
     """The translation as lines to show."""
     answer = Lookup.load(spark, str(folder / tool)).answer(utterance)
-    shown = Translator(tool, lambda prompt: F.col("answer"), threshold=0.0).translate(answer, "utterance").first()
+    shown = Translator(tool, lambda prompt: F.col("answer")).translate(answer, "utterance").first()
     return f"Input: {utterance}\n{shown['preview']}" if shown else f"Input: {utterance}\nNo command found"
 
 

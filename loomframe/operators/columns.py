@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: What a supervised and a preference trainer read of a table.
+#: What a supervised and a preference trainer read of a table (fixed values).
 SUPERVISED = ("input_ids", "labels", "seq_lengths", "completion_mask", "assistant_masks")
 PREFERENCE = ("prompt_input_ids", "chosen_input_ids", "rejected_input_ids")
 
@@ -46,13 +48,19 @@ def without_nulls(column: Column, kind: T.DataType) -> Column:
 
 
 def map_batches(df: DataFrame, function: Callable[..., dict[str, list[Any]]], schema: str, **given: Any) -> DataFrame:
-    """Rows that a function makes of batches: of columns as lists, with further arguments, to columns as lists."""
+    """Rows that a function makes of batches: of columns as lists, with further arguments, to columns as lists.
 
-    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Values are Python's own: whole numbers stay whole beside nulls, which are None, and arrays are lists.
+    """
+    kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    out = to_arrow_schema(kinds)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame(function({c: b[c].tolist() for c in b.columns}, **given))
+            made = function({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)}, **given)
+            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
 
-    return df.mapInPandas(mapped, schema)
+    return df.mapInArrow(mapped, kinds)
 
 
 def embedded(df: DataFrame, column: str, function: Callable[[pd.Series], pd.Series], name: str = "embedding") -> DataFrame:

@@ -31,9 +31,10 @@ def hash_split(df: DataFrame, content: Column, held_share: float, seed: str) ->
 
 
 def drop_repeated(df: DataFrame, by: list[str], first: list[str]) -> DataFrame:
-    """Of rows equal in ``by`` the first in the order of ``first``."""
-    w = Window.partitionBy(*by).orderBy(*first)
-    return df.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    """Of rows equal in ``by`` the first in the order of ``first``, then of the other columns; a crowd is reduced where it stands."""
+    rest = [c for c in df.columns if c not in by and c not in first]
+    least = df.groupBy(*by).agg(F.min(F.struct(*first, *rest)).alias("_r"))
+    return least.select(*[F.col(c) if c in by else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
 def take_with_replacement(pool: DataFrame, index: str, n: int, size: int, seed: str) -> DataFrame:

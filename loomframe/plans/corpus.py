@@ -10,6 +10,7 @@ from loomframe.operators import chat, sampling
 from loomframe.plans.registry import query
 from loomframe.plans.tables import table
 from loomframe.streaming import history
+from loomframe.streaming.recent import recent_rows
 
 
 #: Consecutive user and assistant turns.
@@ -215,7 +216,7 @@ def srt_with_replacement(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT text_md5, doc_id FROM (SELECT md5(text) AS text_md5, doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def set_drop_repeated(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.md5("text").alias("text_md5"), "doc_id")
-    return docs.groupBy("text_md5").agg(F.min("doc_id").alias("doc_id"))
+    return sampling.drop_repeated(docs, ["text_md5"], ["doc_id"])
 
 
 @query("SELECT doc_id, 'a' AS part FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'b' FROM documents WHERE n_chars > 1000")
@@ -249,8 +250,7 @@ def agg_metric_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 5")
 def win_recent_log(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, d, "events").withColumn("k", F.row_number().over(w)).filter("k <= 5").select("user_id", "event_id")
+    return recent_rows(table(spark, d, "events"), "user_id", ["ts", "event_id"], 5).select("user_id", "event_id")
 
 
 @query("SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9) AS running_mean FROM events")

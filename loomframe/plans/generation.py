@@ -14,7 +14,7 @@ from loomframe.plans.corpus import PAIRS_SQL, UNIT
 from loomframe.plans.registry import query
 from loomframe.plans.sequences import TOKENS_SQL, token_pairs
 from loomframe.plans.tables import table
-from loomframe.sources import files
+from loomframe.sources import files, lines, log
 from loomframe.sources.shared import scratch_path
 
 
@@ -123,6 +123,40 @@ def src_tail(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5("text").alias("h")).orderBy(F.desc("doc_id")).limit(150)
 
 
+def _json_lines(spark: SparkSession, df: DataFrame, order: str) -> str:
+    """A folder of JSON lines in several files, in an order."""
+    path = scratch_path(spark, "lines")
+    df.repartitionByRange(order).sortWithinPartitions(order).write.json(path)
+    return path
+
+
+@query("SELECT (SELECT count(*) FROM documents) - row_number() OVER (ORDER BY doc_id DESC) AS line, doc_id, md5(text) AS h FROM documents ORDER BY doc_id DESC LIMIT 150")
+def src_tail_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The last 150 lines of several files by their place."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    last = lines.last_lines(spark, _json_lines(spark, docs, "doc_id"), 150).withColumn("r", F.from_json("value", docs.schema))
+    return last.select("line", "r.doc_id", F.md5("r.text").alias("h"))
+
+
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS line FROM documents), b AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS line FROM embeddings)
+SELECT line, doc_id, vec_id FROM a FULL JOIN b USING (line)""")
+def jn_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of two sets of files side by side."""
+    docs, vectors = table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "embeddings").select("vec_id", "label")
+    both = lines.zip_lines(spark, _json_lines(spark, docs, "doc_id"), _json_lines(spark, vectors, "vec_id"))
+    return both.select("line", F.get_json_object("left", "$.doc_id").cast("long").alias("doc_id"), F.get_json_object("right", "$.vec_id").cast("long").alias("vec_id"))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def snk_event_log(spark: SparkSession, d: str) -> DataFrame:
+    """Batches appended to a log, one of them delivered twice."""
+    path = scratch_path(spark, "log")
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    for k in (0, 1, 2, 1):
+        log.append(e.filter(F.pmod("event_id", F.lit(3)) == k), path, batch=f"third-{k}")
+    return log.read(spark, path, "event_id long, user_id long, event_type string, value double")
+
+
 @query("""WITH a AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents), b AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS position FROM embeddings)
 SELECT a.position::BIGINT AS position, doc_id, lang, vec_id, label FROM a LEFT JOIN b ON b.position = a.position""")
 def jn_positional(spark: SparkSession, d: str) -> DataFrame:

@@ -53,5 +53,8 @@ def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
 
 
 def console_table(df: DataFrame, rows: int = 20, width: int = 60) -> str:
-    """The first rows as a text table for a terminal."""
-    return df._show_string(rows, width, False)
+    """The first rows as a text table for a terminal; longer values are cut."""
+    shown = [[("" if v is None else str(v)).replace("\n", " ")[:width] for v in r] for r in df.limit(rows).collect()]
+    wide = [max(len(x) for x in col) for col in zip(df.columns, *shown)]
+    line = lambda values: " | ".join(v.ljust(n) for v, n in zip(values, wide)).rstrip()
+    return "\n".join([line(df.columns), "-+-".join("-" * n for n in wide), *map(line, shown)])
