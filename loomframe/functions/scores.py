@@ -31,7 +31,7 @@ def pairwise_terms(pc: Column, pr: Column, rc: Column, rr: Column, beta: float =
     return {"lc": pc - rc, "lr": pr - rr, "z": (pc - pr) - (rc - rr), "bz": beta * ((pc - pr) - (rc - rr))}
 
 
-def pairwise(lc: Column, lr: Column, z: Column, beta: float = 0.1, eps: float = 0.1, delta: float = 0.0, tau: float = 0.05, lengths: tuple[Column, Column] | None = None) -> dict[str, Column]:
+def pairwise(lc: Column, lr: Column, z: Column, beta: float = 0.1, eps: float = 0.1, delta: float | Column = 0.0, tau: float = 0.05, lengths: tuple[Column, Column] | None = None) -> dict[str, Column]:
     """Losses of chosen and rejected completions by their log-ratios ``lc``, ``lr`` and the difference ``z``.
 
     exo_pair takes 1e-3 for an eps of 0. ``lengths``: tokens of chosen and rejected, by which ipo averages the log-ratios.

@@ -291,6 +291,18 @@ def hash_rank(df: DataFrame, key: Column, ties: list[str], digits: int = 3) -> D
     return d.withColumn("_within", within).join(F.broadcast(parts), "_part").withColumn("rank", F.col("_before") + F.col("_within")).drop("_key", "_part", "_before", "_within")
 
 
+def running_delta(df: DataFrame, batch: str, reward: Column, name: str = "delta") -> DataFrame:
+    """df with the mean of a reward over its own batch and all batches before it, in the order of ``batch`` (nulls first).
+
+    Batches are reduced to sums and counts, which are scanned in the order of the batches over blocks of
+    them and come back to the rows by batch; a null reward counts for nothing, no reward gives 0.
+    """
+    sums = df.groupBy(batch).agg(F.coalesce(F.sum(reward), F.lit(0.0)).alias("_sum"), F.count(reward).alias("_n"))
+    scanned = running_totals(places(sums, [], [batch], place="_place"), [], "_place", {"_all": F.col("_sum"), "_rows": F.col("_n")}, inclusive=True)
+    means = scanned.select(batch, F.when(F.col("_rows") > 0, F.col("_all") / F.col("_rows")).otherwise(0.0).alias(name))
+    return join_safe(df, means, [batch])
+
+
 def tile(rank: Column, total: Column, tiles: int) -> Column:
     """The tile from 1 of a rank, the first tiles one larger where the total can't be shared evenly."""
     small, more = F.floor(total / tiles), total % tiles

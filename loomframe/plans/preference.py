@@ -123,6 +123,34 @@ def ls_unpaired(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"""WITH t AS (SELECT *, l_orderkey // 64 AS batch, l_linenumber % 2 = 1 AS label FROM {LOGPS_SQL}),
+b AS (SELECT batch, sum(0.1 * (pc - rc)) AS s, sum(0.1 * (pc - rc) + 0.1 * (pr - rr)) AS p, count(*) AS n FROM t GROUP BY batch),
+d AS (SELECT batch, sum(s) OVER w / sum(n) OVER w AS delta, sum(p) OVER w / (2 * sum(n) OVER w) AS pair_delta FROM b WINDOW w AS (ORDER BY batch ROWS UNBOUNDED PRECEDING))
+SELECT l_orderkey, l_partkey, l_linenumber, round(delta, 9) + 0.0 AS delta, round(CASE WHEN label THEN -{ls(f'0.1 * {LC} - delta')} ELSE -{ls(f'-(0.1 * {LC} - delta)')} END, 9) + 0.0 AS bco,
+ round(-{ls(f'0.1 * {LC} - pair_delta')} - {ls(f'-(0.1 * {LR} - pair_delta)')}, 9) + 0.0 AS bco_pair FROM t JOIN d USING (batch)""")
+def ls_running_delta(spark: SparkSession, d: str) -> DataFrame:
+    """Losses against the running mean of rewards over the batches so far, unpaired and paired."""
+    lc, lr = F.col("pc") - F.col("rc"), F.col("pr") - F.col("rr")
+    t = logps(spark, d).withColumn("batch", F.floor(F.col("l_orderkey") / 64))
+    t = sequences.running_delta(t, "batch", 0.1 * lc)
+    t = sequences.running_delta(t, "batch", (0.1 * lc + 0.1 * lr) / 2, "pair_delta")
+    gap = 0.1 * lc - F.col("delta")
+    bco = F.when(F.col("l_linenumber") % 2 == 1, -C.logsigmoid(gap)).otherwise(-C.logsigmoid(-gap))
+    pair = C.pairwise(lc, lr, lc - lr, delta=F.col("pair_delta"))["bco_pair"]
+    return t.select(*KEYS, *rounded({"delta": F.col("delta"), "bco": bco, "bco_pair": pair}))
+
+
+@query()
+def ls_weighted_bco(spark: SparkSession, d: str) -> DataFrame:
+    """Unpaired losses with the running delta, undesired rows weighed by how like desired ones their vectors are."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).alias("desired"), F.get("embedding", F.lit(0)).cast("double").alias("l"))
+    e = density_weights(e, "embedding", "desired").withColumn("batch", F.floor(F.col("vec_id") / 32))
+    e = sequences.running_delta(e, "batch", 0.1 * F.col("l"))
+    gap = 0.1 * F.col("l") - F.col("delta")
+    loss = F.when(F.col("desired"), -C.logsigmoid(gap)).otherwise(-C.logsigmoid(-gap) * F.col("weight"))
+    return e.select("vec_id", *rounded({"weight": F.col("weight"), "delta": F.col("delta"), "loss": loss}))
+
+
 @query(f"SELECT l_orderkey, l_partkey, l_linenumber, round(-{ls('pc - pr - 0.1')} + 0.01 * (pc + pr) * (pc + pr), 9) + 0.0 AS loss, pc > pr AS correct FROM {LOGPS_SQL}")
 def ls_reward_model(spark: SparkSession, d: str) -> DataFrame:
     pc, pr = F.col("pc"), F.col("pr")
