@@ -14,7 +14,7 @@ from loomframe.plans.corpus import PAIRS_SQL, UNIT
 from loomframe.plans.registry import query
 from loomframe.plans.sequences import TOKENS_SQL, token_pairs
 from loomframe.plans.tables import table
-from loomframe.sources import files, lines, log
+from loomframe.sources import files, lines, log, schemas
 from loomframe.sources.shared import scratch_path
 
 
@@ -147,6 +147,20 @@ def jn_lines(spark: SparkSession, d: str) -> DataFrame:
     return both.select("line", F.get_json_object("left", "$.doc_id").cast("long").alias("doc_id"), F.get_json_object("right", "$.vec_id").cast("long").alias("vec_id"))
 
 
+@query("""SELECT 'rows' AS part, count(*) AS n, sum(doc_id)::BIGINT AS ids, round(sum(CASE WHEN lang = 'en' THEN n_chars ELSE n_chars / 4.0 END), 2)::DOUBLE AS chars FROM documents WHERE lang <> 'fr'
+UNION ALL SELECT 'broken', count(*), NULL, sum(length('{"doc_id":' || doc_id))::DOUBLE FROM documents WHERE lang = 'fr'""")
+def src_schema_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose numbers are whole in some and not in others, and some with broken lines, read without a schema."""
+    docs, path = table(spark, d, "documents").select("doc_id", "lang", "n_chars"), scratch_path(spark, "shapes")
+    docs.filter("lang = 'en'").write.json(f"{path}/whole")
+    docs.filter("lang not in ('en', 'fr')").withColumn("n_chars", F.col("n_chars") / 4.0).write.json(f"{path}/parts")
+    docs.filter("lang = 'fr'").select(F.concat(F.lit('{"doc_id":'), F.col("doc_id").cast("string"))).write.text(f"{path}/broken")
+    found = schemas.discover(spark, [f"{path}/{x}" for x in ("whole", "parts", "broken")])
+    rows = found.rows.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").cast("long").alias("ids"), F.round(F.sum("n_chars").cast("double"), 2).alias("chars"))
+    broken = found.broken.agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("ids"), F.sum(F.length("value")).cast("double").alias("chars"))
+    return rows.withColumn("part", F.lit("rows")).unionByName(broken.withColumn("part", F.lit("broken")))
+
+
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def snk_event_log(spark: SparkSession, d: str) -> DataFrame:
     """Batches appended to a log, one of them delivered twice."""

@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     # modules register their queries when they are imported
-    from loomframe.plans import corpus, generation, hooks, preference, scopes, sequences, streams  # noqa: F401
+    from loomframe.plans import corpus, generation, hooks, preference, scopes, sequences, streams, vocabulary  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -28,11 +28,11 @@ def _blocks(lines: DataFrame) -> DataFrame:
 def _placed(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     within = F.row_number().over(Window.partitionBy(*BLOCK).orderBy("_row")) - 1
     d = lines.withColumn("_row", F.monotonically_increasing_id()).join(blocks, BLOCK)
-    return d.withColumn("line", (F.col("_before") + within).cast("long")).drop(*BLOCK, "_row", "_before", "_n", "_total")
+    return d.withColumn("line", (F.col("_before") + within).cast("long")).drop("block", "_row", "_before", "_n", "_total")
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``line`` (from 0, over all files in the order of their paths) and ``value``."""
+    """``line`` (from 0, over all files in the order of their paths), ``value`` and ``file``."""
     lines = _lines(spark, path)
     return _placed(lines, _blocks(lines))
 
@@ -42,10 +42,10 @@ def last_lines(spark: SparkSession, path: str | list[str], n: int) -> DataFrame:
     lines = _lines(spark, path)
     least = F.col("_total") - n
     blocks = _blocks(lines).filter(F.col("_before") + F.col("_n") > least).withColumn("_least", least)
-    return _placed(lines, blocks).filter(F.col("line") >= F.col("_least")).drop("_least")
+    return _placed(lines, blocks).filter(F.col("line") >= F.col("_least")).drop("_least", "file")
 
 
 def zip_lines(spark: SparkSession, left: str, right: str) -> DataFrame:
     """``line``, ``left`` and ``right``: lines of two sets of files at the same place; null beyond the shorter one's end."""
     a, b = (numbered_lines(spark, p).withColumnRenamed("value", c) for p, c in ((left, "left"), (right, "right")))
-    return a.join(b, "line", "full")
+    return a.drop("file").join(b.drop("file"), "line", "full")

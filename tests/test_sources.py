@@ -97,3 +97,50 @@ def test_late_rows_are_dropped():
     kept = c.sql(f"select sum(n) from ({oracles()['str_late_windows']})").fetchall()[0][0]
     closed = c.sql("select count(*) from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 day from events)").fetchall()[0][0]
     assert 0 < kept < closed
+
+
+def test_schema_discovery(spark, tmp_path):
+    from loomframe.sources import schemas
+
+    (tmp_path / "a").write_text('{"k": 1, "t": "x"}\n{"k": 2.5}\n\n{"k": \n')
+    (tmp_path / "b").write_text('{"k": 12345678901, "n": {"a": [1, 2]}, "t": 5}\n[1]\n7\nnull\n{"n": {"b": true}}\n')
+    found = schemas.discover(spark, str(tmp_path))
+    rows = {x.line: x for x in found.rows.collect()}
+    assert {k: None if x.k is None else float(x.k) for k, x in rows.items()} == {0: 1.0, 1: 2.5, 4: 12345678901.0, 8: None}
+    assert (rows[4].n.a, rows[4].n.b, rows[8].n.b) == ([1, 2], None, True)
+    assert {(x.file[-1], x.line, x.value) for x in found.broken.collect()} == {("a", 3, '{"k": '), ("b", 5, "[1]"), ("b", 6, "7"), ("b", 7, "null")}
+    assert {x.file[-1]: (x.good, x.broken) for x in found.by_file.collect()} == {"a": (2, 1), "b": (2, 3)}
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "x").write_text("no\n")
+    none = schemas.discover(spark, str(tmp_path / "empty"))
+    assert none.schema is None and none.rows.count() == 0 and none.broken.count() == 1
+
+
+def test_log_sum_exp(spark):
+    import math
+
+    from loomframe.operators import vocabulary
+
+    logits = {"hot": [math.sin(k) * 700 for k in range(10_000)], "one": [-1e4], "pair": [1000.0, 1000.0], None: [0.0, -800.0]}
+    rows = [(c, k, x) for c, xs in logits.items() for k, x in enumerate(xs)] + [("pair", 9, None)]
+    df = spark.createDataFrame(rows, "c string, id long, x double").repartition(6)
+    got = {x.c: x.lse for x in vocabulary.log_sum_exp(df, ["c"], F.col("x")).collect()}
+    for c, xs in logits.items():
+        assert math.isclose(got[c], max(xs) + math.log(math.fsum(math.exp(x - max(xs)) for x in xs)), rel_tol=1e-12)
+    soft = vocabulary.log_softmax(df, ["c"], "x")
+    assert all(abs(x.s - 1) < 1e-9 for x in soft.groupBy("c").agg(F.sum(F.exp("logp")).alias("s")).collect()) and soft.count() == len(rows)
+
+
+def test_bigram_sums(spark):
+    import math
+
+    from loomframe.operators import vocabulary
+
+    docs = spark.createDataFrame([([1, 2, 1, 3],), ([1, 2],), ([],), ([7],), (None,)], "s array<int>")
+    model = vocabulary.bigram_model(docs, "s")
+    assert {(x.context, x.id): round(math.exp(x.logp), 9) for x in model.collect()} == {(1, 2): round(2 / 3, 9), (1, 3): round(1 / 3, 9), (2, 1): 1.0}
+    other = vocabulary.bigram_model(spark.createDataFrame([([1, 2, 1, 2, 1, 3],)], "s array<int>"), "s")
+    assert {x.context: abs(x.jsd) < 1e-12 for x in vocabulary.divergence(model, other).collect()} == {1: True, 2: True}
+    tokens = vocabulary.bigrams(spark.createDataFrame([("a", [1, 2, 9, 1, 3]), ("b", [5])], "k string, s array<int>"), ["k"], "s")
+    x = vocabulary.sequence_sums(tokens, ["k"], model, model).collect()
+    assert len(x) == 1 and x[0].n == 2 and math.isclose(x[0].logp, math.log(2 / 9)) and x[0].kl == 0
