@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ TAGS = ("app", "app:dev", "app:1.0", "team/app", "site:test", "worker:nightly")
 COMMANDS = ("ls /", "env", "sh", "cat /etc/hosts", "ps aux", "df -h", "date", "whoami", "top")
 
 
-def container_rules() -> list[tuple[str, str, str]]:
-    """(kind, instruction, command) of all pools of a container corpus, by crossing the tables above."""
+def container_rules(names: tuple[str, ...] = NAMES) -> list[tuple[str, str, str]]:
+    """(kind, instruction, command) of all pools of a container corpus, by crossing the tables above with names."""
     out: list[tuple[str, str, str]] = []
 
     def asked(kind: str, what: str, command: str, ways: int) -> None:
@@ -45,33 +47,33 @@ def container_rules() -> list[tuple[str, str, str]]:
         asked("run", f"run {image} with port {inner} on {outer}", f"run -d -p {outer}:{inner} {image}", 4)
     for image, setting in SETTINGS:
         asked("run", f"run {image} with {setting}", f"run -e {setting} {image}", 4)
-    for name, (_, image) in zip(NAMES, IMAGES, strict=False):
+    for name, (_, image) in zip(names, IMAGES, strict=False):
         asked("run", f"run {image} under the name {name}", f"run --name {name} {image}", 5)
         asked("run", f"run {image} with the folder {name} mounted", f"run -v ./{name}:/data {image}", 4)
     for tag in TAGS:
         asked("build", f"build an image called {tag}", f"build -t {tag} .", 6)
         asked("build", f"build {tag} without the cache", f"build --no-cache -t {tag} .", 5)
-    for name in NAMES:
+    for name in names:
         asked("build", f"build from the file Dockerfile.{name}", f"build -f Dockerfile.{name} .", 4)
     asked("build", "build up to the stage test", "build --target test .", 4)
     asked("build", "build with the newest base image", "build --pull .", 3)
     for what, command in (("list containers", "ps"), ("list all containers", "ps -a"), ("show the last container", "ps -l"), ("show container sizes", "ps -s"), ("show container ids only", "ps -q"), ("list images", "images"), ("list all images", "images -a"), ("show image ids only", "images -q"), ("list dangling images", "images -f dangling=true"), ("show image digests", "images --digests"), ("list stopped containers", "ps -f status=exited")):
         asked("ps_images", what, command, 6)
     for command in COMMANDS:
-        for name in NAMES:
+        for name in names:
             asked("exec", f"run {command} in {name}", f"exec {name} {command}", 1)
-    for name in NAMES:
+    for name in names:
         for what, command in (("start", "up -d"), ("restart", "restart"), ("stop", "stop"), ("show the logs of", "logs"), ("build", "build"), ("pull", "pull")):
             asked("compose", f"{what} the service {name}", f"compose {command} {name}", 2)
     asked("compose", "stop all services", "compose down", 4)
-    for name in NAMES:
+    for name in names:
         for what, command in (("create the network {n}", "network create {n}"), ("remove the network {n}", "network rm {n}"), ("inspect the network {n}", "network inspect {n}")):
             asked("network", what.format(n=name), command.format(n=name), 2)
-    for name, other in zip(NAMES, NAMES[1:], strict=False):
+    for name, other in zip(names, names[1:], strict=False):
         asked("network", f"connect {name} to the network {other}", f"network connect {other} {name}", 2)
         asked("network", f"disconnect {name} from the network {other}", f"network disconnect {other} {name}", 2)
     asked("network", "list networks", "network ls", 6)
-    for name in NAMES:
+    for name in names:
         for what, command in (("create", "create"), ("remove", "rm")):
             asked("volume", f"{what} the volume {name}", f"volume {command} {name}", 2)
         asked("volume", f"inspect the volume {name}", f"volume inspect {name}", 1)
@@ -82,6 +84,13 @@ def container_rules() -> list[tuple[str, str, str]]:
     return out
 
 
+def container_patterns() -> list[tuple[str, str, str, bool]]:
+    """(kind, instruction, command, named) of the pools: rules of one object with {name} for it, and those of none."""
+    fixed = container_rules(())
+    mark = "\0"
+    return [(*r, False) for r in fixed] + [(k, *(x.replace(mark, "{name}") for x in r), True) for k, *r in container_rules((mark,)) if mark in r[1]]
+
+
 #: The tool's commands: ways to say each, and its forms (what is said of the option, the option, what it explains).
 TOOL_FORMS = {
     "register": (("register {x}", "add {x} to the list", "keep track of {x}"), (("this environment", "", "the current folder's environment"), ("the environment in {path}", " {path}", "the environment in {path}"), ("this environment as {name}", " --name {name}", "the environment as {name}"), ("this environment for {project}", " --project {project}", "the environment with its project {project}"), ("{path} as {name}", " {path} --name {name}", "the environment in {path} as {name}"))),
@@ -94,7 +103,7 @@ TOOL_FORMS = {
 }
 #: Further templates of one form.
 TOOL_EXTRA = (("scan", "look in {path} {depth} levels deep", " --path {path} --depth {depth}", "{path}, {depth} levels deep"), ("cleanup", "what would a cleanup remove", " --dry-run", "what would be removed"), ("shell-hook", "print the hook", " --print", "the hook"))
-#: What may stand in a slot.
+#: What may stand in a slot; those of "key" and "form" are options of the tool (fixed values).
 SLOTS = {
     "path": (".venv", "./env", "../shared/env", "/srv/envs/a", "~/envs/test"), "name": ("site", "api", "batch", "lab"), "project": ("./site", "../api", "~/code/batch"), "key": ("name", "recent", "size", "project"),
     "form": ("table", "json", "simple"), "depth": ("1", "2", "3", "5"), "days": ("30", "60", "90", "180"), "shell": ("bash", "zsh", "fish"),
@@ -122,9 +131,18 @@ def pool(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, k int, instruction string, command string")
 
 
-def sample_pools(pools: DataFrame, shares: DataFrame, n: int, seed: str) -> DataFrame:
-    """Of each kind its share of n, or its whole pool if that is smaller."""
-    keyed = pools.withColumn("key", F.concat_ws("|", "kind", F.col("k").cast("string")))
+def named_pool(names: DataFrame) -> DataFrame:
+    """``kind``, ``instruction``, ``command``: the patterns without a name once, the others with each ``name`` of a table."""
+    patterns = names.sparkSession.createDataFrame(container_patterns(), "kind string, instruction string, command string, named boolean")
+    filled = [fill(F.col(c), name=F.col("name")).alias(c) for c in ("instruction", "command")]
+    # the patterns are a table of fixed size
+    crossed = names.select("name").crossJoin(F.broadcast(patterns.filter("named")))
+    return patterns.filter("not named").drop("named").unionByName(crossed.select("kind", *filled))
+
+
+def sample_pools(pools: DataFrame, shares: DataFrame, n: int, seed: str, key: Column | None = None) -> DataFrame:
+    """Of each kind its share of n, or its whole pool if that is smaller, in the random order of a key (``k`` if none is given)."""
+    keyed = pools.withColumn("key", F.concat_ws("|", "kind", F.col("k").cast("string")) if key is None else key)
     return quota_sample(keyed, "kind", "key", quota_plan(shares, n).select("kind", "quota"), seed).drop("key")
 
 
@@ -133,17 +151,24 @@ def draw(seed: str, n: Column, *cols: Column) -> Column:
     return F.floor(unit_hash(F.lit(seed), *cols) * n).cast("int")
 
 
-def draw_templates(templates: DataFrame, shares: DataFrame, n: int, slots: dict[str, tuple[str, ...]] = SLOTS) -> DataFrame:
+def draw_templates(templates: DataFrame, shares: DataFrame, n: int, slots: dict[str, tuple[str, ...]] = SLOTS, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """Examples by quota, with replacement: a template and a value for each slot, and a shifted confidence.
 
-    templates: ``kind``, ``t`` (from 0), ``pattern``, ``command``, ``base``, ``explanation``.
+    templates: ``kind``, ``t`` (from 0), ``pattern``, ``command``, ``base``, ``explanation``. tables: values of
+    further slots, numbered from 0 by ``k``, as tables of any size.
     """
+    spark, tables = templates.sparkSession, tables or {}
     counts = templates.groupBy("kind").agg(F.count(F.lit(1)).alias("n_templates"))
-    plan = quota_plan(shares, n).filter("quota > 0").join(counts, "kind")
-    rows = plan.select("kind", "n_templates", F.explode(F.sequence(F.lit(0), F.col("quota") - 1)).alias("i"))
+    plan = quota_plan(shares, n).filter("quota > 0").join(counts, "kind").collect()  # a row for each kind
+    parts = [spark.range(r["quota"]).select(F.lit(r["kind"]).alias("kind"), F.lit(r["n_templates"]).alias("n_templates"), F.col("id").cast("int").alias("i")) for r in plan]
+    rows = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "kind string, n_templates long, i int")
     key = (F.col("kind"), F.col("i"))
     rows = rows.withColumn("t", draw("t", F.col("n_templates"), *key)).join(templates, ["kind", "t"])
-    values = {s: F.get(F.array(*map(F.lit, v)), draw(s, F.lit(len(v)), *key)) for s, v in slots.items()}
+    values = {s: F.get(F.array(*map(F.lit, v)), draw(s, F.lit(len(v)), *key)) for s, v in slots.items() if s not in tables}
+    for s, given in tables.items():
+        side = given.select(F.col("k").cast("int").alias(f"_k_{s}"), F.col("value").alias(f"_{s}"))
+        rows = rows.join(side, draw(s, F.lit(given.count()), *key) == F.col(f"_k_{s}"))
+        values[s] = F.col(f"_{s}")
     low, high = JITTER
     shift = low + (high - low) * unit_hash(F.lit("c"), *key)
     filled = [fill(F.col(c), **values).alias(c2) for c, c2 in (("pattern", "instruction"), ("command", "command"), ("explanation", "explanation"))]

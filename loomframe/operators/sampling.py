@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.functions.text import fill, unit_hash
+from loomframe.operators.ordering import crowded, places
+
+
+#: Rows of a category that are ranked in one task at most.
+GROUP_ROWS = 50_000
 
 
 def order_key(seed: str, *cols: Column) -> Column:
@@ -14,10 +19,22 @@ def order_key(seed: str, *cols: Column) -> Column:
 
 
 def quota_sample(df: DataFrame, category: str, key: str, quotas: DataFrame, seed: str) -> DataFrame:
-    """Per category the first rows in random order, up to its ``quota`` or the pool's size."""
-    w = Window.partitionBy(category).orderBy(order_key(seed, F.col(key)), key)
-    ranked = df.join(quotas, category).withColumn("rank", F.row_number().over(w))
-    return ranked.filter(F.col("rank") <= F.col("quota"))
+    """Per category the first rows in random order, up to its ``quota`` or the pool's size; ``rank`` from 1.
+
+    Categories of more than GROUP_ROWS rows are ranked by ranges of the order over many tasks.
+    """
+    d = df.join(quotas, category).withColumn("_order", order_key(seed, F.col(key)))
+    w = Window.partitionBy(category).orderBy("_order", key)
+
+    def first(d: DataFrame, rank: Column) -> DataFrame:
+        return d.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= F.col("quota"))
+
+    long = crowded(df, [category], GROUP_ROWS)
+    if long is None:
+        return first(d, F.row_number().over(w)).drop("_order")
+    spread = places(d.join(long.select(category), category, "left_semi"), [category], ["_order", key], place="_place")
+    few = first(d.join(long.select(category), category, "left_anti"), F.row_number().over(w))
+    return first(spread, F.col("_place") + 1).drop("_place").unionByName(few).drop("_order")
 
 
 def quota_plan(shares: DataFrame, n: int) -> DataFrame:

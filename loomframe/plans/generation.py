@@ -23,30 +23,40 @@ def values(rows) -> str:
     return ", ".join("(" + ", ".join(map(spell, r)) + ")" for r in rows)
 
 
-POOLS_SQL = f"(SELECT kind, (row_number() OVER (PARTITION BY kind ORDER BY n) - 1)::INT AS k, instruction, command FROM (VALUES {values((n, *r) for n, r in enumerate(generation.container_rules()))}) v(n, kind, instruction, command))"
+POOLS_SQL = f"""(SELECT kind, instruction, command FROM (VALUES {values((k, i, c) for k, i, c, named in generation.container_patterns() if not named)}) v(kind, instruction, command)
+UNION ALL SELECT kind, replace(instruction, '{{name}}', s_name), replace(command, '{{name}}', s_name) FROM (VALUES {values((k, i, c) for k, i, c, named in generation.container_patterns() if named)}) v(kind, instruction, command), supplier)"""
 CONTAINER_SQL = f"""WITH s(kind, share) AS (VALUES {values(generation.CONTAINER_SHARES)}), x AS {POOLS_SQL},
-r AS (SELECT x.*, floor(share * 600)::INT AS quota, row_number() OVER (PARTITION BY x.kind ORDER BY md5('d4|' || x.kind || '|' || k), x.kind || '|' || k) AS rank FROM x JOIN s ON s.kind = x.kind)
-SELECT kind, k, instruction, command FROM r WHERE rank <= quota"""
+r AS (SELECT x.*, floor(share * (SELECT 20 * count(*) FROM supplier))::INT AS quota, row_number() OVER (PARTITION BY x.kind ORDER BY md5('d4|' || command || '|' || instruction), command || '|' || instruction) AS rank FROM x JOIN s ON s.kind = x.kind)
+SELECT kind, instruction, command FROM r WHERE rank <= quota"""
+
+
+def services(spark: SparkSession, d: str) -> DataFrame:
+    """The names of services: those of the suppliers."""
+    return table(spark, d, "supplier").select(F.col("s_name").alias("name"))
 
 
 @query(CONTAINER_SQL)
 def gen_container_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty examples for each service, in the corpus's shares, of pools that hold every service."""
+    names = services(spark, d)
     shares = spark.createDataFrame(list(generation.CONTAINER_SHARES), "kind string, share double")
-    return generation.sample_pools(generation.pool(spark), shares, 600, "d4").select("kind", "k", "instruction", "command")
+    key = F.concat_ws("|", "command", "instruction")
+    return generation.sample_pools(generation.named_pool(names), shares, 20 * names.count(), "d4", key).select("kind", "instruction", "command")
 
 
 @query(f"SELECT kind, count(*) AS n, count(DISTINCT command) AS n_commands, count(DISTINCT instruction) AS n_instructions FROM {POOLS_SQL} GROUP BY kind")
 def gen_container_pools(spark: SparkSession, d: str) -> DataFrame:
-    return generation.pool(spark).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("command").alias("n_commands"), F.countDistinct("instruction").alias("n_instructions"))
+    pools = generation.named_pool(services(spark, d))
+    return pools.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("command").alias("n_commands"), F.countDistinct("instruction").alias("n_instructions"))
 
 
 @query(f"SELECT 'Translate this to a docker command: ' || instruction AS instruction, '' AS input, command AS output FROM ({CONTAINER_SQL})")
 def gen_corpus_jsonl(spark: SparkSession, d: str) -> DataFrame:
     """The sampled corpus, shuffled, written as JSON lines and read back."""
     corpus = gen_container_corpus(spark, d)
-    corpus = corpus.select("kind", "k", F.concat(F.lit("Translate this to a docker command: "), "instruction").alias("instruction"), F.lit("").alias("input"), F.col("command").alias("output"))
+    corpus = corpus.select("kind", F.concat(F.lit("Translate this to a docker command: "), "instruction").alias("instruction"), F.lit("").alias("input"), F.col("command").alias("output"))
     path = scratch_path(spark, "corpus")
-    generation.write_corpus(corpus, path, "s9", "kind", "k")
+    generation.write_corpus(corpus, path, "s9", "kind", "instruction")
     return files.read_jsonl(spark, path)
 
 
@@ -60,31 +70,51 @@ def slotted(column: str) -> str:
     return column
 
 
-DRAWS_SQL = ", ".join(f"[{', '.join(repr(x) for x in v)}][floor({UNIT.format(chr(39) + s + '|' + chr(39) + ' || kind || ' + chr(39) + '|' + chr(39) + ' || i')} * {len(v)})::INT + 1] AS v_{s}" for s, v in generation.SLOTS.items())
+#: Slots whose values are the rows of a table: names are nations, projects are parts.
+FROM_TABLES = ("name", "project")
+DRAWS_SQL = ", ".join(f"[{', '.join(repr(x) for x in v)}][floor({UNIT.format(chr(39) + s + '|' + chr(39) + ' || kind || ' + chr(39) + '|' + chr(39) + ' || i')} * {len(v)})::INT + 1] AS v_{s}" for s, v in generation.SLOTS.items() if s not in FROM_TABLES)
+
+
+def numbered(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Values of slots, numbered."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("value"))
+    parts = sequences.positions(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("value")), "p_partkey").withColumnRenamed("position", "k")
+    return {"name": nations, "project": parts.select("k", "value")}
 
 
 @query(f"""WITH s(kind, share) AS (VALUES {values(generation.TOOL_SHARES)}), t(kind, t, pattern, command, base, explanation) AS (VALUES {values(generation.tool_templates())}),
-c AS (SELECT kind, count(*) AS m FROM t GROUP BY kind), q AS (SELECT s.kind, m, unnest(range(floor(share * 1500)::BIGINT))::INT AS i FROM s JOIN c ON c.kind = s.kind),
-x AS (SELECT kind, i, floor({UNIT.format("'t|' || kind || '|' || i")} * m)::INT AS t, {UNIT.format("'c|' || kind || '|' || i")} AS u, {DRAWS_SQL} FROM q)
+c AS (SELECT kind, count(*) AS m FROM t GROUP BY kind), q AS (SELECT s.kind, m, unnest(range(floor(share * (SELECT count(*) FROM customer))::BIGINT))::INT AS i FROM s JOIN c ON c.kind = s.kind),
+n AS (SELECT n_nationkey AS k, n_name AS v_name FROM nation), p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS k, p_name AS v_project FROM part),
+x AS (SELECT kind, i, floor({UNIT.format("'t|' || kind || '|' || i")} * m)::INT AS t, {UNIT.format("'c|' || kind || '|' || i")} AS u, {DRAWS_SQL},
+ floor({UNIT.format("'name|' || kind || '|' || i")} * (SELECT count(*) FROM nation))::INT AS kn, floor({UNIT.format("'project|' || kind || '|' || i")} * (SELECT count(*) FROM part))::INT AS kp FROM q)
 SELECT x.kind, i, {slotted('pattern')} AS instruction, {slotted('command')} AS command, {slotted('explanation')} AS explanation, round(base + (-0.03 + 0.05 * u), 6)::DOUBLE AS confidence
-FROM x JOIN t ON t.kind = x.kind AND t.t = x.t""")
+FROM x JOIN t ON t.kind = x.kind AND t.t = x.t JOIN n ON n.k = x.kn JOIN p ON p.k = x.kp""")
 def gen_tool_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """As many examples as there are customers, with names and projects from tables."""
     templates = spark.createDataFrame(generation.tool_templates(), TOOL_SCHEMA)
     shares = spark.createDataFrame(list(generation.TOOL_SHARES), "kind string, share double")
-    return generation.draw_templates(templates, shares, 1500).withColumn("confidence", F.round("confidence", 6))
+    n = table(spark, d, "customer").count()
+    return generation.draw_templates(templates, shares, n, tables=numbered(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"SELECT kind, count(*) AS n FROM (VALUES {values(generation.tool_templates())}) t(kind, t, pattern, command, base, explanation) GROUP BY kind")
+@query(f"""WITH t(kind, t, pattern, command, base, explanation) AS (VALUES {values(generation.tool_templates())})
+SELECT kind, count(*) AS n, count(DISTINCT replace(pattern, '{{name}}', n_name)) AS n_instructions, count(DISTINCT replace(command, '{{name}}', n_name)) AS n_commands FROM t, nation GROUP BY kind""")
 def gen_tool_templates(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(generation.tool_templates(), TOOL_SCHEMA).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-IMAGES = [("web", [(80, "-d"), (443, "-d --tls")]), ("db", [(5432, "-v data")]), ("cache", [(6379, "-d"), (6380, "-d --replica")])]
+    """The tool's templates with the name of each nation in their slot."""
+    templates = spark.createDataFrame(generation.tool_templates(), TOOL_SCHEMA)
+    x = table(spark, d, "nation").select(F.col("n_name").alias("name")).crossJoin(F.broadcast(templates))
+    return x.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(X.fill(F.col("pattern"), name=F.col("name"))).alias("n_instructions"), F.countDistinct(X.fill(F.col("command"), name=F.col("name"))).alias("n_commands")
+    )
 
 
-@query(f"SELECT image, port, flags, 'docker run ' || flags || ' -p ' || port || ' ' || image AS command FROM (VALUES {values((i, p, f) for i, c in IMAGES for p, f in c)}) t(image, port, flags)")
+@query("""SELECT DISTINCT lower(replace(p_brand, '#', '-')) AS image, 8000 + p_size AS port, CASE WHEN p_size % 2 = 0 THEN '-d' ELSE '-d --rm' END AS flags,
+ 'docker run ' || flags || ' -p ' || port || ' ' || image AS command FROM part""")
 def gen_pool_configs(spark: SparkSession, d: str) -> DataFrame:
-    pools = spark.createDataFrame(IMAGES, "image string, configs array<struct<port: int, flags: string>>")
+    """Each image (a brand) with the configurations that its parts allow, as a pool, and one command for each."""
+    part = table(spark, d, "part").select(F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("image"), (8000 + F.col("p_size")).alias("port"), F.when(F.col("p_size") % 2 == 0, "-d").otherwise("-d --rm").alias("flags"))
+    # a brand has as many configurations as there are sizes at most
+    pools = part.distinct().groupBy("image").agg(F.array_sort(F.collect_list(F.struct("port", "flags"))).alias("configs"))
     x = generation.explode_pool(pools, "image", "configs")
     return x.withColumn("command", F.concat(F.lit("docker run "), "flags", F.lit(" -p "), F.col("port").cast("string"), F.lit(" "), "image"))
 
