@@ -257,11 +257,20 @@ def test_template_sizes():
     assert Counter(k for k, _, _ in generation.container_rules()) == dict(run=214, build=97, ps_images=66, exec=54, compose=76, network=62, volume=37, system=27)
     assert Counter(t[0] for t in generation.tool_templates()) == {"register": 15, "ls": 16, "scan": 13, "current": 8, "cleanup": 11, "shell-hook": 7, "stats": 8}
     assert len(set(generation.container_rules())) == 633
+    # the patterns with the names filled in are the rules, but those of two names
+    made = {(k, i.replace("{name}", n), c.replace("{name}", n)) for k, i, c, _ in generation.container_patterns() for n in generation.NAMES}
+    gone = set(generation.container_rules()) - made
+    assert all(k in ("network", "run") for k, _, _ in gone) and len(gone) < 70
 
 
 def test_container_corpus_size(spark):
-    assert queries()["gen_container_corpus"](spark, SF).count() == 574
-    assert queries()["gen_tool_corpus"](spark, SF).count() == 1500
+    from loomframe.operators import generation
+
+    shares = spark.createDataFrame(list(generation.CONTAINER_SHARES), "kind string, share double")
+    assert generation.sample_pools(generation.pool(spark), shares, 600, "d4").count() == 574
+    templates = spark.createDataFrame(generation.tool_templates(), "kind string, t int, pattern string, command string, base double, explanation string")
+    tool = spark.createDataFrame(list(generation.TOOL_SHARES), "kind string, share double")
+    assert generation.draw_templates(templates, tool, 1500).count() == 1500 and generation.draw_templates(templates, tool, 0).count() == 0
 
 
 def test_streams_of_moments_and_recent_rows(spark, tmp_path):
