@@ -36,11 +36,13 @@ from pyspark.sql import types as T
 
 #: What may begin markup: comments, elements whose content is not text, tags, declarations.
 OPENING = re.compile(
-    r"<(?:(?P<note>!--)|(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|select)\b|(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)|[!?/])",
+    r"<(?:(?P<note>!--)|(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|select)(?![a-z0-9:._-])|(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)|[!?/])",
     re.I,
 )
 ATTRS = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>")
 RAW_END = {t: re.compile(rf"</{t}\s*+>", re.I) for t in "script style noscript template textarea title iframe svg select".split()}
+#: Of these the ones that hold elements: unclosed, they hide nothing but their tag; svg may also end in its tag.
+HOLDERS = frozenset(["noscript", "template", "svg", "select"])
 #: Numeric references so long name no character.
 LONG_REFERENCE = re.compile(r"&#[0-9]{8,}")
 ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -183,6 +185,7 @@ def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]
         stack.append(Node(tag, parent, key, feats.union(own) if own else feats))
 
     tags = _Tags(page)
+    lost: set[str] = set()
     search = OPENING.search
     m = search(page)
     while m:
@@ -191,8 +194,13 @@ def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]
             end = page.find("-->", m.end())
             end = len(page) if end < 0 else end + 3
         elif m["raw"]:
-            close = RAW_END[m["raw"].lower()].search(page, m.end())
-            end = close.end() if close else len(page)
+            kind = m["raw"].lower()
+            own = tags.end(m.end())
+            empty = kind == "svg" and own > 1 and page[own - 2] == "/"
+            close = None if empty or kind in lost else RAW_END[kind].search(page, m.end())
+            if not empty and close is None:
+                lost.add(kind)  # nor does a later one end
+            end = close.end() if close else own if empty or kind in HOLDERS else len(page)
         elif tag:
             end = tags.end(m.end())
         else:
