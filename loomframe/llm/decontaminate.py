@@ -16,7 +16,7 @@ whole item is the result. Items of fewer than ``exact_below`` words must occur w
 of fewer than ``n`` words as a whole line.
 
 Words are runs of word characters, lower-cased; in scripts without spaces each character is one.
-The benchmark is taken in blocks of at most ``block_words`` words (20 to 40 MB), each against all
+The benchmark is taken in blocks of at most ``block_words`` words, each against all
 documents in one pass; only a block is sent to the executors. Very long texts are taken in
 overlapping pieces of ``PIECE`` words.
 
@@ -277,7 +277,7 @@ def contamination(
     n: int = 4,
     threshold: float = 0.55,
     exact_below: int = 8,
-    block_words: int = 2_000_000,
+    block_words: int = 400_000,
 ) -> DataFrame:
     """``doc_id``, ``item_id``, ``score`` (1: the whole item, word for word), ``n_seeds`` (shared n-grams), ``end_word``."""
     spark = docs.sparkSession
@@ -321,7 +321,7 @@ def drop_contaminated(
     n: int = 4,
     threshold: float = 0.55,
     exact_below: int = 8,
-    block_words: int = 2_000_000,
+    block_words: int = 400_000,
 ) -> DataFrame:
     """docs without the rows whose text holds an item; each row is judged by its own text, whatever its id."""
     for block in item_blocks(items, item_col, item_text_col, block_words):
