@@ -49,7 +49,13 @@ WORDS = (
     "table target task template temp test text theme thread time title toggle tool topic total trace track train transfer tree trigger type unit update upload user util value "
     "vector verify version video view visible volume watch weight widget width window worker write zone"
 ).split()
-SYLLABLES = "an at be ble cion con de des ed el en er es ge heit ing ion keit la le lich ly ment nd ni on or ou qu ra re ri sch se sh st te th ti tion to tra ung ver wh".split()
+#: Frequent groups of letters of English, German, French and Spanish words.
+SYLLABLES = (
+    "able an ance and be ble con de ea ed el en ence er es ful ing ion ist la ly ment ness nd ni on oo or ou ough ous ra re ri se sh ship st te th the ther ti tion to tra ver ward wh "
+    "ander auf aus bei cht ei ein eit els ern eu heit ich icht ie keit lich lung pf qu rt sch tz ung vor zu nach au "
+    "ai ais ait ans aux ch des du eau elle ette eur eux ez ier ieux ill ir le les oi oir ont our ouv pa pas que qui tre un ur vi "
+    "ado ancia ar as cion dad ente ero est iendo ido lla las los mento os para por ro rra ue"
+).split()
 BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
