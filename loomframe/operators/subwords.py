@@ -15,6 +15,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,12 +93,18 @@ def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+_sent: dict[tuple[str, int], Broadcast] = {}
+
+
 def encoder(tokens: DataFrame):
-    """A column function from texts to arrays of token ids."""
-    rows = tokens.limit(MOST_TOKENS + 1).collect()
-    if len(rows) > MOST_TOKENS:
-        raise ValueError(f"a vocabulary has {MOST_TOKENS} tokens at most")
-    ranks = tokens.sparkSession.sparkContext.broadcast({bytes(r["token"]): r["id"] for r in rows})
+    """A column function from texts to arrays of token ids. A vocabulary is read and sent once in an application."""
+    context = tokens.sparkSession.sparkContext
+    known_as = (context.applicationId, tokens.semanticHash())
+    if (ranks := _sent.get(known_as)) is None:
+        rows = tokens.limit(MOST_TOKENS + 1).collect()
+        if len(rows) > MOST_TOKENS:
+            raise ValueError(f"a vocabulary has {MOST_TOKENS} tokens at most")
+        ranks = _sent[known_as] = context.broadcast({bytes(r["token"]): r["id"] for r in rows})
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

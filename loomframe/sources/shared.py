@@ -38,15 +38,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Removes what scratch paths hold when Python ends; what Spark no longer reaches then stays."""
+    for spark, path in _scratch:
+        try:
+            remove(spark, path)
+        except Exception:  # the session may be gone
+            if path.startswith("file:"):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; in local mode without it, in a temporary one."""
+    """A new path in the folder of spark.checkpoint.dir, removed when Python ends; in local mode without it, in a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _local_dir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"))
+    return _scratch[-1][1]
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
