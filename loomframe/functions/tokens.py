@@ -25,6 +25,11 @@ def open_with(ids: Column, bos: int) -> Column:
     return F.when((F.size(ids) == 0) | (F.try_element_at(ids, F.lit(1)) != bos), F.concat(F.array(F.lit(bos)), ids)).otherwise(ids)
 
 
+def open_once(ids: Column, text: Column, bos_text: str, bos: int) -> Column:
+    """Opened unless the text, whose tokens these are, begins with the opening's own text: a template may have written it."""
+    return F.when(F.coalesce(F.startswith(text, F.lit(bos_text)), F.lit(False)), ids).otherwise(open_with(ids, bos))
+
+
 def pad_right(ids: Column, n: int, pad: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(pad), F.greatest(F.lit(n) - F.size(ids), F.lit(0))))
 

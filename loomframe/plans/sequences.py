@@ -147,6 +147,17 @@ def tok_pack_best_fit(spark: SparkSession, d: str) -> DataFrame:
     return sequences.pack_best_fit(docs, "doc_id", "size", 8192)
 
 
+OPENED_SQL = "(SELECT conv_id, turn, CASE WHEN role = 'user' THEN '<s>' ELSE '' END || text AS text FROM conversations)"
+
+
+@query(f"SELECT conv_id, turn, array_to_string((CASE WHEN starts_with(text, '<s>') THEN s ELSE list_prepend(-2, s) END)[1:6], ',') AS opened FROM {with_ids(OPENED_SQL, s='text')}")
+def tok_open_once(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that a template has opened are not opened again."""
+    ids = subwords.encoder(subwords.vocabulary(spark))
+    t = table(spark, d, "conversations").withColumn("text", F.concat(F.when(F.col("role") == "user", "<s>").otherwise(""), "text"))
+    return t.select("conv_id", "turn", *joined(opened=K.keep_first(K.open_once(ids(F.col("text")), F.col("text"), "<s>", -2), 6)))
+
+
 LOGP_SQL = "(SELECT l_orderkey AS k, l_partkey AS q, [-l_tax, -l_discount, -l_quantity / 50.0] AS p, [-l_discount - 0.1, -l_tax - 0.2, -l_quantity / 40.0] AS q2, l_linenumber FROM lineitem)"
 LSE = "(list_max({0}) + ln(list_sum(list_transform({0}, lambda x: exp(x - list_max({0}))))))"
 
