@@ -110,9 +110,12 @@ def add_at(values: Column, position: Column, amount: Column) -> Column:
 
 
 def scatter(mask: Column, values: Column, pad: float = 0.0) -> Column:
-    """The values in order at the ones of a mask, padding elsewhere."""
-    seen = F.transform(mask, lambda m, i: F.aggregate(F.slice(mask, F.lit(1), i + 1), F.lit(0), lambda t, x: t + x))
-    return F.zip_with(mask, seen, lambda m, k: F.when(m == 1, F.get(values, k - 1)).otherwise(F.lit(pad)))
+    """The values in order at the ones of a mask, padding elsewhere; ones beyond the values' end have null."""
+    places = lambda on: F.filter(F.transform(mask, lambda m, i: F.when(F.coalesce(m == 1, F.lit(False)) == on, i)), lambda x: x.isNotNull())
+    ones = places(True)
+    filled = F.zip_with(ones, F.slice(values, F.lit(1), F.size(ones)), lambda i, v: F.struct(i.alias("i"), (v * 1.0).alias("v")))
+    padded = F.transform(places(False), lambda i: F.struct(i.alias("i"), F.lit(float(pad)).alias("v")))
+    return F.transform(F.array_sort(F.concat(filled, padded)), lambda x: x["v"])
 
 
 def flush_left(ids: Column, pad: int, limit: int) -> Column:

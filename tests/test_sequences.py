@@ -85,3 +85,16 @@ def test_rank_align_tasks_are_even(spark):
     df = spark.range(40_000).select(F.lit(0).alias("b"), (F.col("id") % 3).cast("double").alias("x"), F.col("id").cast("double").alias("y"))
     d = S.tied(df).repartitionByRange(8, "b", "x", "_tie").groupBy(F.spark_partition_id()).count().collect()
     assert max(x["count"] for x in d) < 2 * 40_000 / 8
+
+
+def test_scatter_is_not_quadratic(spark):
+    import time
+
+    from loomframe.functions import tokens as K
+
+    df = spark.createDataFrame([([1, 0, 1, 1, None], [5.0, 6.0]), ([], [1.0]), ([0, 0], []), ([1], [7.0, 8.0])], "m array<int>, v array<double>")
+    assert [x[0] for x in df.select(K.scatter(F.col("m"), F.col("v"), -1.0)).collect()] == [[5.0, -1.0, 6.0, None, -1.0], [], [-1.0, -1.0], [7.0]]
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda x: (x % 3 == 0).cast("int")).alias("m"), F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda x: x * 1.0).alias("v"))
+    began = time.perf_counter()
+    out = long.select(K.scatter(F.col("m"), F.col("v"))).first()[0]
+    assert time.perf_counter() - began < 60 and [x for x in out if x] == [float(k) for k in range(1, 33_334)]
