@@ -278,7 +278,8 @@ def udf_embedding(spark: SparkSession, d: str) -> DataFrame:
 def str_stateless(spark: SparkSession, d: str) -> DataFrame:
     """The stateless operators on a stream of files: formatting, normalising and the length filter."""
     schema = table(spark, d, "conversations").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    # a stream takes a folder or a pattern; the table may be a folder of files or one file
+    stream = spark.readStream.schema(schema).parquet(f"{d}/conversations.parque[t]")
     out = stream.filter(F.length("text") <= 400).select("conv_id", "turn", X.normalize(F.col("text")).alias("norm"), X.inst_prompt(F.col("text")).alias("inst"))
     path = scratch_path(spark, "stream")
     running = out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()

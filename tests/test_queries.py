@@ -321,3 +321,13 @@ def test_format_must_give_an_array(spark):
     df = spark.createDataFrame([(1, "a")], "i int, t string")
     with pytest.raises(ValueError, match="array"):
         hooks.formatted(df, lambda x: x.t, ["i"])
+
+
+def test_stateless_stream_reads_a_folder(spark, tmp_path):
+    """The table may be a folder of several files, as large ones are."""
+    spark.read.parquet(f"{SF}/conversations.parquet").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = duck.sql(f"select conv_id, turn, norm, inst from ({oracles()['str_stateless']})").fetchall()
+    got = queries()["str_stateless"](spark, str(tmp_path)).select("conv_id", "turn", "norm", "inst").collect()
+    assert want and bag(map(tuple, got)) == bag(want)
