@@ -1,4 +1,9 @@
-"""Groups of near copies: candidates by bands of min-hashes, checked by shingle similarity.
+"""Groups of near copies: candidates by SimHash anchors and by bands of min-hashes, checked by shingle similarity.
+
+Fingerprints of three-word shingles within three bits are linked by the anchors of covering codes
+(``simhash.anchor_links``); texts of one fingerprint are linked to the least of them, linked fingerprints
+by theirs. Fingerprints reach the closest copies only, and a link stands for others that it joins, so
+bands find what the anchors leave.
 
 A text is the set of its runs of five words. Under a random order of all shingles two sets share
 their smallest with the probability of their similarity (Jaccard), whatever their sizes. A band is
@@ -6,10 +11,10 @@ the hash of ``ROWS`` such least shingles, and each text goes to the buckets of i
 Texts with a similarity of 0.8 miss each other in all of them in 3 cases of 100,000, more similar ones
 less often, long texts no more often than short ones, and tables of every size are treated alike.
 
-Texts that meet in a bucket are candidates. They are checked by exact similarity in rounds:
+Texts that an anchor links or that meet in a bucket are candidates. They are checked by exact similarity in rounds:
 
-1. Each text is checked against the least one of each of its buckets. That is linear in a bucket's
-   texts, and joins most groups; those that pass are united.
+1. Each text is checked along its anchors' links and against the least one of each of its buckets. That
+   is linear in the texts, and joins most groups; those that pass are united.
 2. Buckets of three or more texts that still hold several groups are crowded: by families of which
    no text is in the middle, or by a passage that many texts share and that makes much of them, but
    not 0.8. Their texts meet again by prefix: the shingles of a set are put in order, those first that
@@ -44,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm._shared import discard, materialize, sendable
-from loomframe.llm.simhash import LOWER, SEED, components
+from loomframe.llm.simhash import LOWER, SEED, anchor_links, code_for, components, fingerprint
 
 #: A-Z in lower case, white space as a space.
 PLAIN = bytes(32 if chr(x) in " \t\n\v\f\r" else x for x in LOWER)
@@ -126,14 +131,6 @@ class Words:
         return (high - low) * back
 
 
-def set_fingerprint(s: np.ndarray) -> int:
-    """SimHash: the bits that are set in over half of the set's hashes, as a signed long; zero for the empty set."""
-    bits = np.zeros(64, np.int64)
-    for k in range(0, len(s), 1 << 16):
-        bits += np.unpackbits(s[k : k + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(s)).view(np.int64)[0])
-
-
 def bands(s: np.ndarray) -> np.ndarray:
     """The band hashes of a set, as signed longs; the empty set has none."""
     if not len(s):
@@ -223,6 +220,22 @@ def meetings(nodes: DataFrame) -> DataFrame:
     return placed.join(least, "key").select("key", "n", "v", "size")
 
 
+def anchored(nodes: DataFrame) -> DataFrame:
+    """Pairs (``u``, ``v``) of nodes that the anchors link: equal fingerprints as a star, linked ones by their least nodes."""
+    firsts = nodes.groupBy("fp").agg(F.min("n").alias("v"), F.count(F.lit(1)).alias("size"))
+    firsts = materialize(firsts, "firsts")
+    links = anchor_links(firsts.select("fp"), kind=code_for(firsts.count()))
+    shared = sendable(firsts.filter("size > 1").select("fp", "v"))
+    equal = nodes.select("n", "fp").join(shared, "fp").filter("n != v").select(F.col("n").alias("u"), "v")
+    ends = links
+    for end in "uv":
+        ends = ends.join(firsts.select(F.col("fp").alias(end), F.col("v").alias("_" + end)), end)
+    across = ends.select(F.greatest("_u", "_v").alias("u"), F.least("_u", "_v").alias("v"))
+    out = materialize(equal.unionByName(across), "anchored")
+    discard(nodes.sparkSession, firsts, links)
+    return out
+
+
 def crowded_links(sets: DataFrame, similarity: float, cell_size: int = CELL_SIZE) -> DataFrame:
     """Links (``u``, ``v``) that join similar sets of different groups. sets: ``family``, ``n``, ``grp``, ``shingles`` in the common order.
 
@@ -346,8 +359,10 @@ def checked_links(texts: DataFrame, nodes: DataFrame, similarity: float, shingle
     """(``u``, ``root``) of the groups that the similar pairs of nodes form."""
     spark = nodes.sparkSession
     met = materialize(meetings(nodes), "met")
-    # in the first round each text is checked against the least of its buckets
-    tested = materialize(met.filter("n != v").select(F.col("n").alias("u"), "v").distinct(), "pairs")
+    # in the first round each text is checked along its anchors' links and against the least of its buckets
+    near = anchored(nodes)
+    tested = materialize(met.filter("n != v").select(F.col("n").alias("u"), "v").unionByName(near).distinct(), "pairs")
+    discard(spark, near)
     sets = sets_of(texts, nodes, tested.select(F.explode(F.array("u", "v")).alias("n")).distinct(), shingle)
     passed = similar_links(sets, tested, similarity)
     comp = components(passed)
@@ -386,7 +401,7 @@ def near_copy_groups(
         for t in text:
             w = Words(t)
             s = w.shingles(shingle)
-            rows.append((w.name(), set_fingerprint(s), bands(s)))
+            rows.append((w.name(), int(np.uint64(fingerprint(t)).view(np.int64)), bands(s)))
         return pd.DataFrame(rows, columns=["name", "fp", "bands"])
 
     described_rows = texts.select("id", F.xxhash64("text").alias("h"), described("text").alias("d")).select("id", "h", "d.*")

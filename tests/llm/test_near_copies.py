@@ -176,3 +176,20 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((x.doc_id or 0, (x.text or "")[:6].lower()) for x in kept.collect()) == [(0, "q r"), (1, ""), (3, "a  b"), (3, "x y z"), (5, "long l")]
     assert simhash.keep_one(docs.limit(0), grouping=near_copies.near_copy_groups).count() == 0
+
+
+def test_anchors_bring_candidates(spark, monkeypatch):
+    """Without a bucket in common, copies within three bits still meet by the anchors; what they bring is checked."""
+    monkeypatch.setattr(near_copies, "bands", lambda s: np.zeros(0, np.int64))
+    r = random.Random(4)
+    rows = []
+    for k in range(30):
+        w = [f"t{k}w{j}" for j in range(400)]
+        rows += [" ".join(w), edited(r, w, 1)]
+    # a phrase said over and over makes the fingerprint, the rest the set of runs
+    rows += ["x y z " * 100 + " ".join(f"{e}{j}" for j in range(20)) for e in "uv"]
+    bits = lambda k: (simhash.fingerprint(rows[k]) ^ simhash.fingerprint(rows[k + 1])).bit_count()
+    near = [k for k in range(0, 60, 2) if bits(k) <= 3]
+    got = found(spark, list(enumerate(rows)))
+    assert len(near) > 10 and all(got[k] == got[k + 1] == k for k in near)
+    assert bits(60) == 0 and got[60] == 60 and got[61] == 61
