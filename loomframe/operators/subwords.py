@@ -10,7 +10,7 @@ A null text has no tokens; decoding gives back every text that was encoded, byte
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -27,6 +27,8 @@ VOCABULARY = "file:///opt/tokenizers/byte_bpe_50k.tiktoken"
 MOST_TOKENS = 1_000_000
 #: Pieces that a task remembers at most.
 REMEMBERED = 200_000
+#: Pieces whose tokens a task lays out at once; a row of more is laid out alone.
+HELD = 1 << 17
 #: Bytes of a piece up to which all its pairs are looked through for each merge.
 SHORT = 128
 NEVER = 1 << 60
@@ -93,6 +95,25 @@ def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def laid_out(texts: pa.ListArray, of: Callable[[str], list[int]]) -> Iterator[pa.ListArray]:
+    """The ids of rows of pieces, some rows after others: what is held grows with ``HELD`` and the longest row, not with the batch."""
+    bounds, a = texts.offsets.to_numpy(), 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + HELD, "right")) - 1)
+        rows = texts.slice(a, b - a)
+        # each distinct piece of these rows is merged or looked up once, then ids are laid out by places
+        coded = rows.flatten().dictionary_encode()
+        tokens_of = [of(p) for p in coded.dictionary.to_pylist()]
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        counts = np.array([len(t) for t in tokens_of], dtype=np.int64)
+        pool = np.array([i for t in tokens_of for i in t], dtype=np.int32)
+        begins, n = np.cumsum(counts) - counts, counts[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(ends[-1]) + np.repeat(begins[which] - ends[:-1], n)
+        yield pa.ListArray.from_arrays(pa.array(ends[bounds[a : b + 1] - bounds[a]], pa.int32()), pa.array(pool[at]))
+        a = b
+
+
 _sent: dict[tuple[str, int], Broadcast] = {}
 
 
@@ -118,17 +139,7 @@ def encoder(tokens: DataFrame):
             return found
 
         for texts in batches:
-            # each distinct piece of a batch is merged or looked up once, then ids are laid out by places
-            coded = texts.flatten().dictionary_encode()
-            tokens_of = [of(p) for p in coded.dictionary.to_pylist()]
-            which = coded.indices.to_numpy(zero_copy_only=False)
-            counts = np.array([len(t) for t in tokens_of], dtype=np.int64)
-            pool = np.array([i for t in tokens_of for i in t], dtype=np.int32)
-            begins, n = np.cumsum(counts) - counts, counts[which]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            at = np.arange(ends[-1]) + np.repeat(begins[which] - ends[:-1], n)
-            offsets = texts.offsets.to_numpy()
-            yield pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]], pa.int32()), pa.array(pool[at]))
+            yield from laid_out(texts, of)
 
     return lambda text: ids(pieces(text))
 

@@ -75,3 +75,27 @@ def test_empty_steps_and_tight_limits(spark):
     assert one.select(K.step_labels(F.col("s"), F.col("y"))).first()[0] == [-100, 1, 0]
     fit = one.select(K.fit_pair(F.col("p"), F.col("a"), 2, 3).alias("x")).first().x
     assert (fit.prompt, fit.answer) == ([5, 6, 7], [])
+
+
+def test_what_is_held_does_not_grow_with_a_batch(monkeypatch):
+    """Rows are laid out some at a time, in order; a long row alone."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    of = lambda p: [len(p), 7]
+    rows = [["a", "bb"], [], ["ccc"] * 9, ["a"], [], [], ["bb", "a", "bb"]]
+    for held in (1, 3, 100):
+        monkeypatch.setattr(subwords, "HELD", held)
+        for skip in (0, 2):
+            parts = list(subwords.laid_out(pa.array(rows, pa.list_(pa.string())).slice(skip), of))
+            assert [x for p in parts for x in p.to_pylist()] == [[i for p in r for i in of(p)] for r in rows[skip:]]
+        assert len(parts) == {1: 3, 3: 3, 100: 1}[held]
+    monkeypatch.undo()
+    big = pa.array([["word"] * 1000] * 1500, pa.list_(pa.string()))
+    tracemalloc.start()
+    assert sum(len(p) for p in subwords.laid_out(big, of)) == 1500
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all at once took over 80 MB in numpy alone
+    assert peak < 20 << 20
