@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.scores import sigmoid
 from loomframe.operators.ordering import join_safe
+from loomframe.sources.shared import store
 
 #: Parts that a context's ids are dealt to by hash.
 PARTS = 32
@@ -38,10 +39,26 @@ def bigrams(df: DataFrame, keys: list[str], ids: str) -> DataFrame:
     return df.select(*keys, F.posexplode(both).alias("pos", "_x")).select(*keys, "pos", "_x.context", "_x.id")
 
 
-def bigram_model(df: DataFrame, ids: str) -> DataFrame:
+def bigram_counts(df: DataFrame, ids: str, **subsets: Column) -> DataFrame:
+    """``context``, ``id`` and how often they follow, as ``n``, and within each subset of the rows, by its name; written once.
+
+    The rows' tokens are made once for all models of them, and no model counts them again.
+    """
+    names = list(subsets)
+    tokens = bigrams(df.select(ids, *[c.alias(k) for k, c in subsets.items()]), names, ids)
+    counts = tokens.groupBy("context", "id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(k)).alias(k) for k in names])
+    return store(counts, "bigrams")
+
+
+def model_of_counts(counts: DataFrame, n: str = "n") -> DataFrame:
     """A model of next tokens: ``context``, ``id`` and ``logp``, of counts; ids never seen after a context have no row."""
-    counts = bigrams(df, [], ids).groupBy("context", "id").agg(F.count(F.lit(1)).alias("n"))
-    return log_softmax(counts.select("context", "id", F.log(F.col("n").cast("double")).alias("logit")), ["context"], "logit").drop("logit")
+    seen = counts.filter(F.col(n) > 0).select("context", "id", F.log(F.col(n).cast("double")).alias("logit"))
+    return log_softmax(seen, ["context"], "logit").drop("logit")
+
+
+def bigram_model(df: DataFrame, ids: str) -> DataFrame:
+    """The model of a table's arrays of ids."""
+    return model_of_counts(bigram_counts(df, ids))
 
 
 def sequence_sums(tokens: DataFrame, keys: list[str], policy: DataFrame, reference: DataFrame) -> DataFrame:

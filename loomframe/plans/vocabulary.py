@@ -24,7 +24,8 @@ r AS (SELECT context, id, x - max(x) OVER w - ln(sum(exp(x)) OVER w / exp(max(x)
 def models(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ids = subwords.encoder(subwords.vocabulary(spark))
     docs = table(spark, d, "documents").select("lang", ids(F.col("text")).alias("s"))
-    return vocabulary.bigram_model(docs, "s"), vocabulary.bigram_model(docs.filter("lang = 'en'"), "s")
+    counts = vocabulary.bigram_counts(docs, "s", english=F.col("lang") == "en")
+    return vocabulary.model_of_counts(counts), vocabulary.model_of_counts(counts, "english")
 
 
 @query(f"""WITH {MODELS_SQL}

@@ -144,3 +144,18 @@ def test_bigram_sums(spark):
     tokens = vocabulary.bigrams(spark.createDataFrame([("a", [1, 2, 9, 1, 3]), ("b", [5])], "k string, s array<int>"), ["k"], "s")
     x = vocabulary.sequence_sums(tokens, ["k"], model, model).collect()
     assert len(x) == 1 and x[0].n == 2 and math.isclose(x[0].logp, math.log(2 / 9)) and x[0].kl == 0
+
+
+def test_models_of_one_count(spark):
+    """Rows are counted once for all models; a subset's model is that of its rows alone."""
+    from pyspark.sql import functions as F
+
+    from loomframe.operators import vocabulary
+
+    docs = spark.createDataFrame([("en", [1, 2, 1, 3]), ("de", [1, 2, 2]), (None, [3, 1, 2]), ("en", [5]), ("en", None)], "lang string, s array<int>")
+    counts = vocabulary.bigram_counts(docs, "s", english=F.col("lang") == "en")
+    read = lambda m: sorted((x.context, x.id, round(x.logp, 9)) for x in m.collect())
+    assert read(vocabulary.model_of_counts(counts)) == read(vocabulary.bigram_model(docs, "s"))
+    assert read(vocabulary.model_of_counts(counts, "english")) == read(vocabulary.bigram_model(docs.filter("lang = 'en'"), "s"))
+    # the counts are read, the rows' tokens are not made again
+    assert "Generate" not in vocabulary.model_of_counts(counts)._jdf.queryExecution().toString()
