@@ -20,6 +20,8 @@ CONTAINER_SHARES = (
 TOOL_SHARES = (("register", 0.25), ("ls", 0.20), ("scan", 0.10), ("current", 0.15), ("cleanup", 0.15), ("shell-hook", 0.05), ("stats", 0.10))
 #: Range of the shift of a confidence (fixed values).
 JITTER = (-0.03, 0.02)
+#: Names that one task crosses with the patterns, and texts that one task tells apart.
+NAMES_A_TASK, TEXTS_A_TASK = 4096, 1 << 18
 
 
 #: Ways to ask for something; the pools of a container corpus cross them with the rules below.
@@ -131,13 +133,37 @@ def pool(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, k int, instruction string, command string")
 
 
-def named_pool(names: DataFrame) -> DataFrame:
-    """``kind``, ``instruction``, ``command``: the patterns without a name once, the others with each ``name`` of a table."""
+def named_pool(names: DataFrame, weight: str | None = None) -> DataFrame:
+    """``kind``, ``instruction``, ``command``: the patterns without a name once, the others with each ``name`` of a table.
+
+    ``weight``: a column of the names that their rows keep; 1 for patterns without a name. A task crosses
+    about NAMES_A_TASK names, whatever files they come from.
+    """
     patterns = names.sparkSession.createDataFrame(container_patterns(), "kind string, instruction string, command string, named boolean")
     filled = [fill(F.col(c), name=F.col("name")).alias(c) for c in ("instruction", "command")]
+    kept = [weight] if weight else []
+    spread = names.select("name", *kept).repartition(max(1, -(-names.count() // NAMES_A_TASK)))
     # the patterns are a table of fixed size
-    crossed = names.select("name").crossJoin(F.broadcast(patterns.filter("named")))
-    return patterns.filter("not named").drop("named").unionByName(crossed.select("kind", *filled))
+    crossed = spread.crossJoin(F.broadcast(patterns.filter("named"))).select("kind", *filled, *kept)
+    return patterns.filter("not named").select("kind", "instruction", "command", *[F.lit(1).cast("long").alias(w) for w in kept]).unionByName(crossed)
+
+
+def pool_sizes(names: DataFrame) -> DataFrame:
+    """Per kind the pairs ``n`` of its pool with each name, and the distinct commands and instructions among them.
+
+    Equal names are crossed once. Texts are told apart in tasks of about TEXTS_A_TASK, so no task's memory
+    grows with the names.
+    """
+    pools = named_pool(names.groupBy("name").agg(F.count(F.lit(1)).alias("weight")), "weight")
+    texts = pools.select("kind", "weight", F.inline(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("text")) for c in ("command", "instruction")])))
+    named = sum(r[3] for r in container_patterns())
+    tasks = 1 + 2 * named * names.count() // TEXTS_A_TASK
+    key = ("kind", "what", "text")
+    seen = texts.repartition(tasks, *key).groupBy(*key).agg(F.sum("weight").alias("weight"))
+    command, instruction = (F.col("what") == c for c in ("command", "instruction"))
+    return seen.groupBy("kind").agg(
+        F.sum(F.when(command, F.col("weight"))).alias("n"), F.count(F.when(command, F.col("text"))).alias("n_commands"), F.count(F.when(instruction, F.col("text"))).alias("n_instructions")
+    )
 
 
 def sample_pools(pools: DataFrame, shares: DataFrame, n: int, seed: str, key: Column | None = None) -> DataFrame:

@@ -46,8 +46,7 @@ def gen_container_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT kind, count(*) AS n, count(DISTINCT command) AS n_commands, count(DISTINCT instruction) AS n_instructions FROM {POOLS_SQL} GROUP BY kind")
 def gen_container_pools(spark: SparkSession, d: str) -> DataFrame:
-    pools = generation.named_pool(services(spark, d))
-    return pools.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("command").alias("n_commands"), F.countDistinct("instruction").alias("n_instructions"))
+    return generation.pool_sizes(services(spark, d))
 
 
 @query(f"SELECT 'Translate this to a docker command: ' || instruction AS instruction, '' AS input, command AS output FROM ({CONTAINER_SQL})")

@@ -331,3 +331,27 @@ def test_stateless_stream_reads_a_folder(spark, tmp_path):
     want = duck.sql(f"select conv_id, turn, norm, inst from ({oracles()['str_stateless']})").fetchall()
     got = queries()["str_stateless"](spark, str(tmp_path)).select("conv_id", "turn", "norm", "inst").collect()
     assert want and bag(map(tuple, got)) == bag(want)
+
+
+def test_named_pools_are_spread(spark):
+    """Names of one partition are crossed by many tasks, and texts told apart by many; repeated and null names count as rows."""
+    from loomframe.operators import generation as G
+
+    names = [f"n{k % 5000}" for k in range(10_000)] + [None, None]
+    df = spark.createDataFrame([(n,) for n in names], "name string").coalesce(1)
+    sizes = G.named_pool(df).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    patterns = G.container_patterns()
+    named = sum(r[3] for r in patterns)
+    assert sum(sizes) == len(patterns) - named + named * len(names)
+    assert max(sizes) <= 1.1 * G.NAMES_A_TASK * named
+
+    pairs = [(k, i, c) for k, i, c, has in patterns if not has]
+    pairs += [(k, *(n and x.replace("{name}", n) for x in (i, c))) for k, i, c, has in patterns if has for n in names]
+    want = {}
+    for k, i, c in pairs:
+        n, commands, instructions = want.setdefault(k, [0, set(), set()])
+        want[k][0] = n + 1
+        commands.add(c)
+        instructions.add(i)
+    got = G.pool_sizes(df)
+    assert {tuple(r) for r in got.collect()} == {(k, n, len(c - {None}), len(i - {None})) for k, (n, c, i) in want.items()}
