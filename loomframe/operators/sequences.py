@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 from math import log10
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from loomframe.operators.ordering import crowded, join_safe, places, running_totals, tied
+from loomframe.sources.shared import store
 
 #: A group of more rows is spread over tasks.
 GROUP_ROWS = 50_000
@@ -63,36 +69,67 @@ def _block(factor: float) -> int:
     return 128 if factor == 1 else max(2, min(128, int(200 / abs(log10(factor)))))
 
 
-def _discounted(df: DataFrame, by: list[str], place: str, value: str, factor: float, name: str, most: int) -> DataFrame:
-    """df with the sum over each row and those after it of value * factor ** distance.
-
-    ``place``: dense from 0 in each group, below ``most``. A block of rows is one step of the same
-    recursion with the factor's power, as only a group's last block can be short, so blocks are summed
-    by the same function, level by level, and no task holds a group.
+def _scan(gamma: float, factor: float, reward: str, value: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over rows by ``_g``, the last step of a group first: ``_a``, the advantage over the steps of the same task, and ``_k``, their count before it."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, place, advantage, after = None, 0, 0.0, 0.0  # of the row before
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            g = b.column("_g").to_numpy()
+            r, v = b.column(reward), b.column(value)
+            known = pc.and_(r.is_valid(), v.is_valid()).to_numpy(zero_copy_only=False)
+            r, v = (x.cast(pa.float64()).fill_null(0.0).to_numpy() for x in (r, v))
+            new = np.append(group is None or g[0] != group, g[1:] != g[:-1])
+            at = np.arange(n)
+            k = at - np.maximum.accumulate(np.where(new, at, -place - 1))
+            a = np.where(known, r + gamma * np.where(new, 0.0, np.append(after, v[:-1])) - v, 0.0)
+            if not new[0]:
+                a[0] += factor * advantage
+            # after a round with s each row holds the sum over 2 * s steps
+            reach, s, power = np.minimum(k, at), 1, factor
+            while s <= reach.max():
+                a = np.append(a[:s], a[s:] + np.where(reach[s:] >= s, power * a[:-s], 0.0))
+                s, power = 2 * s, power * power
+            group, place, advantage, after = g[-1], k[-1], a[-1], v[-1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k), pa.array(a)], names=[*b.schema.names, "_k", "_a"])
+
+    return scan
+
+
+def _carries(d: DataFrame, known: Column, value: Column, gamma: float, factor: float) -> DataFrame:
+    """``_c`` for each ``_g`` and ``_part`` of a group over several tasks: what the steps behind the task's add to its first row's advantage.
+
+    A row k places on gets factor ** k of it. Tasks hold ranges, so these are fewer than two rows for each task.
     """
-    if factor == 0:
-        return df.withColumn(name, F.coalesce(value, F.lit(0.0)))
-    size = _block(factor)
-    d = df.withColumns({"_b": F.floor(F.col(place) / size), "_k": F.col(place) % size})
-    power = F.pow(F.lit(factor), F.col("_k").cast("double"))
-    back = Window.partitionBy(*by, "_b").orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_s", F.coalesce(F.sum(F.col(value) * power).over(back), F.lit(0.0)) / power)
-    if most <= size:
-        return d.withColumn(name, F.col("_s")).drop("_b", "_k", "_s")
-    blocks = d.groupBy(*by, "_b").agg(F.coalesce(F.sum(F.col(value) * power), F.lit(0.0)).alias("_value"))
-    blocks = _discounted(blocks.withColumnRenamed("_b", "_place"), by, "_place", "_value", factor**size, "_next", -(-most // size))
-    ahead = blocks.select(*by, (F.col("_place") - 1).alias("_b"), F.col("_next").alias("_ahead"))
-    d = join_safe(d, ahead, [*by, "_b"], "left")
-    carried = F.pow(F.lit(factor), (size - F.col("_k")).cast("double")) * F.coalesce("_ahead", F.lit(0.0))
-    return d.withColumn(name, F.col("_s") + carried).drop("_b", "_k", "_s", "_ahead")
+    runs = d.groupBy("_g", "_part").agg(F.max("_k").alias("n"), F.max_by("_a", "_k").alias("a"), F.max_by(value, "_k").alias("v"), F.min_by(known, "_k").alias("known"))
+    # as many as there are tasks at most
+    runs = runs.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_part", "n", "a", "v", "known"))).alias("_runs")).filter(F.size("_runs") > 1)
+
+    def carry(ahead: Column, run: Column) -> Column:
+        return F.when(run["known"], gamma * ahead["v"]).otherwise(0.0) + factor * ahead["a"]
+
+    def step(ahead: Column, run: Column) -> Column:
+        c = carry(ahead, run)
+        return F.struct(_carried(run["a"], c, factor, run["n"]).alias("a"), F.coalesce(run["v"], F.lit(0.0)).alias("v"), F.concat(ahead["out"], F.array(F.struct(run["_part"].alias("_part"), c.alias("_c")))).alias("out"))
+
+    none = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("v"), F.array().cast("array<struct<_part:int,_c:double>>").alias("out"))
+    return runs.select("_g", F.inline(F.aggregate("_runs", none, step, lambda x: x["out"])))
+
+
+def _carried(own: Column, carry: Column, factor: float, k: Column) -> Column:
+    # a power that is infinite must not meet a carry of 0
+    return F.when(F.coalesce(carry, F.lit(0.0)) == 0, own).otherwise(own + F.pow(F.lit(factor), k.cast("double")) * carry)
 
 
 def gae(df: DataFrame, group: str, order: list[str], reward: str, value: str, gamma: float, lam: float) -> DataFrame:
     """``advantage`` and ``returns`` of each step by the backward recursion A(t) = d(t) + gamma * lam * A(t + 1).
 
-    Each step maps the advantage behind it to its own; the maps of a block of steps make one map, so
-    groups of any length are scanned block by block over many tasks, in work linear in the steps.
-    Groups of at most one block are summed where they stand. A null reward or value counts 0.
+    Longer groups are dealt out once, by ranges of their steps from the last on, scanned by each task and
+    written; what the steps behind a task's add to its own is one number for each group in it, which a
+    broadcast brings. Groups of at most one block are summed where they stand. A null reward or value counts 0.
     """
     g = gamma * lam
     if g < 0:
@@ -120,14 +157,14 @@ def gae(df: DataFrame, group: str, order: list[str], reward: str, value: str, ga
     long = crowded(df, [group], size)
     if long is None:
         return short(df)
-    d = places(join_safe(df, long.select(group), [group], "left_semi"), [group], order, place="_t")
-    # a block's last step needs the value of the next block's first
-    first = d.filter(F.col("_t") % size == 0).select(group, (F.floor(F.col("_t") / size) - 1).alias("_c"), F.col(value).alias("_after"))
-    d = join_safe(d.withColumn("_c", F.floor(F.col("_t") / size)), first, [group, "_c"], "left")
-    within = Window.partitionBy(group, "_c").orderBy("_t")
-    d = d.withColumn("_d", delta(F.when(F.col("_t") % size == size - 1, F.col("_after")).otherwise(F.lead(value).over(within))))
-    most = long.agg(F.max("count")).first()[0]
-    d = _discounted(d.drop("_c", "_after"), [group], "_t", "_d", g, "advantage", most)
+    long = store(long.select(group, F.monotonically_increasing_id().alias("_g")), "numbered")
+    back = ["_g", *[F.desc(c) for c in order]]
+    d = join_safe(df, long, [group]).repartitionByRange(*back).sortWithinPartitions(*back).withColumn("_part", F.spark_partition_id())
+    scanned = StructType([*d.schema.fields, StructField("_k", LongType()), StructField("_a", DoubleType())])
+    d = store(d.mapInArrow(_scan(gamma, g, reward, value), scanned), "scanned")
+    known = F.col(reward).isNotNull() & F.col(value).isNotNull()
+    d = d.join(F.broadcast(_carries(d, known, F.col(value).cast("double"), gamma, g)), ["_g", "_part"], "left")
+    d = d.withColumn("advantage", _carried(F.col("_a"), F.col("_c"), g, F.col("_k")))
     return done(d).unionByName(short(join_safe(df, long.select(group), [group], "left_anti")))
 
 

@@ -242,7 +242,7 @@ a AS (SELECT t.t, sum(x.d * 0.35 ** j) AS adv FROM t JOIN k ON true JOIN t x ON
 SELECT l_orderkey, l_partkey, l_linenumber, round(adv, 7) + 0.0 AS advantage FROM t JOIN a ON a.t = t.t""")
 def win_gae_whole(spark: SparkSession, d: str) -> DataFrame:
     """The whole table is one trajectory."""
-    t = logps(spark, d).withColumn("run", F.lit(0))
+    t = logps(spark, d).select(F.lit(0).alias("run"), *KEYS, "reward", "value", "pc", "pr")
     g = sequences.gae(t, "run", ["l_orderkey", "l_linenumber", "l_partkey", "reward", "value", "pc", "pr"], "reward", "value", 0.5, 0.7)
     return g.select(*KEYS, *rounded({"advantage": F.col("advantage")}, 7))
 

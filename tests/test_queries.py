@@ -355,3 +355,45 @@ def test_named_pools_are_spread(spark):
         instructions.add(i)
     got = G.pool_sizes(df)
     assert {tuple(r) for r in got.collect()} == {(k, n, len(c - {None}), len(i - {None})) for k, (n, c, i) in want.items()}
+
+
+def test_gae_over_tasks_deals_rows_out_once(spark):
+    """Groups that end within tasks and span them, with nulls, in small batches; a wide column is shuffled once."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from loomframe.operators.sequences import gae
+
+    r = random.Random(2)
+    some = lambda: None if r.random() < 0.01 else r.random()
+    sizes = {"a": 9000, None: 4000, "b": 300, "c": 7, "d": 5000}
+    steps = [(g, t if t else None, some(), some()) for g, n in sizes.items() for t in range(n)]
+    df = spark.createDataFrame(steps, "g string, t int, r double, v double").repartition(5).withColumn("wide", F.sha2(F.concat_ws("|", "g", "t"), 512))
+    df = df.persist()
+    settings = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
+    before = {k: spark.conf.get(k) for k in settings}
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        start = written()
+        df.repartitionByRange("g", "t").write.format("noop").mode("overwrite").save()
+        once = written() - start
+        for gamma, lam in ((0.99, 0.95), (1.0, 1.0), (0.5, 1e-4), (0.9, 0.0)):
+            want, at = {}, {}
+            for g, t, x, v in reversed(steps):
+                ahead, value = at.get(g, (0.0, 0.0))
+                want[g, t] = (0.0 if x is None or v is None else x + gamma * value - v) + gamma * lam * ahead
+                at[g] = want[g, t], v or 0.0
+            start = written()
+            got = gae(df, "g", ["t"], "r", "v", gamma, lam).collect()
+            if lam:
+                assert written() - start < 1.5 * once
+            assert len(got) == len(steps)
+            assert all(math.isclose(x.advantage, want[x.g, x.t], rel_tol=1e-9, abs_tol=1e-9) for x in got)
+            assert all(x.returns is None if x.v is None else math.isclose(x.returns, x.advantage + x.v) for x in got)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        df.unpersist()
