@@ -62,9 +62,9 @@ def str_running_moments(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 5")
 def str_recent_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The last five events of each user as list state, over two starts."""
+    """The last five events of each user as list state, which users of a bucket share, over two starts."""
     path = scratch_path(spark, "recent")
     e = table(spark, d, "events").select("user_id", "ts", "event_id")
     with stateful.state_store(spark):
         in_runs(spark, e, F.pmod("event_id", F.lit(2)), 2, path, lambda s: stateful.recent_stream(s, "user_id", ["ts", "event_id"], 5).writeStream.format("noop").outputMode("update"))
-    return stateful.recent_state(spark, f"{path}/checkpoint", "user_id").select("user_id", "event_id")
+    return stateful.recent_state(spark, f"{path}/checkpoint").select("user_id", "event_id")

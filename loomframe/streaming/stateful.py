@@ -8,17 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from heapq import nlargest
+from itertools import chain
 from math import sqrt
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MOMENTS = "n long, mean double, m2 double"
+#: Keys share a state by their hash, in so many buckets.
+BUCKETS = 4096
 
 
 @contextmanager
@@ -78,37 +82,66 @@ def moments_state(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
     return s.select(F.col(f"key.{key}").alias(key), n.alias("n"), F.when(n > 0, F.col("value.mean")).alias("mean"), F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("std"))
 
 
+def _sort_key(v: Any) -> tuple[bool, bool, Any]:
+    """Nulls below all, NaN above all numbers and equal to itself, as Spark sorts."""
+    nan = v != v  # noqa: PLR0124
+    return v is not None, nan, 0 if v is None or nan else v
+
+
 class Recent(StatefulProcessor):
-    """Keeps the last rows of a key by an order as a list; those that fell out are gone from the state."""
+    """Keeps the last rows of each key of a bucket by an order as a list; those that fell out are gone from the state.
+
+    A call of the state costs more than the rows of a key, so keys share one. ``columns`` begin with the key.
+    """
 
-    def __init__(self, key: str, order: list[str], columns: list[str], schema: str, n: int):
-        self.key, self.order, self.columns, self.schema, self.n = key, order, columns, schema, n
+    def __init__(self, order: list[str], columns: list[str], schema: str, n: int):
+        self.columns, self.schema, self.n = columns, schema, n
+        self.order = [columns.index(c) for c in order]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getListState("recent", self.schema)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last = pd.DataFrame([tuple(r) for r in self.state.get()], columns=self.columns)
-        for batch in rows:
-            last = pd.concat([last, batch[self.columns]]) if len(last) else batch[self.columns]
-            last = last.sort_values(self.order, ascending=False, kind="stable").head(self.n)
-        self.state.put([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in last.itertuples(index=False)])
-        yield last.assign(**{self.key: key[0]})[[self.key, *self.columns]]
+    def last(self, rows: list[tuple]) -> list[tuple]:
+        # of equal rows the first stay
+        return nlargest(self.n, rows, key=lambda r: tuple(_sort_key(r[i]) for i in self.order))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        kept: dict[tuple, list[tuple]] = {}
+        for r in self.state.get():
+            kept.setdefault(_sort_key(r[0]), []).append(tuple(r))
+        changed = set()
+        for r in rows:
+            row = tuple(r[c] for c in self.columns)
+            k = _sort_key(row[0])
+            changed.add(k)
+            own = kept.setdefault(k, [])
+            own.append(row)
+            # so a key holds few rows more than it keeps
+            if len(own) >= 8 * self.n:
+                own[:] = self.last(own)
+        kept = {k: self.last(own) if k in changed else own for k, own in kept.items()}
+        self.state.put([r for own in kept.values() for r in own])
+        shape = Row(*self.columns)
+        for k in changed:
+            yield from (shape(*r) for r in kept[k])
 
     def close(self) -> None:
         pass
 
 
-def recent_stream(stream: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
-    """The last n rows of each key that a batch changed, in whole."""
+def recent_stream(stream: DataFrame, key: str, order: list[str], n: int, buckets: int = BUCKETS) -> DataFrame:
+    """The last n rows of each key that a batch changed, in whole; ``buckets`` stays as the stream's checkpoint began."""
     kinds = dict(stream.dtypes)
-    columns = [c for c in stream.columns if c != key]
+    columns = [key, *[c for c in stream.columns if c != key]]
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
-    return stream.groupBy(key).transformWithStateInPandas(Recent(key, order, columns, schema, n), f"{key} {kinds[key]}, {schema}", "Update", "None")
+    if kinds[key] in ("float", "double"):
+        # zero for negative zero, which hashes apart
+        stream = stream.withColumn(key, (F.col(key) + F.lit(0.0)).cast(kinds[key]))
+    bucketed = stream.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    return bucketed.groupBy("_bucket").transformWithState(Recent(order, columns, schema, n), schema, "Update", "None")
 
 
-def recent_state(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
+def recent_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """All keys' last rows as a query's checkpoint holds them."""
     s = spark.read.format("statestore").option("stateVarName", "recent").load(checkpoint)
-    kind = s.schema["list_element" if "list_element" in s.columns else "value"]
-    return s.select(F.col(f"key.{key}").alias(key), f"{kind.name}.*")
+    return s.select(("list_element" if "list_element" in s.columns else "value") + ".*")

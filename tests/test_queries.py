@@ -397,3 +397,31 @@ def test_gae_over_tasks_deals_rows_out_once(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
         df.unpersist()
+
+
+def test_recent_rows_share_states_by_bucket(spark, tmp_path):
+    """The last rows of each key over two starts, of keys that share three states; nulls, NaN, both zeros and long numbers."""
+    from loomframe.streaming import stateful
+
+    keys = [None, float("nan"), 0.0, -0.0, *map(float, range(1, 30))]
+    far = 1 << 60
+    rows = [(keys[i % len(keys)], None if i % 7 == 0 else far + i, i) for i in range(1000)]
+    schema = "k double, t long, i long"
+    with stateful.state_store(spark):
+        for part in (rows[::2], rows[1::2]):
+            spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            out = stateful.recent_stream(stream, "k", ["t", "i"], 5, buckets=3).writeStream.format("noop").outputMode("update")
+            out.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    want = {}
+    for k, t, i in rows:
+        # -0.0 is 0.0, NaN is NaN
+        want.setdefault("nan" if k != k else k, []).append((t is not None, t or 0, i))
+    want = {(str(k), x[2]) for k, v in want.items() for x in sorted(v, reverse=True)[:5]}
+    got = stateful.recent_state(spark, str(tmp_path / "checkpoint"))
+    assert got.columns == ["k", "t", "i"]
+    got = got.collect()
+    assert {(str(r.k), r.i) for r in got} == want and len(got) == len(want)
+    assert all(r.t == rows[r.i][1] for r in got)
+    states = spark.read.format("statestore").option("stateVarName", "recent").load(str(tmp_path / "checkpoint"))
+    assert states.select("key").distinct().count() <= 3
