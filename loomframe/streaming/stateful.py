@@ -13,8 +13,7 @@ from itertools import chain
 from math import sqrt
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, GroupedData, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -45,47 +44,65 @@ def merged(a: tuple[int, float, float], b: tuple[int, float, float]) -> tuple[in
     return n, a[1] + gap * b[0] / n, a[2] + b[2] + gap * gap * a[0] * b[0] / n
 
 
+def _sort_key(v: Any) -> tuple[bool, bool, Any]:
+    """Nulls below all, NaN above all numbers and equal to itself, as Spark sorts."""
+    nan = v != v  # noqa: PLR0124
+    return v is not None, nan, 0 if v is None or nan else v
+
+
 class Moments(StatefulProcessor):
-    """Merges each batch's moments of a key into its state; rows without a value count for nothing."""
+    """Merges each batch's moments of the keys of a bucket into their state; rows without a value count for nothing."""
 
-    def __init__(self, key: str, value: str):
-        self.key, self.value = key, value
+    def __init__(self, key: str, value: str, schema: str):
+        self.columns, self.schema = (key, value), schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("moments", MOMENTS)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = tuple(self.state.get()) if self.state.exists() else (0, 0.0, 0.0)
-        for batch in rows:
-            v = batch[self.value].dropna().to_numpy(dtype=float)
-            if len(v):
-                now = merged(now, (len(v), float(v.mean()), float(((v - v.mean()) ** 2).sum())))
-        self.state.update((int(now[0]), float(now[1]), float(now[2])))
-        std = sqrt(now[2] / (now[0] - 1)) if now[0] > 1 else None
-        yield pd.DataFrame({self.key: [key[0]], "n": [now[0]], "mean": [now[1] if now[0] else None], "std": [std]})
+        self.state = handle.getListState("moments", self.schema)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        now = {_sort_key(r[0]): tuple(r) for r in self.state.get()}
+        changed = set()
+        for r in rows:
+            own, v = (r[c] for c in self.columns)
+            k = _sort_key(own)
+            changed.add(k)
+            own, *moments = now.get(k, (own, 0, 0.0, 0.0))
+            # NaN is no value, as null
+            now[k] = (own, *(moments if v is None or v != v else merged(tuple(moments), (1, float(v), 0.0))))
+        self.state.put(list(now.values()))
+        shape = Row(self.columns[0], "n", "mean", "std")
+        for own, n, mean, m2 in (now[k] for k in changed):
+            yield shape(own, n, mean if n else None, sqrt(m2 / (n - 1)) if n > 1 else None)
 
     def close(self) -> None:
         pass
 
 
-def moments_stream(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """The moments of each key that a batch changed: ``n``, ``mean``, ``std``."""
+def _bucketed(stream: DataFrame, key: str, buckets: int) -> GroupedData:
+    """The rows of a stream by the bucket of their key."""
     kind = dict(stream.dtypes)[key]
-    out = f"{key} {kind}, n long, mean double, std double"
-    return stream.select(key, value).groupBy(key).transformWithStateInPandas(Moments(key, value), out, "Update", "None")
+    if kind in ("float", "double"):
+        # zero for negative zero, which hashes apart
+        stream = stream.withColumn(key, (F.col(key) + F.lit(0.0)).cast(kind))
+    return stream.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).groupBy("_bucket")
 
 
-def moments_state(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
-    """All keys' moments as a query's checkpoint holds them."""
-    s = spark.read.format("statestore").option("stateVarName", "moments").load(checkpoint)
-    n, m2 = F.col("value.n"), F.col("value.m2")
-    return s.select(F.col(f"key.{key}").alias(key), n.alias("n"), F.when(n > 0, F.col("value.mean")).alias("mean"), F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("std"))
+def moments_stream(stream: DataFrame, key: str, value: str, buckets: int = BUCKETS) -> DataFrame:
+    """The moments of each key that a batch changed: ``n``, ``mean``, ``std``; ``buckets`` stays as the stream's checkpoint began."""
+    kind = dict(stream.dtypes)[key]
+    rows = _bucketed(stream.select(key, value), key, buckets)
+    return rows.transformWithState(Moments(key, value, f"{key} {kind}, {MOMENTS}"), f"{key} {kind}, n long, mean double, std double", "Update", "None")
 
 
-def _sort_key(v: Any) -> tuple[bool, bool, Any]:
-    """Nulls below all, NaN above all numbers and equal to itself, as Spark sorts."""
-    nan = v != v  # noqa: PLR0124
-    return v is not None, nan, 0 if v is None or nan else v
+def _values(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    s = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    return s.select(("list_element" if "list_element" in s.columns else "value") + ".*")
+
+
+def moments_state(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
+    """All keys' moments as a query's checkpoint holds them."""
+    n = F.col("n")
+    return _values(spark, checkpoint, "moments").select(key, n, F.when(n > 0, F.col("mean")).alias("mean"), F.when(n > 1, F.sqrt(F.col("m2") / (n - 1))).alias("std"))
 
 
 class Recent(StatefulProcessor):
@@ -134,14 +151,9 @@ def recent_stream(stream: DataFrame, key: str, order: list[str], n: int, buckets
     kinds = dict(stream.dtypes)
     columns = [key, *[c for c in stream.columns if c != key]]
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
-    if kinds[key] in ("float", "double"):
-        # zero for negative zero, which hashes apart
-        stream = stream.withColumn(key, (F.col(key) + F.lit(0.0)).cast(kinds[key]))
-    bucketed = stream.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
-    return bucketed.groupBy("_bucket").transformWithState(Recent(order, columns, schema, n), schema, "Update", "None")
+    return _bucketed(stream, key, buckets).transformWithState(Recent(order, columns, schema, n), schema, "Update", "None")
 
 
 def recent_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """All keys' last rows as a query's checkpoint holds them."""
-    s = spark.read.format("statestore").option("stateVarName", "recent").load(checkpoint)
-    return s.select(("list_element" if "list_element" in s.columns else "value") + ".*")
+    return _values(spark, checkpoint, "recent")

@@ -425,3 +425,25 @@ def test_recent_rows_share_states_by_bucket(spark, tmp_path):
     assert all(r.t == rows[r.i][1] for r in got)
     states = spark.read.format("statestore").option("stateVarName", "recent").load(str(tmp_path / "checkpoint"))
     assert states.select("key").distinct().count() <= 3
+
+
+def test_moments_share_states_by_bucket(spark, tmp_path):
+    """Moments of each key over two starts, of keys that share three states; a null key, null values and a key without any."""
+    from statistics import mean, stdev
+
+    from loomframe.streaming import stateful
+
+    rows = [(None if i % 31 == 0 else i % 31, None if i % 31 == 5 or i % 11 == 0 else float(i * i % 97)) for i in range(1000)]
+    with stateful.state_store(spark):
+        for part in (rows[::2], rows[1::2]):
+            spark.createDataFrame(part, "k long, v double").write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema("k long, v double").parquet(str(tmp_path / "in"))
+            out = stateful.moments_stream(stream, "k", "v", buckets=3).writeStream.format("noop").outputMode("update")
+            out.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    got = {r.k: r for r in stateful.moments_state(spark, str(tmp_path / "checkpoint"), "k").collect()}
+    assert set(got) == {k for k, _ in rows}
+    for k, r in got.items():
+        v = [x for own, x in rows if own == k and x is not None]
+        assert r.n == len(v) and (r.mean is None) == (not v) and (not v or math.isclose(r.mean, mean(v)) and math.isclose(r.std, stdev(v)))
+    states = spark.read.format("statestore").option("stateVarName", "moments").load(str(tmp_path / "checkpoint"))
+    assert states.select("key").distinct().count() <= 3
